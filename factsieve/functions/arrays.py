@@ -37,9 +37,26 @@ def _scan(values: Column, combine: Callable[[Column, Column], Column], sign: int
     )
 
 
+# Up to this size appending to a growing array beats the doubling scan.
+_SHORT = 128
+
+
 def running_sum(values: Column) -> Column:
-    """Prefix sums of an array of integers."""
-    return _scan(values, lambda x, y: x + F.coalesce(y, F.lit(0)), 1)
+    """Prefix sums of an array of bigint."""
+
+    def appended(v: Column) -> Column:
+        return F.aggregate(
+            F.slice(v, F.lit(2), F.size(v)),
+            F.slice(v, 1, 1),
+            lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x),
+        )
+
+    return let(
+        values,
+        lambda v: F.when(F.size(v) <= _SHORT, appended(v)).otherwise(
+            _scan(v, lambda x, y: x + F.coalesce(y, F.lit(0).cast("bigint")), 1)
+        ),
+    )
 
 
 def running_max(values: Column) -> Column:

@@ -1,6 +1,7 @@
 """Numbers in a text column: lexemes, values and spans."""
 
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,10 +11,6 @@ from factsieve.functions.arrays import empty, let
 from factsieve.functions.patterns import java
 from factsieve.functions.spans import find_all, find_spans
 
-NUMBER_SPAN = (
-    "struct<value:double,start:int,end:int,start_char:int,end_char:int,raw:string>"
-)
-
 
 def _text(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
@@ -66,36 +63,40 @@ def parse_numeric(lexeme: Column) -> Column:
     magnitude = let(core, normalize_digits).try_cast("double")
     signed = F.when(F.startswith(lexeme, F.lit("-")), -magnitude).otherwise(magnitude)
     word = F.regexp_extract(lexeme, r"\p{L}.*$", 0)
-    # Most lexemes end in a digit; those carry no word to look for.
-    return F.when(F.right(lexeme, F.lit(1)).between("0", "9"), signed).otherwise(
-        signed * multiplier_factor(word)
+    return (
+        F.when(lexeme.rlike(patterns.PLAIN_NUMBER), lexeme.try_cast("double"))
+        .when(F.right(lexeme, F.lit(1)).between("0", "9"), signed)
+        .otherwise(signed * multiplier_factor(word))
     )
 
 
+def _parsable(text: Column, found: Column, lexeme: Callable[[Column], Column]) -> Column:
+    """Without the lexemes that have a non-ASCII digit: those are no numbers."""
+    return F.when(
+        text.rlike(java(patterns.OTHER_DIGIT)),
+        F.filter(found, lambda f: ~lexeme(f).rlike(java(patterns.OTHER_DIGIT))),
+    ).otherwise(found)
+
+
 def numeric_values(col: Column | str) -> Column:
     """All number values of the text, in text order, as ``array<double>``."""
     text = _text(col)
-    values = F.transform(find_all(text, patterns.NUMBER_WITH_MULTIPLIER), parse_numeric)
-    return F.when(
-        text.rlike(java(patterns.DIGIT)), F.filter(values, lambda v: v.isNotNull())
-    ).otherwise(empty("double"))
+    hits = _parsable(text, find_all(text, patterns.NUMBER_WITH_MULTIPLIER), lambda f: f)
+    return F.when(text.rlike(java(patterns.DIGIT)), F.transform(hits, parse_numeric)).otherwise(
+        empty("double")
+    )
 
 
-def numeric_spans(col: Column | str) -> Column:
-    """All numbers of the text with value, offsets and raw text, in text order."""
+def numeric_lexemes(col: Column | str) -> Column:
+    """All numbers of the text as lexemes, in text order."""
     text = _text(col)
+    return _parsable(text, find_all(text, patterns.NUMBER_WITH_MULTIPLIER), lambda f: f)
 
-    def element(m: Column) -> Column:
-        return F.struct(
-            parse_numeric(m["raw"]).alias("value"),
-            *[m[f].alias(f) for f in ("start", "end", "start_char", "end_char", "raw")],
-        )
 
-    spans = F.filter(
-        F.transform(find_spans(text, patterns.NUMBER_WITH_MULTIPLIER), element),
-        lambda s: s["value"].isNotNull(),
-    )
-    return F.when(text.rlike(java(patterns.DIGIT)), spans).otherwise(empty(NUMBER_SPAN))
+def numeric_spans(col: Column | str) -> Column:
+    """All numbers of the text with offsets and raw text, in text order."""
+    text = _text(col)
+    return _parsable(text, find_spans(text, patterns.NUMBER_WITH_MULTIPLIER), lambda f: f["raw"])
 
 
 def format_number_text(value: Column) -> Column:

@@ -28,7 +28,8 @@ CREDIT_CARD = r"(?=\d)\b(?:\d{4}[\s\-]\d{4}[\s\-]\d{4}[\s\-]\d{4}|\d{16})\b"
 PII_PATTERNS = {"email": EMAIL, "phone": PHONE, "ssn": SSN, "credit_card": CREDIT_CARD}
 
 DIGIT = r"\d"
-DIGIT_PII = rf"{PHONE}|{SSN}|{CREDIT_CARD}"
+OTHER_DIGIT = r"[\d&&[^0-9]]"
+DIGIT_PII = rf"(?=[+(\d])(?:{PHONE}|{SSN}|{CREDIT_CARD})"
 
 # The multiplier words, as spelled alternatives in order of preference.
 MULTIPLIER_WORDS = (
@@ -81,6 +82,8 @@ NUMBER = (
 # leaves every later match where it was.
 NUMBER_WITH_MULTIPLIER = rf"{NUMBER}(?:\s*(?:{_any_case(MULTIPLIER_WORDS)})\b)?"
 NUMBER_CORE = r"[\d.,]+"
+# Numbers that a cast reads as they stand.
+PLAIN_NUMBER = r"^[+\-]?[0-9]+(?:\.[0-9]+)?$"
 
 # No match of PII_PATTERNS goes across such a position: the character before it
 # belongs to no pattern, or it parts a blank from a letter (addresses hold no

@@ -6,14 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factsieve.functions import patterns
-from factsieve.functions.arrays import empty, let
+from factsieve.functions.arrays import empty
 from factsieve.functions.patterns import java
 from factsieve.functions.spans import find_all, find_spans
 
 PII_TYPES = tuple(patterns.PII_PATTERNS)
 PII_SPAN = (
-    "struct<pii_type:string,start:int,end:int,start_char:int,end_char:int,"
-    "raw:string,masked:string>"
+    "struct<pii_type:string,start:int,end:int,start_char:int,end_char:int,raw:string>"
 )
 
 
@@ -52,7 +51,8 @@ def has_credit_card(col: Column | str) -> Column:
 def contains_pii(col: Column | str) -> Column:
     """True if any type occurs. The three digit types share one pass over the text."""
     text = _text(col)
-    return has_email(text) | text.rlike(java(patterns.DIGIT_PII))
+    digits = _may_have(text, "phone") & text.rlike(java(patterns.DIGIT_PII))
+    return has_email(text) | digits
 
 
 def digits_only(raw: Column) -> Column:
@@ -74,12 +74,17 @@ def mask(raw: Column, pii_type: str) -> Column:
         "ssn": ("***-**-", "***-**-****"),
         "credit_card": ("**** **** **** ", "**** **** **** ****"),
     }[pii_type]
-    return let(
-        digits,
-        lambda d: F.when(
-            F.char_length(d) >= 4, F.concat(F.lit(shown), F.right(d, F.lit(4)))
-        ).otherwise(F.lit(hidden)),
-    )
+    return F.when(
+        F.char_length(digits) >= 4, F.concat(F.lit(shown), F.right(digits, F.lit(4)))
+    ).otherwise(F.lit(hidden))
+
+
+def mask_by_type(raw: Column, pii_type: Column) -> Column:
+    """As :func:`mask`, with the type taken from a column."""
+    chain = F
+    for t in PII_TYPES:
+        chain = chain.when(pii_type == t, mask(raw, t))
+    return chain
 
 
 def _each_type(
@@ -102,17 +107,12 @@ def _each_type(
 
 
 def pii_spans(col: Column | str, types: Iterable[str] | None = None) -> Column:
-    """Every match of every type with offsets and mask, in type order, nothing deduplicated."""
+    """Every match of every type with its offsets, in type order, nothing deduplicated."""
 
     def element(m: Column, pii_type: str) -> Column:
         return F.struct(
             F.lit(pii_type).alias("pii_type"),
-            m["start"].alias("start"),
-            m["end"].alias("end"),
-            m["start_char"].alias("start_char"),
-            m["end_char"].alias("end_char"),
-            m["raw"].alias("raw"),
-            mask(m["raw"], pii_type).alias("masked"),
+            *[m[f].alias(f) for f in ("start", "end", "start_char", "end_char", "raw")],
         )
 
     return _each_type(_text(col), types, find_spans, element, PII_SPAN)

@@ -1,7 +1,5 @@
 """Find-all with offsets, as a column expression."""
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,27 +8,45 @@ from factsieve.functions.patterns import java
 
 SPAN = "struct<start:int,end:int,start_char:int,end_char:int,raw:string>"
 
+_MARK = "\0"
+_LOW = (1 << 32) - 1
+
 
 def find_all(text: Column, pattern: str) -> Column:
     """All matches, left to right, not overlapping."""
     return F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
 
 
+def _gaps(text: Column, pattern: str) -> Column:
+    """The pieces of text around the matches.
+
+    Spark compiles the pattern of ``split`` anew for each row, that of
+    ``regexp_replace`` once; so matches are turned into a mark to split at,
+    unless the text happens to hold the mark.
+    """
+    marked = F.regexp_replace(text, F.lit(java(pattern)), F.lit(_MARK))
+    return F.when(
+        F.contains(text, F.lit(_MARK)), F.split(text, java(pattern), -1)
+    ).otherwise(F.split(marked, _MARK, -1))
+
+
+def _lengths(s: Column) -> Column:
+    """Bytes and characters in one number, so that one running sum adds up both."""
+    return F.shiftleft(F.octet_length(s).cast("bigint"), 32) + F.char_length(s)
+
+
 def find_spans(text: Column, pattern: str) -> Column:
     """All matches with byte offsets (``start``, ``end``) and character offsets.
 
-    The text between matches comes from splitting at the same pattern; match i
-    ends after the first i gaps and matches.
+    Match i ends after the first i gaps and matches.
     """
 
     def located(hits: Column) -> Column:
-        return let(
-            F.split(text, java(pattern), -1),
-            lambda gaps: let(
-                F.struct(_ends(gaps, hits, F.octet_length), _ends(gaps, hits, F.char_length)),
-                lambda ends: F.transform(hits, lambda hit, i: _span(hit, i, ends)),
-            ),
+        steps = let(
+            _gaps(text, pattern),
+            lambda gaps: F.transform(hits, lambda hit, i: _lengths(F.get(gaps, i)) + _lengths(hit)),
         )
+        return F.transform(F.arrays_zip(hits.alias("hit"), running_sum(steps).alias("to")), _span)
 
     return let(
         find_all(text, pattern),
@@ -38,16 +54,14 @@ def find_spans(text: Column, pattern: str) -> Column:
     )
 
 
-def _ends(gaps: Column, hits: Column, length: Callable[[Column], Column]) -> Column:
-    return running_sum(F.transform(hits, lambda hit, i: length(F.get(gaps, i)) + length(hit)))
-
-
-def _span(hit: Column, i: Column, ends: Column) -> Column:
-    end, end_char = F.get(ends["col1"], i), F.get(ends["col2"], i)
+def _span(found: Column) -> Column:
+    raw = found["hit"]
+    end = F.shiftright(found["to"], 32).cast("int")
+    end_char = found["to"].bitwiseAND(F.lit(_LOW)).cast("int")
     return F.struct(
-        (end - F.octet_length(hit)).alias("start"),
+        (end - F.octet_length(raw)).alias("start"),
         end.alias("end"),
-        (end_char - F.char_length(hit)).alias("start_char"),
+        (end_char - F.char_length(raw)).alias("start_char"),
         end_char.alias("end_char"),
-        hit.alias("raw"),
+        raw.alias("raw"),
     )

@@ -10,6 +10,7 @@ from factsieve.functions.personal_data import (
     PII_TYPES,
     contains_pii,
     has_type,
+    mask_by_type,
     pii_spans_by_position,
 )
 
@@ -39,4 +40,7 @@ def detect_pii(
             raise ValueError(f"unknown types: {sorted(unknown)}")
         tests = [has_type(text_col, t) for t in types]
         candidates = df.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
-    return candidates.select(*id_cols, F.inline(pii_spans_by_position(text_col, types)))
+    # Masks are made after the spans became rows, where expressions are compiled.
+    return candidates.select(*id_cols, F.inline(pii_spans_by_position(text_col, types))).withColumn(
+        "masked", mask_by_type(F.col("raw"), F.col("pii_type"))
+    )
