@@ -13,7 +13,7 @@ from factsieve.functions.verdicts import (
     stream_action,
     stream_reason,
 )
-from factsieve.plans.skew import ROWS_PER_TASK, running_totals
+from factsieve.plans.skew import ROWS_PER_TASK, hot_groups, running_totals
 
 
 def _list(cols: str | Sequence[str]) -> list[str]:
@@ -83,7 +83,7 @@ def verify_deltas(
     df: DataFrame,
     key: str | Sequence[str] = "session_id",
     seq: str = "seq",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """One verdict per delta on the text so far, scanning each character about once.
 
@@ -94,6 +94,7 @@ def verify_deltas(
     on either side of a cut goes along, as word boundaries look at it.
     """
     keys = _list(key)
+    hot = hot_groups(df, keys, rows_per_task)
     rows = df.select(
         *keys,
         seq,
@@ -109,6 +110,7 @@ def verify_deltas(
             "_seen": F.char_length("_delta").cast("bigint"),
         },
         rows_per_task,
+        hot,
     )
 
     def piece(stretch, is_open, text):
@@ -151,6 +153,7 @@ def verify_deltas(
             for t in PII_TYPES
         },
         rows_per_task,
+        hot,
     ).where("_open = 1")
     matched = F.concat(
         *[

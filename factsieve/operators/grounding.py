@@ -80,7 +80,7 @@ def _band_join(
     tol: float,
     value: str,
     how: str,
-    rows_per_task: int,
+    rows_per_task: int | None,
 ) -> DataFrame:
     if not math.isfinite(tol):
         raise ValueError("tolerance must be finite")
@@ -105,7 +105,7 @@ def grounded_numbers(
     key: str | Sequence[str],
     tol: float = DEFAULT_TOLERANCE,
     value: str = "value",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Answer numbers with a context number of the same key within the tolerance."""
     return _band_join(answers, contexts, _as_list(key), tol, value, "left_semi", rows_per_task)
@@ -117,7 +117,7 @@ def unmatched_numerics(
     key: str | Sequence[str],
     tol: float = DEFAULT_TOLERANCE,
     value: str = "value",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Answer numbers without a context number of the same key within the tolerance.
 
@@ -131,7 +131,7 @@ def unmatched_against_facts(
     facts: DataFrame,
     tol: float = DEFAULT_TOLERANCE,
     value: str = "value",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Answer numbers that occur nowhere in one fact table shared by all answers."""
     return _band_join(answers, facts, [], tol, value, "left_anti", rows_per_task)
@@ -144,7 +144,7 @@ def answers_grounded(
     id_cols: str | Sequence[str],
     key: str | Sequence[str],
     tol: float = DEFAULT_TOLERANCE,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """``id_cols`` of every answer and ``grounded``: no number of it is unmatched."""
     ids = _as_list(id_cols)

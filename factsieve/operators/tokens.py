@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factsieve.functions.arrays import empty
-from factsieve.plans.skew import ROWS_PER_TASK, hot_running_totals, running_totals, split_hot
+from factsieve.plans.skew import (
+    ROWS_PER_TASK,
+    hot_groups,
+    hot_running_totals,
+    running_totals,
+    split_hot,
+)
 
 # Fixed value: tokens a session keeps unless told otherwise.
 DEFAULT_CAPACITY = 4096
@@ -36,7 +42,7 @@ def last_n_tokens(
     order: str | Sequence[str] = "seq",
     token: str = "token_id",
     position: str = "position",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``last_n``: the newest ``min(n, capacity)`` (token, position) pairs as of each
     row, oldest first."""
@@ -53,7 +59,10 @@ def last_n_tokens(
         frame = Window.partitionBy(*groups).orderBy(*order).rowsBetween(1 - size, Window.currentRow)
         return rows.withColumn("last_n", F.collect_list(pair).over(frame))
 
-    cold, hot = split_hot(df, keys, rows_per_task)
+    hot = hot_groups(df, keys, rows_per_task)
+    if hot is None:
+        return window(df, keys)
+    cold, hot = split_hot(df, keys, hot)
     # A hot session is cut into pieces by exact row number; each piece also gets
     # the rows before it that its first windows reach back to.
     length = max(size, rows_per_task)
@@ -73,20 +82,23 @@ def retain_last(
     capacity: int = DEFAULT_CAPACITY,
     key: str | Sequence[str] = "session_id",
     order: str | Sequence[str] = "seq",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """The newest ``capacity`` rows of each session: what is left after evicting the oldest."""
     check_capacity(capacity)
     keys, order = _list(key), _list(order)
-    cold, hot = split_hot(df, keys, rows_per_task)
     newest_first = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    kept = (
-        cold.withColumn("_rank", F.row_number().over(newest_first))
-        .where(F.col("_rank") <= capacity)
-        .drop("_rank")
-    )
+
+    def newest(rows: DataFrame) -> DataFrame:
+        ranked = rows.withColumn("_rank", F.row_number().over(newest_first))
+        return ranked.where(F.col("_rank") <= capacity).drop("_rank")
+
+    hot = hot_groups(df, keys, rows_per_task)
+    if hot is None:
+        return newest(df)
+    cold, hot = split_hot(df, keys, hot)
     numbered = hot_running_totals(hot, keys, order, {"_at": F.lit(1)}, rows_per_task)
-    return kept.unionByName(
+    return newest(cold).unionByName(
         numbered.where(F.col("_at") > F.col("_rows") - capacity).drop("_at", "_rows")
     )
 
@@ -99,7 +111,7 @@ def latest_tokens(
     order: str | Sequence[str] = "seq",
     token: str = "token_id",
     position: str = "position",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """One row per session: ``last_n`` of its final state, oldest first."""
     size = min(check_n(n), check_capacity(capacity))
@@ -129,7 +141,7 @@ def token_segments(
     key: str | Sequence[str] = "session_id",
     order: str | Sequence[str] = "seq",
     keep_resets: bool = False,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``segment``, counting the clears before each row.
 
@@ -144,6 +156,7 @@ def token_segments(
         order,
         {"segment": F.col("_reset").cast("bigint")},
         rows_per_task,
+        hot_groups(df, keys, rows_per_task),
     )
     return (counted if keep_resets else counted.where(~F.col("_reset"))).drop("_reset")
 
@@ -154,7 +167,7 @@ def window_length(
     key: str | Sequence[str] = "session_id",
     order: str | Sequence[str] = "seq",
     is_reset: str | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``window_len``, ``is_empty`` and ``capacity`` as of each row (push or clear)."""
     check_capacity(capacity)
@@ -164,7 +177,9 @@ def window_length(
         df = token_segments(df, is_reset, keys, order, True, rows_per_task)
         pushed = F.when(F.coalesce(F.col(is_reset), F.lit(False)), 0).otherwise(1)
         keys = [*keys, "segment"]
-    counted = running_totals(df, keys, order, {"_held": pushed}, rows_per_task)
+    counted = running_totals(
+        df, keys, order, {"_held": pushed}, rows_per_task, hot_groups(df, keys, rows_per_task)
+    )
     length = F.least(F.col("_held"), F.lit(capacity).cast("bigint"))
     return counted.withColumns(
         {

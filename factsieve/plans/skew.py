@@ -1,9 +1,10 @@
 """Hot groups: find them, salt them, and order them without one task per group.
 
-A group with more rows than ``rows_per_task`` is *hot*. The list of hot groups
-comes from a count that is combined before its shuffle, and is cut at
-``MAX_HOT_GROUPS``, so broadcasting it is bounded. The list only steers how the
-work is split: a group missing from it is still computed right.
+A group with more rows than ``rows_per_task`` is *hot*. Before a window or a join
+is planned, one job counts the groups (combined before its shuffle) and brings
+the hot ones, at most ``MAX_HOT_GROUPS`` of them, to the driver. Usually there are
+none and the plain plan is used. The list only steers how work is split: a group
+missing from it is still computed right. ``rows_per_task=None`` skips the count.
 """
 
 from collections.abc import Sequence
@@ -21,15 +22,22 @@ _SAMPLES_PER_BLOCK = 16
 _NULL_SALTS = 1024
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """``keys`` + ``_rows`` of the groups above the limit, the largest first if there are too many."""
-    return (
-        df.groupBy(*keys)
+def hot_groups(
+    df: DataFrame, keys: Sequence[str], rows_per_task: int | None = ROWS_PER_TASK
+) -> DataFrame | None:
+    """``keys`` + ``_rows`` of the groups above the limit, the largest if too many; None if none."""
+    if rows_per_task is None or not keys:
+        return None
+    hot = (
+        df.select(*keys)
+        .groupBy(*keys)
         .agg(F.count("*").alias("_rows"))
         .where(F.col("_rows") > rows_per_task)
-        .orderBy(F.desc("_rows"), *keys)
+        .orderBy(F.desc("_rows"))
         .limit(MAX_HOT_GROUPS)
     )
+    rows = hot.collect()
+    return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 
 def _join_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -47,16 +55,20 @@ def _join_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str) -> D
 
 
 def salt_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> tuple[DataFrame, DataFrame]:
     """Add ``_salt`` to both sides so that no left group of an equi-join is hot.
 
     Left rows of a hot group are spread by a hash of the whole row (the same
     after a retry); right rows of such a group are repeated once per salt.
     """
-    hot = hot_groups(left.select(*keys), keys, rows_per_task).select(
-        *keys, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts")
-    )
+    hot = hot_groups(left, keys, rows_per_task)
+    if hot is None:
+        return left.withColumn("_salt", F.lit(0)), right.withColumn("_salt", F.lit(0))
+    hot = hot.select(*keys, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts"))
     any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     salts = F.when(any_null, _NULL_SALTS).otherwise(F.coalesce(F.col("_parts"), F.lit(1)))
     salted = (
@@ -75,14 +87,8 @@ def salt_join(
     return salted, repeated
 
 
-def split_hot(
-    df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK
-) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary groups, rows of hot groups with ``_rows``).
-
-    With no hot group, adaptive execution drops the second branch unread.
-    """
-    hot = hot_groups(df.select(*keys), keys, rows_per_task)
+def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary groups, rows of hot groups with ``_rows``)."""
     return _join_hot(df, hot, keys, "left_anti"), _join_hot(df, hot, keys, "inner")
 
 
@@ -177,14 +183,20 @@ def running_totals(
     keys: Sequence[str],
     order: Sequence[str],
     totals: dict[str, Column],
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = ROWS_PER_TASK,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """``sum(...) over (partition by keys order by order)`` for each entry of ``totals``."""
-    cold, hot = split_hot(df, keys, rows_per_task)
+    """``sum(...) over (partition by keys order by order)`` for each entry of ``totals``.
+
+    ``hot`` is the result of :func:`hot_groups` on the same keys (None: no hot group).
+    """
     frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    plain = cold.withColumns({n: F.sum(c).over(frame) for n, c in totals.items()})
-    return plain.unionByName(
-        hot_running_totals(hot, keys, order, totals, rows_per_task).drop("_rows")
+    sums = {n: F.sum(c).over(frame) for n, c in totals.items()}
+    if hot is None:
+        return df.withColumns(sums)
+    cold, hot_rows = split_hot(df, keys, hot)
+    return cold.withColumns(sums).unionByName(
+        hot_running_totals(hot_rows, keys, order, totals, rows_per_task).drop("_rows")
     )
