@@ -1,8 +1,10 @@
 """Shared plumbing of the keyed stream operators."""
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -23,9 +25,14 @@ def keyed_state(
     """Run ``step(key, batches, state) -> (state, rows)`` per key and micro-batch.
 
     With ``idle_timeout_ms`` the state of a session that stays silent that long is
-    dropped (a stream table has no end-of-stream mark per session).
+    dropped (a stream table has no end-of-stream mark per session). It is for
+    queries that keep running: Spark keeps triggering batches to check for silence,
+    so an ``availableNow`` query with a timeout does not end by itself.
     """
 
+    # The functions travel with the job, so workers need not have the package installed.
+    cloudpickle.register_pickle_by_value(sys.modules["factsieve"])
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
