@@ -20,15 +20,12 @@ def empty(ddl: str) -> Column:
     return F.array().cast(f"array<{ddl}>")
 
 
-_DISTANCES = [1 << i for i in range(31)]
-
-
 def _scan(values: Column, combine: Callable[[Column, Column], Column], sign: int) -> Column:
     """Inclusive scan by doubling distances: n log n steps, no growing array."""
     return let(
         values,
         lambda v: F.aggregate(
-            F.filter(F.array(*[F.lit(d) for d in _DISTANCES]), lambda d: d < F.size(v)),
+            F.filter(F.expr("transform(sequence(0, 30), i -> shiftleft(1, i))"), lambda d: d < F.size(v)),
             v,
             lambda acc, d: F.transform(
                 acc, lambda x, i: combine(x, F.get(acc, i - d if sign > 0 else i + d))

@@ -87,16 +87,19 @@ def numeric_values(col: Column | str) -> Column:
     )
 
 
-def numeric_lexemes(col: Column | str) -> Column:
-    """All numbers of the text as lexemes, in text order."""
-    text = _text(col)
-    return _parsable(text, find_all(text, patterns.NUMBER_WITH_MULTIPLIER), lambda f: f)
-
-
 def numeric_spans(col: Column | str) -> Column:
-    """All numbers of the text with offsets and raw text, in text order."""
+    """All numbers of the text with value, offsets and raw text, in text order."""
     text = _text(col)
-    return _parsable(text, find_spans(text, patterns.NUMBER_WITH_MULTIPLIER), lambda f: f["raw"])
+    spans = _parsable(
+        text, find_spans(text, patterns.NUMBER_WITH_MULTIPLIER), lambda f: f["raw"]
+    )
+    return F.transform(
+        spans,
+        lambda m: F.struct(
+            parse_numeric(m["raw"]).alias("value"),
+            *[m[f].alias(f) for f in ("start", "end", "start_char", "end_char", "raw")],
+        ),
+    )
 
 
 def format_number_text(value: Column) -> Column:

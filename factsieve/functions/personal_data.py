@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factsieve.functions import patterns
-from factsieve.functions.arrays import empty
+from factsieve.functions.arrays import empty, let
 from factsieve.functions.patterns import java
-from factsieve.functions.spans import find_all, find_spans
+from factsieve.functions.spans import find_all, gaps_of, locate
 
 PII_TYPES = tuple(patterns.PII_PATTERNS)
 PII_SPAN = (
@@ -87,35 +87,55 @@ def mask_by_type(raw: Column, pii_type: Column) -> Column:
     return chain
 
 
+def _wanted(types: Iterable[str] | None) -> list[str]:
+    return [t for t in PII_TYPES if types is None or t in set(types)]
+
+
 def _each_type(
     text: Column,
-    types: Iterable[str] | None,
     find: Callable[[Column, str], Column],
     element: Callable[[Column, str], Column],
     ddl: str,
 ) -> Column:
-    """Findings of every wanted type, in type order; a type whose gate fails costs nothing."""
-    wanted = PII_TYPES if types is None else [t for t in PII_TYPES if t in set(types)]
-    if not wanted:
-        return empty(ddl)
+    """Findings of every type, in type order; a type whose gate fails costs nothing."""
 
     def of_type(t: str) -> Column:
         found = F.transform(find(text, patterns.PII_PATTERNS[t]), lambda m: element(m, t))
         return F.when(_may_have(text, t), found).otherwise(empty(ddl))
 
-    return F.concat(*[of_type(t) for t in wanted])
+    return F.concat(*[of_type(t) for t in PII_TYPES])
 
 
 def pii_spans(col: Column | str, types: Iterable[str] | None = None) -> Column:
     """Every match of every type with its offsets, in type order, nothing deduplicated."""
+    text = _text(col)
+    wanted = _wanted(types)
+    if not wanted:
+        return empty(PII_SPAN)
+
+    def found(t: str) -> Column:
+        pattern = patterns.PII_PATTERNS[t]
+        hits = F.when(_may_have(text, t), find_all(text, pattern)).otherwise(empty("string"))
+        return let(
+            hits,
+            lambda h: F.struct(
+                F.lit(t).alias("pii_type"),
+                h.alias("hits"),
+                F.when(F.size(h) > 0, gaps_of(text, pattern)).alias("gaps"),
+            ),
+        )
 
-    def element(m: Column, pii_type: str) -> Column:
-        return F.struct(
-            F.lit(pii_type).alias("pii_type"),
-            *[m[f].alias(f) for f in ("start", "end", "start_char", "end_char", "raw")],
+    def located(f: Column) -> Column:
+        return F.transform(
+            locate(f["hits"], f["gaps"]),
+            lambda m: F.struct(
+                f["pii_type"].alias("pii_type"),
+                *[m[c].alias(c) for c in ("start", "end", "start_char", "end_char", "raw")],
+            ),
         )
 
-    return _each_type(_text(col), types, find_spans, element, PII_SPAN)
+    by_type = F.array(*[found(t) for t in wanted])
+    return F.flatten(F.transform(F.filter(by_type, lambda f: F.size(f["hits"]) > 0), located))
 
 
 def pii_spans_by_position(col: Column | str, types: Iterable[str] | None = None) -> Column:
@@ -129,14 +149,13 @@ def pii_spans_by_position(col: Column | str, types: Iterable[str] | None = None)
 
 def matched_types(col: Column | str) -> Column:
     """The type name of each match, duplicates kept, in type order."""
-    return _each_type(_text(col), None, find_all, lambda m, t: F.lit(t), "string")
+    return _each_type(_text(col), find_all, lambda m, t: F.lit(t), "string")
 
 
 def pii_violations(col: Column | str) -> Column:
     """``pii:<type>:<masked>`` of each match, in type order."""
     return _each_type(
         _text(col),
-        None,
         find_all,
         lambda raw, t: F.concat(F.lit(f"pii:{t}:"), mask(raw, t)),
         "string",

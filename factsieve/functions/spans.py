@@ -17,7 +17,7 @@ def find_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
 
 
-def _gaps(text: Column, pattern: str) -> Column:
+def gaps_of(text: Column, pattern: str) -> Column:
     """The pieces of text around the matches.
 
     Spark compiles the pattern of ``split`` anew for each row, that of
@@ -35,22 +35,22 @@ def _lengths(s: Column) -> Column:
     return F.shiftleft(F.octet_length(s).cast("bigint"), 32) + F.char_length(s)
 
 
-def find_spans(text: Column, pattern: str) -> Column:
-    """All matches with byte offsets (``start``, ``end``) and character offsets.
+def locate(hits: Column, gaps: Column) -> Column:
+    """Matches with byte offsets (``start``, ``end``) and character offsets.
 
     Match i ends after the first i gaps and matches.
     """
+    steps = F.transform(hits, lambda hit, i: _lengths(F.get(gaps, i)) + _lengths(hit))
+    return F.transform(F.arrays_zip(hits.alias("hit"), running_sum(steps).alias("to")), _span)
 
-    def located(hits: Column) -> Column:
-        steps = let(
-            _gaps(text, pattern),
-            lambda gaps: F.transform(hits, lambda hit, i: _lengths(F.get(gaps, i)) + _lengths(hit)),
-        )
-        return F.transform(F.arrays_zip(hits.alias("hit"), running_sum(steps).alias("to")), _span)
 
+def find_spans(text: Column, pattern: str) -> Column:
+    """All matches, left to right, not overlapping, with offsets."""
     return let(
         find_all(text, pattern),
-        lambda hits: F.when(F.size(hits) == 0, empty(SPAN)).otherwise(located(hits)),
+        lambda hits: F.when(F.size(hits) == 0, empty(SPAN)).otherwise(
+            let(gaps_of(text, pattern), lambda gaps: locate(hits, gaps))
+        ),
     )
 
 

@@ -5,8 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factsieve.functions.numbers import numeric_lexemes, numeric_spans, parse_numeric
-from factsieve.functions.patterns import DIGIT, java
+from factsieve.functions.numbers import numeric_spans, numeric_values
 
 
 def extract_numerics(
@@ -19,14 +18,10 @@ def extract_numerics(
 
     ``offsets=False`` gives ``ord`` and ``value`` only and reads each text once less.
     """
-    texts = df.where(F.col(text_col).rlike(java(DIGIT)))
-    # Values are parsed after the numbers became rows, where expressions are compiled.
+    # Values are parsed inside the array: a filter on them that moves below a
+    # projection would parse each number again.
     if not offsets:
-        return texts.select(
-            *id_cols, F.posexplode(numeric_lexemes(text_col)).alias("ord", "raw")
-        ).select(*id_cols, "ord", parse_numeric(F.col("raw")).alias("value"))
-    return texts.select(
+        return df.select(*id_cols, F.posexplode(numeric_values(text_col)).alias("ord", "value"))
+    return df.select(
         *id_cols, F.posexplode(numeric_spans(text_col)).alias("ord", "_span")
-    ).select(
-        *id_cols, "ord", parse_numeric(F.col("_span.raw")).alias("value"), "_span.*"
-    )
+    ).select(*id_cols, "ord", "_span.*")

@@ -32,15 +32,15 @@ def detect_pii(
     test runs first, so clean texts never reach the span search.
     """
     if types is None:
-        candidates = filter_pii(df, text_col)
+        wanted = contains_pii(text_col)
     else:
         types = list(types)
         unknown = set(types) - set(PII_TYPES)
         if unknown:
             raise ValueError(f"unknown types: {sorted(unknown)}")
-        tests = [has_type(text_col, t) for t in types]
-        candidates = df.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
+        wanted = reduce(lambda a, b: a | b, [has_type(text_col, t) for t in types], F.lit(False))
+    spans = F.when(wanted, pii_spans_by_position(text_col, types))
     # Masks are made after the spans became rows, where expressions are compiled.
-    return candidates.select(*id_cols, F.inline(pii_spans_by_position(text_col, types))).withColumn(
+    return df.select(*id_cols, F.inline(spans)).withColumn(
         "masked", mask_by_type(F.col("raw"), F.col("pii_type"))
     )
