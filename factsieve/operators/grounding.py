@@ -1,9 +1,9 @@
 """Numeric grounding between tables: band semi and anti joins.
 
 Answers and contexts are number tables (see ``extract_numerics``): key columns and
-a value column. Every value falls into a bucket twice the tolerance wide, so a
-partner is in the same or a neighbouring bucket and the join is an equi-join with
-an exact residual test.
+a value column. Every value falls into a bucket some tolerances wide; a context
+value is put into each bucket its tolerance reaches (mostly one), so the join is an
+equi-join on key and bucket with an exact residual test.
 
 Context values are reduced before any of that: within a cell half the tolerance
 wide only the smallest and the largest value can decide, so a key and bucket
@@ -20,6 +20,11 @@ from pyspark.sql import functions as F
 from factsieve.functions.grounding import DEFAULT_TOLERANCE, within
 from factsieve.plans.skew import ROWS_PER_TASK, salt_join
 
+# Bucket width in tolerances: wider means fewer copies of context values, but more
+# of them to test per answer number.
+_BUCKET_WIDTH = 8.0
+# The residual test rounds; the reach must not fall short of what it accepts.
+_REACH = 1.0 + 2.0**-40
 # Above tolerance * 2^60 two different doubles are always further apart than the
 # tolerance: only equal values match, and the value itself is the bucket.
 _BUCKETS_BELOW = 2.0**60
@@ -31,46 +36,49 @@ def _as_list(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
+def _number_of(value: Column, tol: float) -> Column:
+    return F.floor(value / (_BUCKET_WIDTH * tol))
+
+
+def _finite(value: Column) -> Column:
+    return ~F.isnan(value) & (F.abs(value) < float("inf"))
+
+
+def _near(value: Column, tol: float) -> Column:
+    return F.abs(value) < tol * _BUCKETS_BELOW if tol > 0 else F.lit(False)
+
+
 def _bucket(value: Column, tol: float) -> tuple[Column, Column]:
     """(bucket number, value for values that match only themselves); NULLs match nothing."""
-    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
-    if tol <= 0:
-        return F.when(finite, F.lit(0).cast("bigint")), F.when(finite, value)
-    near = F.abs(value) < tol * _BUCKETS_BELOW
-    number = F.when(near, F.floor(value / (2 * tol))).otherwise(F.lit(0).cast("bigint"))
+    finite, near, none = _finite(value), _near(value, tol), F.lit(0).cast("bigint")
+    number = F.when(near, _number_of(value, tol)).otherwise(none) if tol > 0 else none
     return F.when(finite, number), F.when(finite, F.when(near, 0.0).otherwise(value))
 
 
 def _reduced_contexts(contexts: DataFrame, key: list[str], value: str, tol: float) -> DataFrame:
     """Key, ``_bucket``, ``_exact`` and the outermost values ``_lo``, ``_hi`` of each cell."""
-    v = F.col(value)
-    bucket, exact = _bucket(v, tol)
-    if tol > 0:
-        celled = F.abs(v) < tol * _CELLS_BELOW
-        cell = F.when(celled, F.floor(v / (tol / 2))).otherwise(F.lit(0).cast("bigint"))
-        own = F.when(celled, 0.0).otherwise(v)
-    else:
-        cell, own = F.lit(0).cast("bigint"), v
+    v = F.col("_v")
+    celled = F.abs(v) < tol * _CELLS_BELOW if tol > 0 else F.lit(False)
+    cell = F.when(celled, F.floor(v / (tol / 2))) if tol > 0 else F.lit(None).cast("bigint")
     cells = (
-        contexts.select(
-            *key,
-            v.alias("_v"),
-            bucket.alias("_bucket"),
-            exact.alias("_exact"),
-            cell.alias("_cell"),
-            own.alias("_own"),
-        )
-        .where(F.col("_bucket").isNotNull() & F.col("_exact").isNotNull())
-        .groupBy(*key, "_bucket", "_exact", "_cell", "_own")
+        contexts.select(*key, F.col(value).alias("_v"))
+        .where(_finite(v))
+        .select(*key, "_v", cell.alias("_cell"), F.when(~celled, v).alias("_own"))
+        .groupBy(*key, "_cell", "_own")
         .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
-    if tol <= 0:
-        return cells.select(*key, "_bucket", "_exact", "_lo", "_hi")
-    around = F.when(
-        F.col("_exact") == 0.0,
-        F.array(F.col("_bucket") - 1, F.col("_bucket"), F.col("_bucket") + 1),
-    ).otherwise(F.array("_bucket"))
-    return cells.select(*key, F.explode(around).alias("_bucket"), "_exact", "_lo", "_hi")
+    lo, hi = F.col("_lo"), F.col("_hi")
+    alone = F.array(F.lit(0).cast("bigint"))
+    reached = (
+        F.when(
+            _near(lo, tol),
+            F.sequence(_number_of(lo - tol * _REACH, tol), _number_of(hi + tol * _REACH, tol)),
+        ).otherwise(alone)
+        if tol > 0
+        else alone
+    )
+    exact = F.when(_near(lo, tol), 0.0).otherwise(lo)
+    return cells.select(*key, F.explode(reached).alias("_bucket"), exact.alias("_exact"), "_lo", "_hi")
 
 
 def _band_join(
@@ -88,8 +96,7 @@ def _band_join(
     left = answers.withColumns({"_bucket": bucket, "_exact": exact})
     right = _reduced_contexts(contexts, key, value, tol)
     on = [*key, "_bucket", "_exact"]
-    left, right = salt_join(left, right, on, rows_per_task)
-    on = [*on, "_salt"]
+    left, right, on = salt_join(left, right, on, rows_per_task)
     right = right.select(
         *[F.col(c).alias(f"_key_{i}") for i, c in enumerate(on)], "_lo", "_hi"
     )

@@ -59,15 +59,16 @@ def salt_join(
     right: DataFrame,
     keys: Sequence[str],
     rows_per_task: int | None = ROWS_PER_TASK,
-) -> tuple[DataFrame, DataFrame]:
-    """Add ``_salt`` to both sides so that no left group of an equi-join is hot.
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides and the keys to join on, so that no left group of an equi-join is hot.
 
-    Left rows of a hot group are spread by a hash of the whole row (the same
-    after a retry); right rows of such a group are repeated once per salt.
+    If there are hot groups a key ``_salt`` is added: their left rows are spread by a
+    hash of the whole row (the same after a retry), their right rows are repeated
+    once per salt.
     """
     hot = hot_groups(left, keys, rows_per_task)
     if hot is None:
-        return left.withColumn("_salt", F.lit(0)), right.withColumn("_salt", F.lit(0))
+        return left, right, list(keys)
     hot = hot.select(*keys, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts"))
     any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     salts = F.when(any_null, _NULL_SALTS).otherwise(F.coalesce(F.col("_parts"), F.lit(1)))
@@ -84,7 +85,7 @@ def salt_join(
         )
         .drop("_parts")
     )
-    return salted, repeated
+    return salted, repeated, [*keys, "_salt"]
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
