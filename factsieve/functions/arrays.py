@@ -1,11 +1,29 @@
 """Small array helpers shared by the column functions."""
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def built_once(f: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the column built for given column names; building a large one takes a while."""
+    kept: dict = {}
+
+    @wraps(f)
+    def build(*args, **kwargs) -> Column:
+        if any(isinstance(a, Column) for a in (*args, *kwargs.values())):
+            return f(*args, **kwargs)
+        key = repr((id(SparkContext._gateway), args, sorted(kwargs.items())))
+        if key not in kept:
+            kept[key] = f(*args, **kwargs)
+        return kept[key]
+
+    return build
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it many times in ``body``.
 

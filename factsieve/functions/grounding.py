@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factsieve.functions.arrays import empty, following_min, let, running_max
+from factsieve.functions.arrays import built_once, empty, following_min, let, running_max
 from factsieve.functions.numbers import format_number_text, numeric_values
 
 # Fixed value: absolute tolerance, inclusive.
@@ -71,11 +71,13 @@ def _unmatched_by_sorting(answer: Column, context: Column, tol: float) -> Column
     return let(F.array_sort(tagged), lonely)
 
 
+@built_once
 def unmatched_numbers(text: Column | str, context: Column | str, tol: float = DEFAULT_TOLERANCE) -> Column:
     """Numbers of ``text`` that do not occur in ``context``, as ``array<double>``."""
     return unmatched_values(numeric_values(text), numeric_values(context), tol)
 
 
+@built_once
 def answer_grounded(text: Column | str, context: Column | str, tol: float = DEFAULT_TOLERANCE) -> Column:
     """True if every number of ``text`` occurs in ``context``; true without numbers."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factsieve.functions import patterns
-from factsieve.functions.arrays import empty, let
+from factsieve.functions.arrays import built_once, empty, let
 from factsieve.functions.patterns import java
 from factsieve.functions.spans import find_all, find_spans
 
@@ -78,6 +78,7 @@ def _parsable(text: Column, found: Column, lexeme: Callable[[Column], Column]) -
     ).otherwise(found)
 
 
+@built_once
 def numeric_values(col: Column | str) -> Column:
     """All number values of the text, in text order, as ``array<double>``."""
     text = _text(col)
@@ -87,6 +88,7 @@ def numeric_values(col: Column | str) -> Column:
     )
 
 
+@built_once
 def numeric_spans(col: Column | str) -> Column:
     """All numbers of the text with value, offsets and raw text, in text order."""
     text = _text(col)

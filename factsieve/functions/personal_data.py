@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factsieve.functions import patterns
-from factsieve.functions.arrays import empty, let
+from factsieve.functions.arrays import built_once, empty, let
 from factsieve.functions.patterns import java
 from factsieve.functions.spans import find_all, gaps_of, locate
 
@@ -48,6 +48,7 @@ def has_credit_card(col: Column | str) -> Column:
     return has_type(col, "credit_card")
 
 
+@built_once
 def contains_pii(col: Column | str) -> Column:
     """True if any type occurs. The three digit types share one pass over the text."""
     text = _text(col)
@@ -106,6 +107,7 @@ def _each_type(
     return F.concat(*[of_type(t) for t in PII_TYPES])
 
 
+@built_once
 def pii_spans(col: Column | str, types: Iterable[str] | None = None) -> Column:
     """Every match of every type with its offsets, in type order, nothing deduplicated."""
     text = _text(col)
@@ -138,6 +140,7 @@ def pii_spans(col: Column | str, types: Iterable[str] | None = None) -> Column:
     return F.flatten(F.transform(F.filter(by_type, lambda f: F.size(f["hits"]) > 0), located))
 
 
+@built_once
 def pii_spans_by_position(col: Column | str, types: Iterable[str] | None = None) -> Column:
     """As :func:`pii_spans`, sorted by (start, end); ties keep the type order."""
     keyed = F.transform(
@@ -147,11 +150,13 @@ def pii_spans_by_position(col: Column | str, types: Iterable[str] | None = None)
     return F.transform(F.array_sort(keyed), lambda k: k["s"])
 
 
+@built_once
 def matched_types(col: Column | str) -> Column:
     """The type name of each match, duplicates kept, in type order."""
     return _each_type(_text(col), find_all, lambda m, t: F.lit(t), "string")
 
 
+@built_once
 def pii_violations(col: Column | str) -> Column:
     """``pii:<type>:<masked>`` of each match, in type order."""
     return _each_type(

@@ -10,13 +10,13 @@ DELTA_CHARS = 256
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "documents", "doc_id").select(
+    return read_table(spark, folder, "documents", spread=True).select(
         F.col("doc_id").alias("id"), "text", "source", "lang"
     )
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "pages", "page_id").select(
+    return read_table(spark, folder, "pages", spread=True).select(
         F.col("page_id").alias("id"), F.col("html").alias("text")
     )
 
@@ -36,7 +36,7 @@ def contacts(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(", mail user"), k.cast("string"), F.lit("@mail"), (k % 7).cast("string"),
         F.lit(".example.com"),
     )
-    return read_table(spark, folder, "customer", "c_custkey").select(k.alias("id"), text.alias("text"))
+    return read_table(spark, folder, "customer", spread=True).select(k.alias("id"), text.alias("text"))
 
 
 def claims(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,7 +57,7 @@ def claims(spark: SparkSession, folder: str) -> DataFrame:
     context = F.when(key % 7 == 0, F.lit("")).otherwise(
         F.concat(F.lit("Total "), plain, F.lit(", order "), key.cast("string"))
     )
-    return read_table(spark, folder, "orders", "o_orderkey").select(
+    return read_table(spark, folder, "orders", spread=True).select(
         key.alias("request_id"),
         F.concat(
             F.lit("Order "), key.cast("string"), F.lit(" total "), stated, F.lit(" in all."), mail
@@ -68,7 +68,7 @@ def claims(spark: SparkSession, folder: str) -> DataFrame:
 
 def evidence(spark: SparkSession, folder: str) -> DataFrame:
     """Context snippets, many per order: its lines' prices and, mostly, its total."""
-    lines = read_table(spark, folder, "lineitem", "l_orderkey").select(
+    lines = read_table(spark, folder, "lineitem", spread=True).select(
         F.col("l_orderkey").alias("request_id"),
         F.concat(F.lit("Line price "), F.format_number("l_extendedprice", 2)).alias("text"),
     )

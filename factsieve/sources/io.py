@@ -65,15 +65,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def read_table(spark: SparkSession, folder: str, name: str, spread_by: str | None = None) -> DataFrame:
+# A table of fewer input splits than this counts as small (some gigabytes at most).
+_SMALL_SPLITS = 32
+
+
+def read_table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
     """One parquet table of a folder.
 
-    ``spread_by`` is for work that is heavy per row: a table with fewer input
-    splits than cores (so a small one) is spread over all of them by that column.
-    A large table keeps its splits and is not shuffled.
+    ``spread`` is for work that is heavy per row: a small table with fewer input splits
+    than cores is dealt out evenly to all of them. Any other table keeps its splits
+    and is not shuffled.
     """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if spread_by is not None and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, spread_by)
+    if spread and df.rdd.getNumPartitions() < min(cores, _SMALL_SPLITS):
+        df = df.repartition(cores)
     return df

@@ -11,7 +11,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def rows_in_order(batches: Iterator[pd.DataFrame], seq: str) -> pd.DataFrame:
     """One session's rows of one micro-batch, by ``seq`` (equal values keep arrival order)."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(seq, kind="stable")
+    parts = list(batches)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    if rows[seq].is_monotonic_increasing:
+        return rows
+    return rows.sort_values(seq, kind="stable")
 
 
 def keyed_state(
