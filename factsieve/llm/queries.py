@@ -5,7 +5,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factsieve.llm import line_dedup, mixing, ngram_join, packing, quality, token_output
+from factsieve.llm import (
+    embedding_dedup,
+    graph_search,
+    license_scan,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    ppm,
+    quality,
+    token_output,
+)
 from factsieve.llm.store import Scratch, docs_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,11 +39,25 @@ def op3_differencing_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(docs_of(spark, folder))
 
 
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(docs_of(spark, folder))
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = line_dedup.dedup_lines(docs_of(spark, folder).select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op6_pivot_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.embedding_components(docs_of(spark, folder, "embeddings"))
+
+
+def op7_graph_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = docs_of(spark, folder, "embeddings")
+    index = graph_search.build_index(vectors)
+    return graph_search.search_index(index, vectors.where("vec_id % 20 = 0"))
+
+
 def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     plan = mixing.mix_plan(docs_of(spark, folder))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -44,14 +69,22 @@ def op9_patched_ids(spark: SparkSession, folder: str) -> DataFrame:
     return token_output.read_tokens(spark, files, where)
 
 
+def op10_ppm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return ppm.score(docs_of(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_quality_votes,
         op2_ngram_jaccard,
         op3_differencing_pack,
+        op4_license_scan,
         op5_line_dedup,
+        op6_pivot_near_copies,
+        op7_graph_neighbours,
         op8_source_mix,
         op9_patched_ids,
+        op10_ppm_score,
     )
 }
