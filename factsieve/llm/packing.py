@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factsieve.llm.store import text_of
+from factsieve.llm.store import share_code, text_of
 from factsieve.llm.tokens import encoder, tokenizer_path
 
 WINDOW = 2048
@@ -126,6 +126,7 @@ def pack(
     end id alone. Null and repeated ids are packed like others, row by row. Other columns
     are ignored. An empty table gives an empty result.
     """
+    share_code(docs.sparkSession)
     path = tokenizer or tokenizer_path()
     names = SCHEMA.replace(" long", "").split(", ") + ["ids"] * with_ids
 

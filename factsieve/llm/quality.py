@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factsieve.llm.store import text_bytes
+from factsieve.llm.store import share_code, text_bytes
 from factsieve.llm.words import buffer_of, mix, word_hashes
 
 # Labelled texts per class that the model is fitted on, at most.
@@ -141,6 +141,7 @@ def fit(
     table's layout. Several labels of one id are averaged and rounded; null labels and ids
     are left out. Only the sample reaches the driver.
     """
+    share_code(docs.sparkSession)
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"))
     known = known.where("label is not null and id is not null").groupBy("id").agg(F.round(F.avg("label")).alias("label"))
     known = known.where(~held_out(F.col("id")))
@@ -174,6 +175,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Ids only pass through; null and repeated ids are scored row by row. Input columns with
     the names of the new ones are replaced. An empty table gives an empty result.
     """
+    share_code(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])

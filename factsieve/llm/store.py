@@ -5,9 +5,12 @@ a lost executor then costs the tasks of one step. Only a session on one machine
 (``local[...]``) may leave the setting out; it gets a temporary folder.
 """
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +27,25 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def share_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_factsieve_sent", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    name = os.path.join(tempfile.mkdtemp(prefix="factsieve-code-"), f"{package.name}-code.zip")
+    with zipfile.ZipFile(name, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(name)
+    context._factsieve_sent = True
+
+
 class Scratch:
     """Intermediate tables of one job."""
 
     def __init__(self, spark: SparkSession, name: str):
+        share_code(spark)
         self.spark = spark
         self.folder = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._made = 0
