@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factsieve.functions import patterns
-from factsieve.functions.arrays import built_once, empty, let
+from factsieve.functions.arrays import built_once, empty
+from factsieve.functions.emails import any_email, email_spans, emails
 from factsieve.functions.patterns import java
-from factsieve.functions.spans import find_all, gaps_of, locate
+from factsieve.functions.spans import find_all, find_spans
 
 PII_TYPES = tuple(patterns.PII_PATTERNS)
 PII_SPAN = (
@@ -29,9 +30,16 @@ def _may_have(text: Column, pii_type: str) -> Column:
 
 def has_type(col: Column | str, pii_type: str) -> Column:
     text = _text(col)
+    if pii_type == "email":
+        return any_email(text)
     return _may_have(text, pii_type) & text.rlike(java(patterns.PII_PATTERNS[pii_type]))
 
 
+def _found(text: Column, pii_type: str) -> Column:
+    """The matches of one type, left to right."""
+    return emails(text) if pii_type == "email" else find_all(text, patterns.PII_PATTERNS[pii_type])
+
+
 def has_email(col: Column | str) -> Column:
     return has_type(col, "email")
 
@@ -94,14 +102,13 @@ def _wanted(types: Iterable[str] | None) -> list[str]:
 
 def _each_type(
     text: Column,
-    find: Callable[[Column, str], Column],
     element: Callable[[Column, str], Column],
     ddl: str,
 ) -> Column:
     """Findings of every type, in type order; a type whose gate fails costs nothing."""
 
     def of_type(t: str) -> Column:
-        found = F.transform(find(text, patterns.PII_PATTERNS[t]), lambda m: element(m, t))
+        found = F.transform(_found(text, t), lambda m: element(m, t))
         return F.when(_may_have(text, t), found).otherwise(empty(ddl))
 
     return F.concat(*[of_type(t) for t in PII_TYPES])
@@ -116,28 +123,17 @@ def pii_spans(col: Column | str, types: Iterable[str] | None = None) -> Column:
         return empty(PII_SPAN)
 
     def found(t: str) -> Column:
-        pattern = patterns.PII_PATTERNS[t]
-        hits = F.when(_may_have(text, t), find_all(text, pattern)).otherwise(empty("string"))
-        return let(
-            hits,
-            lambda h: F.struct(
-                F.lit(t).alias("pii_type"),
-                h.alias("hits"),
-                F.when(F.size(h) > 0, gaps_of(text, pattern)).alias("gaps"),
-            ),
-        )
-
-    def located(f: Column) -> Column:
-        return F.transform(
-            locate(f["hits"], f["gaps"]),
+        spans = email_spans(text) if t == "email" else find_spans(text, patterns.PII_PATTERNS[t])
+        located = F.transform(
+            spans,
             lambda m: F.struct(
-                f["pii_type"].alias("pii_type"),
+                F.lit(t).alias("pii_type"),
                 *[m[c].alias(c) for c in ("start", "end", "start_char", "end_char", "raw")],
             ),
         )
+        return F.when(_may_have(text, t), located).otherwise(empty(PII_SPAN))
 
-    by_type = F.array(*[found(t) for t in wanted])
-    return F.flatten(F.transform(F.filter(by_type, lambda f: F.size(f["hits"]) > 0), located))
+    return F.concat(*[found(t) for t in wanted])
 
 
 @built_once
@@ -153,7 +149,7 @@ def pii_spans_by_position(col: Column | str, types: Iterable[str] | None = None)
 @built_once
 def matched_types(col: Column | str) -> Column:
     """The type name of each match, duplicates kept, in type order."""
-    return _each_type(_text(col), find_all, lambda m, t: F.lit(t), "string")
+    return _each_type(_text(col), lambda m, t: F.lit(t), "string")
 
 
 @built_once
@@ -161,7 +157,6 @@ def pii_violations(col: Column | str) -> Column:
     """``pii:<type>:<masked>`` of each match, in type order."""
     return _each_type(
         _text(col),
-        find_all,
         lambda raw, t: F.concat(F.lit(f"pii:{t}:"), mask(raw, t)),
         "string",
     )
@@ -170,5 +165,5 @@ def pii_violations(col: Column | str) -> Column:
 def count_type(text: Column, pii_type: str) -> Column:
     """How many matches of one type the text holds."""
     return F.when(
-        _may_have(text, pii_type), F.size(find_all(text, patterns.PII_PATTERNS[pii_type]))
+        _may_have(text, pii_type), F.size(_found(text, pii_type))
     ).otherwise(F.lit(0))

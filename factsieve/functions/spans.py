@@ -30,7 +30,7 @@ def gaps_of(text: Column, pattern: str) -> Column:
     ).otherwise(F.split(marked, _MARK, -1))
 
 
-def _lengths(s: Column) -> Column:
+def lengths(s: Column) -> Column:
     """Bytes and characters in one number, so that one running sum adds up both."""
     return F.shiftleft(F.octet_length(s).cast("bigint"), 32) + F.char_length(s)
 
@@ -40,8 +40,8 @@ def locate(hits: Column, gaps: Column) -> Column:
 
     Match i ends after the first i gaps and matches.
     """
-    steps = F.transform(hits, lambda hit, i: _lengths(F.get(gaps, i)) + _lengths(hit))
-    return F.transform(F.arrays_zip(hits.alias("hit"), running_sum(steps).alias("to")), _span)
+    steps = F.transform(hits, lambda hit, i: lengths(F.get(gaps, i)) + lengths(hit))
+    return F.transform(F.arrays_zip(hits.alias("hit"), running_sum(steps).alias("to")), lambda f: span_at(f["hit"], f["to"]))
 
 
 def find_spans(text: Column, pattern: str) -> Column:
@@ -54,10 +54,10 @@ def find_spans(text: Column, pattern: str) -> Column:
     )
 
 
-def _span(found: Column) -> Column:
-    raw = found["hit"]
-    end = F.shiftright(found["to"], 32).cast("int")
-    end_char = found["to"].bitwiseAND(F.lit(_LOW)).cast("int")
+def span_at(raw: Column, to: Column) -> Column:
+    """The span of ``raw`` that ends at ``to``, a sum of :func:`lengths`."""
+    end = F.shiftright(to, 32).cast("int")
+    end_char = to.bitwiseAND(F.lit(_LOW)).cast("int")
     return F.struct(
         (end - F.octet_length(raw)).alias("start"),
         end.alias("end"),
