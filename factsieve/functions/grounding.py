@@ -9,44 +9,38 @@ from factsieve.functions.numbers import format_number_text, numeric_values
 # Fixed value: absolute tolerance, inclusive.
 DEFAULT_TOLERANCE = 0.01
 
-# Up to this many comparisons all pairs of one row are tried; beyond, both sides are sorted.
-PAIRS_PER_ROW = 1 << 16
-
 
 def within(a: Column, b: Column, tol: float) -> Column:
     return F.abs(a - b) <= F.lit(float(tol))
 
 
 def verify_numeric(value: Column, context: Column, tol: float = DEFAULT_TOLERANCE) -> Column:
-    """True if ``value`` occurs in the array ``context`` within the tolerance."""
-    return F.exists(context, lambda c: within(c, value, tol))
+    """True if ``value`` occurs in the array ``context`` within the tolerance; NULLs match nothing."""
+    return F.coalesce(
+        F.exists(context, lambda c: F.coalesce(within(c, value, tol), F.lit(False))), F.lit(False)
+    )
 
 
-def unmatched_values(
-    answer: Column, context: Column, tol: float = DEFAULT_TOLERANCE, pairs_per_row: int = PAIRS_PER_ROW
-) -> Column:
+def unmatched_values(answer: Column, context: Column, tol: float = DEFAULT_TOLERANCE) -> Column:
     """Values of the array ``answer`` with no partner in the array ``context``.
 
-    Order and duplicates are kept. ``context`` is not evaluated when the answer
-    holds no number, and once at most.
+    Order and duplicates are kept. A NULL matches nothing on either side: it is unmatched
+    in the answer and overlooked in the context, and a NULL context is an empty one.
+    ``context`` is not evaluated when the answer holds no number, and once at most.
     """
-
-    def check(a: Column, c: Column) -> Column:
-        pairs = F.size(a).cast("bigint") * F.size(c)
-        return F.when(
-            pairs <= pairs_per_row, F.filter(a, lambda v: ~verify_numeric(v, c, tol))
-        ).otherwise(_unmatched_by_sorting(a, c, tol))
-
     return let(
         answer,
         lambda a: F.when(F.size(a) == 0, empty("double")).otherwise(
-            let(context, lambda c: check(a, c))
+            _unmatched_by_sorting(a, F.coalesce(context, empty("double")), tol)
         ),
     )
 
 
 def _unmatched_by_sorting(answer: Column, context: Column, tol: float) -> Column:
-    """The nearest context values on both sides decide; found by one sort and two scans."""
+    """The nearest context values on both sides decide; found by one sort and two scans.
+
+    NULLs sort first and are passed over by the scans.
+    """
     tagged = F.concat(
         F.transform(context, lambda c: F.struct(c.alias("v"), F.lit(-1).alias("i"))),
         F.transform(answer, lambda v, i: F.struct(v.alias("v"), i.alias("i"))),
@@ -81,18 +75,7 @@ def unmatched_numbers(text: Column | str, context: Column | str, tol: float = DE
 def answer_grounded(text: Column | str, context: Column | str, tol: float = DEFAULT_TOLERANCE) -> Column:
     """True if every number of ``text`` occurs in ``context``; true without numbers."""
 
-    def check(a: Column, c: Column) -> Column:
-        pairs = F.size(a).cast("bigint") * F.size(c)
-        return F.when(
-            pairs <= PAIRS_PER_ROW, F.forall(a, lambda v: verify_numeric(v, c, tol))
-        ).otherwise(F.size(_unmatched_by_sorting(a, c, tol)) == 0)
-
-    return let(
-        numeric_values(text),
-        lambda a: F.when(F.size(a) == 0, F.lit(True)).otherwise(
-            let(numeric_values(context), lambda c: check(a, c))
-        ),
-    )
+    return F.size(unmatched_numbers(text, context, tol)) == 0
 
 
 def numeric_violations(unmatched: Column) -> Column:

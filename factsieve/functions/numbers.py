@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from factsieve.functions import patterns
 from factsieve.functions.arrays import built_once, empty, let
 from factsieve.functions.patterns import java
-from factsieve.functions.spans import find_all, find_spans
+from factsieve.functions.spans import SPAN, find_all, find_spans
 
 
 def _text(col: Column | str) -> Column:
@@ -59,8 +59,17 @@ def parse_numeric(lexeme: Column) -> Column:
 
     A percent keeps its face value. NULL if the digits do not parse.
     """
-    core = F.regexp_extract(lexeme, java(patterns.NUMBER_CORE), 0)
-    magnitude = let(core, normalize_digits).try_cast("double")
+    return parse_core(lexeme, lambda core: let(core, normalize_digits))
+
+
+def number_core(lexeme: Column) -> Column:
+    """Digits and separators of a lexeme."""
+    return F.regexp_extract(lexeme, java(patterns.NUMBER_CORE), 0)
+
+
+def parse_core(lexeme: Column, digits: Callable[[Column], Column]) -> Column:
+    """As :func:`parse_numeric`; ``digits`` says how to normalise the bare number."""
+    magnitude = digits(number_core(lexeme)).try_cast("double")
     signed = F.when(F.startswith(lexeme, F.lit("-")), -magnitude).otherwise(magnitude)
     word = F.regexp_extract(lexeme, r"\p{L}.*$", 0)
     return (
@@ -79,24 +88,34 @@ def _parsable(text: Column, found: Column, lexeme: Callable[[Column], Column]) -
 
 
 @built_once
-def numeric_values(col: Column | str) -> Column:
-    """All number values of the text, in text order, as ``array<double>``."""
+def numeric_lexemes(col: Column | str) -> Column:
+    """All number lexemes of the text, in text order, as ``array<string>``."""
     text = _text(col)
     hits = _parsable(text, find_all(text, patterns.NUMBER_WITH_MULTIPLIER), lambda f: f)
-    return F.when(text.rlike(java(patterns.DIGIT)), F.transform(hits, parse_numeric)).otherwise(
-        empty("double")
-    )
+    return F.when(text.rlike(java(patterns.DIGIT)), hits).otherwise(empty("string"))
 
 
 @built_once
-def numeric_spans(col: Column | str) -> Column:
-    """All numbers of the text with value, offsets and raw text, in text order."""
+def lexeme_spans(col: Column | str) -> Column:
+    """As :func:`numeric_lexemes`, with offsets."""
     text = _text(col)
     spans = _parsable(
         text, find_spans(text, patterns.NUMBER_WITH_MULTIPLIER), lambda f: f["raw"]
     )
+    return F.when(text.rlike(java(patterns.DIGIT)), spans).otherwise(empty(SPAN))
+
+
+@built_once
+def numeric_values(col: Column | str) -> Column:
+    """All number values of the text, in text order, as ``array<double>``."""
+    return F.transform(numeric_lexemes(col), parse_numeric)
+
+
+@built_once
+def numeric_spans(col: Column | str) -> Column:
+    """All numbers of the text with value, offsets and raw text, in text order."""
     return F.transform(
-        spans,
+        lexeme_spans(col),
         lambda m: F.struct(
             parse_numeric(m["raw"]).alias("value"),
             *[m[f].alias(f) for f in ("start", "end", "start_char", "end_char", "raw")],

@@ -16,7 +16,9 @@ EMAIL = rf"\b[{LETTERS}0-9._%+\-]++@[{LETTERS}0-9.\-]+\.[{LETTERS}]{{2,}}\b"
 # The same in parts, for a search from each ``@``: one character of the local part, the
 # domain after the sign, and the local part at the end of a run with the character before it.
 EMAIL_RUN = rf"[{LETTERS}0-9._%+\-]"
-EMAIL_DOMAIN = rf"[{LETTERS}0-9.\-]+\.[{LETTERS}]{{2,}}\b"
+EMAIL_DOMAIN_RUN = rf"[{LETTERS}0-9.\-]*+"
+EMAIL_DOMAIN_END = rf"\.[{LETTERS}]{{2,}}\b"
+EMAIL_DOMAIN = rf"[{LETTERS}0-9.\-]+{EMAIL_DOMAIN_END}"
 EMAIL_LOCAL_END = rf"^[^{LETTERS}0-9._%+\-]?{EMAIL_RUN}*?\b({EMAIL_RUN}+)\z"
 PHONE = (
     r"(?=[+(\d])(?:"

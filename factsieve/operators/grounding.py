@@ -7,8 +7,9 @@ equi-join on key and bucket with an exact residual test.
 
 Context values are reduced before any of that: within a cell half the tolerance
 wide only the smallest and the largest value can decide, so a key and bucket
-never holds more than a few context rows, however often its numbers repeat. Hot
-buckets on the answer side are salted.
+never holds more than a few context rows, however often its numbers repeat. No job runs
+while the plan is built; hot buckets on the answer side are left to adaptive execution,
+which splits the left side of semi and anti joins by map output.
 """
 
 import math
@@ -18,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsieve.functions.grounding import DEFAULT_TOLERANCE, within
-from factsieve.plans.skew import ROWS_PER_TASK, salt_join
 
 # Bucket width in tolerances: wider means fewer copies of context values, but more
 # of them to test per answer number.
@@ -88,7 +88,6 @@ def _band_join(
     tol: float,
     value: str,
     how: str,
-    rows_per_task: int | None,
 ) -> DataFrame:
     if not math.isfinite(tol):
         raise ValueError("tolerance must be finite")
@@ -96,7 +95,6 @@ def _band_join(
     left = answers.withColumns({"_bucket": bucket, "_exact": exact})
     right = _reduced_contexts(contexts, key, value, tol)
     on = [*key, "_bucket", "_exact"]
-    left, right, on = salt_join(left, right, on, rows_per_task)
     right = right.select(
         *[F.col(c).alias(f"_key_{i}") for i, c in enumerate(on)], "_lo", "_hi"
     )
@@ -112,10 +110,9 @@ def grounded_numbers(
     key: str | Sequence[str],
     tol: float = DEFAULT_TOLERANCE,
     value: str = "value",
-    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Answer numbers with a context number of the same key within the tolerance."""
-    return _band_join(answers, contexts, _as_list(key), tol, value, "left_semi", rows_per_task)
+    return _band_join(answers, contexts, _as_list(key), tol, value, "left_semi")
 
 
 def unmatched_numerics(
@@ -124,13 +121,12 @@ def unmatched_numerics(
     key: str | Sequence[str],
     tol: float = DEFAULT_TOLERANCE,
     value: str = "value",
-    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Answer numbers without a context number of the same key within the tolerance.
 
     Duplicates stay; one context number may ground many answer numbers.
     """
-    return _band_join(answers, contexts, _as_list(key), tol, value, "left_anti", rows_per_task)
+    return _band_join(answers, contexts, _as_list(key), tol, value, "left_anti")
 
 
 def unmatched_against_facts(
@@ -138,10 +134,9 @@ def unmatched_against_facts(
     facts: DataFrame,
     tol: float = DEFAULT_TOLERANCE,
     value: str = "value",
-    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Answer numbers that occur nowhere in one fact table shared by all answers."""
-    return _band_join(answers, facts, [], tol, value, "left_anti", rows_per_task)
+    return _band_join(answers, facts, [], tol, value, "left_anti")
 
 
 def answers_grounded(
@@ -151,12 +146,11 @@ def answers_grounded(
     id_cols: str | Sequence[str],
     key: str | Sequence[str],
     tol: float = DEFAULT_TOLERANCE,
-    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """``id_cols`` of every answer and ``grounded``: no number of it is unmatched."""
     ids = _as_list(id_cols)
     bad = (
-        unmatched_numerics(numbers, contexts, key, tol, rows_per_task=rows_per_task)
+        unmatched_numerics(numbers, contexts, key, tol)
         .select(*ids)
         .distinct()
         .withColumn("_bad", F.lit(True))

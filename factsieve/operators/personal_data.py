@@ -26,9 +26,9 @@ def detect_pii(
     id_cols: Sequence[str] = ("id",),
     types: Iterable[str] | None = None,
 ) -> DataFrame:
-    """One row per match: type, byte and character offsets, raw text and mask.
+    """One row per match: ``ord``, type, byte and character offsets, raw text and mask.
 
-    Spans of one text come in (start, end) order; types may overlap. The boolean
+    ``ord`` numbers the spans of one text in (start, end) order; types may overlap. The boolean
     test runs first, so clean texts never reach the span search.
     """
     if types is None:
@@ -41,6 +41,7 @@ def detect_pii(
         wanted = reduce(lambda a, b: a | b, [has_type(text_col, t) for t in types], F.lit(False))
     spans = F.when(wanted, pii_spans_by_position(text_col, types))
     # Masks are made after the spans became rows, where expressions are compiled.
-    return df.select(*id_cols, F.inline(spans)).withColumn(
+    found = df.select(*id_cols, F.posexplode(spans).alias("ord", "_span"))
+    return found.select(*id_cols, "ord", "_span.*").withColumn(
         "masked", mask_by_type(F.col("raw"), F.col("pii_type"))
     )

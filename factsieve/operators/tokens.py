@@ -149,15 +149,22 @@ def token_segments(
     from before the clear. Clear markers are no tokens and are left out.
     """
     keys, order = _list(key), _list(order)
+    hot = hot_groups(df, keys, rows_per_task)
+    return _segments(df, is_reset, keys, order, keep_resets, rows_per_task, hot)
+
+
+def _segments(
+    df: DataFrame,
+    is_reset: Column | str,
+    keys: list[str],
+    order: list[str],
+    keep_resets: bool,
+    rows_per_task: int | None,
+    hot: DataFrame | None,
+) -> DataFrame:
     reset = F.coalesce(F.col(is_reset) if isinstance(is_reset, str) else is_reset, F.lit(False))
-    counted = running_totals(
-        df.withColumn("_reset", reset),
-        keys,
-        order,
-        {"segment": F.col("_reset").cast("bigint")},
-        rows_per_task,
-        hot_groups(df, keys, rows_per_task),
-    )
+    total = {"segment": F.col("_reset").cast("bigint")}
+    counted = running_totals(df.withColumn("_reset", reset), keys, order, total, rows_per_task, hot)
     return (counted if keep_resets else counted.where(~F.col("_reset"))).drop("_reset")
 
 
@@ -172,14 +179,14 @@ def window_length(
     """Add ``window_len``, ``is_empty`` and ``capacity`` as of each row (push or clear)."""
     check_capacity(capacity)
     keys, order = _list(key), _list(order)
-    pushed = F.lit(1)
+    pushed, groups = F.lit(1), keys
+    # One count of the raw sessions serves both windows; segments are parts of sessions.
+    hot = hot_groups(df, keys, rows_per_task)
     if is_reset is not None:
-        df = token_segments(df, is_reset, keys, order, True, rows_per_task)
+        df = _segments(df, is_reset, keys, order, True, rows_per_task, hot)
         pushed = F.when(F.coalesce(F.col(is_reset), F.lit(False)), 0).otherwise(1)
-        keys = [*keys, "segment"]
-    counted = running_totals(
-        df, keys, order, {"_held": pushed}, rows_per_task, hot_groups(df, keys, rows_per_task)
-    )
+        groups = [*keys, "segment"]
+    counted = running_totals(df, groups, order, {"_held": pushed}, rows_per_task, hot, keys)
     length = F.least(F.col("_held"), F.lit(capacity).cast("bigint"))
     return counted.withColumns(
         {

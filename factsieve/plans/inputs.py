@@ -10,13 +10,13 @@ DELTA_CHARS = 256
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "documents", spread=True).select(
+    return read_table(spark, folder, "documents").select(
         F.col("doc_id").alias("id"), "text", "source", "lang"
     )
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "pages", spread=True).select(
+    return read_table(spark, folder, "pages").select(
         F.col("page_id").alias("id"), F.col("html").alias("text")
     )
 
@@ -36,19 +36,25 @@ def contacts(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(", mail user"), k.cast("string"), F.lit("@mail"), (k % 7).cast("string"),
         F.lit(".example.com"),
     )
-    return read_table(spark, folder, "customer", spread=True).select(k.alias("id"), text.alias("text"))
+    return read_table(spark, folder, "customer").select(k.alias("id"), text.alias("text"))
 
 
 def claims(spark: SparkSession, folder: str) -> DataFrame:
-    """Per order an answer that states its total in one of six ways, and a context."""
+    """Per order an answer that states its total in one of twelve ways, and a context."""
     key, total = F.col("o_orderkey"), F.col("o_totalprice")
     plain = F.format_number(total, 2)
     stated = (
-        F.when(key % 6 == 0, plain)
-        .when(key % 6 == 1, F.concat(F.format_number(total / 1000, 5), F.lit(" thousand")))
-        .when(key % 6 == 2, F.format_number(total + 0.005, 3))
-        .when(key % 6 == 3, F.format_number(total + 5, 2))
-        .when(key % 6 == 4, F.translate(plain, ",.", ".,"))
+        F.when(key % 12 == 0, plain)
+        .when(key % 12 == 1, F.concat(F.format_number(total / 1000, 5), F.lit(" thousand")))
+        .when(key % 12 == 2, F.format_number(total + 0.005, 3))
+        .when(key % 12 == 3, F.format_number(total + 5, 2))
+        .when(key % 12 == 4, F.translate(plain, ",.", ".,"))
+        .when(key % 12 == 5, F.concat(F.format_number(total / 1e6, 8), F.lit(" Million")))
+        .when(key % 12 == 6, F.concat(F.format_number(total / 1e9, 11), F.lit(" billion")))
+        .when(key % 12 == 7, F.concat(F.lit("±"), plain))
+        .when(key % 12 == 8, F.concat(F.lit("-"), plain))
+        .when(key % 12 == 9, F.concat(F.lit("+"), plain, F.lit(" %")))
+        .when(key % 12 == 10, F.concat(plain, F.lit("%")))
         .otherwise(F.lit("not stated"))
     )
     mail = F.when(
@@ -57,7 +63,7 @@ def claims(spark: SparkSession, folder: str) -> DataFrame:
     context = F.when(key % 7 == 0, F.lit("")).otherwise(
         F.concat(F.lit("Total "), plain, F.lit(", order "), key.cast("string"))
     )
-    return read_table(spark, folder, "orders", spread=True).select(
+    return read_table(spark, folder, "orders").select(
         key.alias("request_id"),
         F.concat(
             F.lit("Order "), key.cast("string"), F.lit(" total "), stated, F.lit(" in all."), mail
@@ -68,7 +74,7 @@ def claims(spark: SparkSession, folder: str) -> DataFrame:
 
 def evidence(spark: SparkSession, folder: str) -> DataFrame:
     """Context snippets, many per order: its lines' prices and, mostly, its total."""
-    lines = read_table(spark, folder, "lineitem", spread=True).select(
+    lines = read_table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("request_id"),
         F.concat(F.lit("Line price "), F.format_number("l_extendedprice", 2)).alias("text"),
     )

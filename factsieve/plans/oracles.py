@@ -6,7 +6,7 @@ that finds the same matches.
 
 _THOUSANDS = "'{:,.2f}'"
 
-# The patterns in RE2 syntax.
+# The patterns in RE2 syntax; further below also masks, reasons and rule names.
 _EMAIL = r"(?i)\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}\b"
 _PHONE = (
     r"\+\s*1[\s.\-]*\(\s*\d{3}\s*\)[\s.\-]*\d{3}[\s.\-]*\d{4}"
@@ -43,12 +43,18 @@ FROM customer"""
 
 _CLAIMS = f"""
 SELECT o_orderkey AS id,
-  'Order ' || o_orderkey || ' total ' || CASE o_orderkey % 6
+  'Order ' || o_orderkey || ' total ' || CASE o_orderkey % 12
     WHEN 0 THEN format({_THOUSANDS}, o_totalprice)
     WHEN 1 THEN format('{{:,.5f}}', o_totalprice / 1000) || ' thousand'
     WHEN 2 THEN format('{{:,.3f}}', o_totalprice + 0.005)
     WHEN 3 THEN format({_THOUSANDS}, o_totalprice + 5)
     WHEN 4 THEN translate(format({_THOUSANDS}, o_totalprice), ',.', '.,')
+    WHEN 5 THEN format('{{:,.8f}}', o_totalprice / 1e6) || ' Million'
+    WHEN 6 THEN format('{{:,.11f}}', o_totalprice / 1e9) || ' billion'
+    WHEN 7 THEN '±' || format({_THOUSANDS}, o_totalprice)
+    WHEN 8 THEN '-' || format({_THOUSANDS}, o_totalprice)
+    WHEN 9 THEN '+' || format({_THOUSANDS}, o_totalprice) || ' %'
+    WHEN 10 THEN format({_THOUSANDS}, o_totalprice) || '%'
     ELSE 'not stated' END || ' in all.' ||
   CASE WHEN o_orderkey % 10 = 0 THEN ' Mail user' || o_orderkey || '@example.com' ELSE '' END AS text,
   CASE WHEN o_orderkey % 7 = 0 THEN ''
@@ -94,7 +100,7 @@ def _spans(source: str, types=tuple(_TYPES)) -> str:
         f"""
 SELECT id, '{t}' AS pii_type, b AS "start", CAST(b + strlen(raw) AS INTEGER) AS "end",
   c AS start_char, CAST(c + length(raw) AS INTEGER) AS end_char, raw, {_MASKS[t]} AS masked,
-  {list(_TYPES).index(t)} AS type_rank, k
+  {list(_TYPES).index(t)} AS type_rank, k, b, b + strlen(raw) AS e
 FROM ({_located(source, _TYPES[t])})"""
         for t in types
     )
@@ -102,7 +108,8 @@ FROM ({_located(source, _TYPES[t])})"""
 
 def _span_query(source: str, types=tuple(_TYPES)) -> str:
     return (
-        'SELECT id, pii_type, "start", "end", start_char, end_char, raw, masked '
+        "SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY b, e, type_rank) - 1 AS INTEGER) AS ord, "
+        'pii_type, "start", "end", start_char, end_char, raw, masked '
         f"FROM ({_spans(source, types)})"
     )
 
@@ -262,7 +269,7 @@ FROM ({_spans(_DOCS)}) s JOIN documents d ON d.doc_id = s.id GROUP BY ALL""",
     "lexeme_values": f"""
 SELECT raw, count(*) AS n, any_value(value) AS value,
   {_normal("regexp_extract(raw, '[0-9.,]+')")} AS digits, {_factor('raw')} AS factor
-FROM ({_CLAIM_NUMBERS}) GROUP BY raw""",
+FROM (SELECT * FROM ({_CLAIM_NUMBERS}) UNION ALL SELECT * FROM ({_CONTEXT_NUMBERS})) GROUP BY raw""",
     "grounded_numbers_by_order": _by_key("EXISTS", _EVIDENCE_NUMBERS),
     "unmatched_numerics_by_order": _by_key("NOT EXISTS", _EVIDENCE_NUMBERS),
     "answers_grounded_by_order": f"""
@@ -285,6 +292,7 @@ SELECT o_orderkey AS request_id, EXISTS (SELECT 1 FROM c
     ),
     "document_numbers_not_in_pages": _against(_numbers(_DOCS), _numbers(_PAGES), "id"),
     "verify_text": _verdicts(True, True),
+    "verdicts_through_files": _verdicts(True, True),
     "verify_text_pii_only": _verdicts(True, False),
     "verify_text_numeric_only": _verdicts(False, True),
     "verify_text_unknown_rule": _verdicts(False, False),

@@ -27,7 +27,13 @@ from factsieve.operators.tokens import (
 )
 from factsieve.operators.verdicts import verify_text
 from factsieve.plans import inputs
-from factsieve.sources.io import read_token_batches, shared_folder, write_verdict_stream
+from factsieve.sources.io import (
+    read_requests,
+    read_token_batches,
+    shared_folder,
+    write_verdict_stream,
+    write_verdicts,
+)
 from factsieve.streaming.tokens import last_n_stream
 from factsieve.streaming.verdicts import verify_stream
 
@@ -125,10 +131,10 @@ def numeric_values(spark, folder):
 @_query
 def lexeme_values(spark, folder):
     raw = F.col("raw")
+    claims = inputs.claims(spark, folder)
+    texts = claims.select("text").union(claims.select("context"))
     return (
-        extract_numerics(
-            inputs.claims(spark, folder).select("text", "context"), "text", ["context"]
-        )
+        extract_numerics(texts, "text", [])
         .select("raw")
         .groupBy("raw")
         .agg(F.count("*").alias("n"))
@@ -228,8 +234,8 @@ def _verdicts(spark, folder, rules: list[str]):
     return verify_text(claims)
 
 
-def _verdict_query(name: str, rules: list[str]) -> None:
-    QUERIES[name] = lambda spark, folder: _verdicts(spark, folder, rules).select(
+def _verdict_columns(verdicts: DataFrame) -> DataFrame:
+    return verdicts.select(
         "request_id",
         "passed",
         F.size("violations").alias("n_violations"),
@@ -241,12 +247,31 @@ def _verdict_query(name: str, rules: list[str]) -> None:
     )
 
 
+def _verdict_query(name: str, rules: list[str]) -> None:
+    QUERIES[name] = lambda spark, folder: _verdict_columns(_verdicts(spark, folder, rules))
+
+
 _verdict_query("verify_text", [])
 _verdict_query("verify_text_pii_only", [" pii_block "])
 _verdict_query("verify_text_numeric_only", ["numeric_verify", "Pii_Block"])
 _verdict_query("verify_text_unknown_rule", ["unknown"])
 
 
+@_query
+def verdicts_through_files(spark, folder):
+    """Claims stored as requests, read by the reader, verified, stored by the sink and read again."""
+    requests, verdicts = (shared_folder(spark, n) for n in ("requests", "stored-verdicts"))
+    inputs.claims(spark, folder).select(
+        "request_id",
+        "text",
+        "context",
+        F.lit("tenant").alias("tenant_id"),
+        F.array().cast("array<string>").alias("rules"),
+    ).write.parquet(requests)
+    write_verdicts(verify_text(read_requests(spark, requests)), verdicts)
+    return _verdict_columns(spark.read.parquet(verdicts))
+
+
 @_query
 def violations_list(spark, folder):
     return _verdicts(spark, folder, []).select(

@@ -1,10 +1,10 @@
-"""Hot groups: find them, salt them, and order them without one task per group.
+"""Hot groups: find them, and order them without one task per group.
 
-A group with more rows than ``rows_per_task`` is *hot*. Before a window or a join
-is planned, one job counts the groups (combined before its shuffle) and brings
-the hot ones, at most ``MAX_HOT_GROUPS`` of them, to the driver. Usually there are
-none and the plain plan is used. The list only steers how work is split: a group
-missing from it is still computed right. ``rows_per_task=None`` skips the count.
+A group with more rows than ``rows_per_task`` is *hot*. Before a window is planned, one job
+counts the groups (combined before its shuffle) and keeps the hot ones, a row per group, on
+the executors. Usually there are none and the plain plan is used. ``rows_per_task=None``
+skips the count and leaves every group to one task. Joins need none of this: adaptive
+execution splits their skewed sides.
 """
 
 from collections.abc import Sequence
@@ -14,18 +14,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 1_000_000
-MAX_HOT_GROUPS = 100_000
-# Most ordered blocks of one hot group; blocks grow beyond that.
-MAX_BLOCKS = 1023
 _SAMPLES_PER_BLOCK = 16
-# Salts for rows whose key is NULL and so joins nothing.
-_NULL_SALTS = 1024
+# The borders of a group are searched in so many halving steps, enough for any array.
+_STEPS = 31
+_TIE = "_tie"
 
 
 def hot_groups(
     df: DataFrame, keys: Sequence[str], rows_per_task: int | None = ROWS_PER_TASK
 ) -> DataFrame | None:
-    """``keys`` + ``_rows`` of the groups above the limit, the largest if too many; None if none."""
+    """``keys`` + ``_rows`` of the groups above the limit; None if there are none.
+
+    There is at most one hot group per ``rows_per_task`` rows. The list is kept in memory or
+    on disk by the executors and counted anew if one of them is lost.
+    """
     if rows_per_task is None or not keys:
         return None
     hot = (
@@ -33,15 +35,16 @@ def hot_groups(
         .groupBy(*keys)
         .agg(F.count("*").alias("_rows"))
         .where(F.col("_rows") > rows_per_task)
-        .orderBy(F.desc("_rows"))
-        .limit(MAX_HOT_GROUPS)
+        .persist()
     )
-    rows = hot.collect()
-    return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+    if hot.isEmpty():
+        hot.unpersist()
+        return None
+    return hot
 
 
 def _join_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join with a small table on keys that may be NULL; key columns come from ``df``."""
+    """Join with the list on keys that may be NULL; key columns come from ``df``."""
     renamed = hot.select(
         *[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)],
         *[c for c in hot.columns if c not in keys],
@@ -50,44 +53,10 @@ def _join_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str) -> D
         lambda a, b: a & b,
         [F.col(k).eqNullSafe(F.col(f"_hot_{i}")) for i, k in enumerate(keys)],
     )
-    joined = df.join(F.broadcast(renamed), same, how)
+    joined = df.join(renamed, same, how)
     return joined.drop(*[f"_hot_{i}" for i in range(len(keys))])
 
 
-def salt_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    rows_per_task: int | None = ROWS_PER_TASK,
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides and the keys to join on, so that no left group of an equi-join is hot.
-
-    If there are hot groups a key ``_salt`` is added: their left rows are spread by a
-    hash of the whole row (the same after a retry), their right rows are repeated
-    once per salt.
-    """
-    hot = hot_groups(left, keys, rows_per_task)
-    if hot is None:
-        return left, right, list(keys)
-    hot = hot.select(*keys, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts"))
-    any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    salts = F.when(any_null, _NULL_SALTS).otherwise(F.coalesce(F.col("_parts"), F.lit(1)))
-    salted = (
-        _join_hot(left, hot, keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int"))
-        .drop("_parts")
-    )
-    repeated = (
-        _join_hot(right, hot, keys, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)),
-        )
-        .drop("_parts")
-    )
-    return salted, repeated, [*keys, "_salt"]
-
-
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary groups, rows of hot groups with ``_rows``)."""
     return _join_hot(df, hot, keys, "left_anti"), _join_hot(df, hot, keys, "inner")
@@ -98,14 +67,16 @@ def _with_blocks(
 ) -> DataFrame:
     """Number contiguous blocks of each hot group along ``order``, as ``_block``.
 
-    Block borders are picked evenly from a hash sample of the group, so they are
-    the same in every evaluation. Rows with equal order values share a block.
+    Block borders are picked evenly from a hash sample of the group, so they are the same
+    in every evaluation. Among equal order values the hash of the whole row, ``_tie``,
+    decides; only rows alike in every column share a block for certain.
     """
-    place = F.struct(*order)
-    parts = F.least(F.ceil(F.col("_rows") / rows_per_task), F.lit(MAX_BLOCKS)).cast("int")
+    hot = hot.withColumn(_TIE, F.xxhash64(*[c for c in hot.columns if c != "_rows"]))
+    place = F.struct(*order, _TIE)
+    parts = F.ceil(F.col("_rows") / rows_per_task).cast("int")
     one_in = F.greatest(F.floor(F.col("_rows") / (parts * _SAMPLES_PER_BLOCK)), F.lit(1))
     borders = (
-        hot.where(F.pmod(F.xxhash64(*keys, *order), one_in) == 0)
+        hot.where(F.pmod(F.xxhash64(*keys, *order, _TIE), one_in) == 0)
         .groupBy(*keys)
         .agg(F.first(parts).alias("_parts"), F.sort_array(F.collect_set(place)).alias("_sample"))
         .select(
@@ -119,10 +90,10 @@ def _with_blocks(
             ).alias("_borders"),
         )
     )
-    # Borders at or before the row, by binary search over at most MAX_BLOCKS entries.
-    steps = F.array(*[F.lit(1 << i) for i in range(MAX_BLOCKS.bit_length() - 1, -1, -1)])
+    # Borders at or before the row, by binary search.
+    steps = F.array(*[F.lit(1 << i) for i in range(_STEPS - 1, -1, -1)])
     block = F.aggregate(
-        steps,
+        F.filter(steps, lambda step: step <= F.size("_borders")),
         F.lit(0),
         lambda at, step: F.when(
             F.get(F.col("_borders"), at + step - 1) <= F.col("_place"), at + step
@@ -144,7 +115,7 @@ def hot_running_totals(
 ) -> DataFrame:
     """Running totals inside hot groups: totals within blocks plus totals of earlier blocks."""
     blocked = _with_blocks(hot, keys, order, rows_per_task)
-    within = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(
+    within = Window.partitionBy(*keys, "_block").orderBy(*order, _TIE).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -161,7 +132,6 @@ def hot_running_totals(
         )
     )
     local = blocked.withColumns({n: F.sum(c).over(within) for n, c in totals.items()})
-    # At most MAX_BLOCKS rows per hot group: left to the optimizer to broadcast by size.
     on = [*keys, "_block"]
     joined = local.join(
         before.select(
@@ -186,10 +156,12 @@ def running_totals(
     totals: dict[str, Column],
     rows_per_task: int | None = ROWS_PER_TASK,
     hot: DataFrame | None = None,
+    hot_keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """``sum(...) over (partition by keys order by order)`` for each entry of ``totals``.
 
-    ``hot`` is the result of :func:`hot_groups` on the same keys (None: no hot group).
+    ``hot`` is the result of :func:`hot_groups` (None: no hot group) on the same keys or on
+    ``hot_keys``, some of them.
     """
     frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -197,7 +169,7 @@ def running_totals(
     sums = {n: F.sum(c).over(frame) for n, c in totals.items()}
     if hot is None:
         return df.withColumns(sums)
-    cold, hot_rows = split_hot(df, keys, hot)
+    cold, hot_rows = split_hot(df, hot_keys or keys, hot)
     return cold.withColumns(sums).unionByName(
         hot_running_totals(hot_rows, keys, order, totals, rows_per_task).drop("_rows")
     )

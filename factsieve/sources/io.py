@@ -19,11 +19,11 @@ def read_token_batches(
     path: str,
     fmt: str = "parquet",
     schema: str = schemas.TOKEN_BATCHES,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int | None = 64,
 ) -> DataFrame:
     """A stream of text deltas and token ids from files that keep arriving.
 
-    ``max_files_per_trigger`` bounds a micro-batch. Files must arrive in ``seq``
+    ``max_files_per_trigger`` bounds a micro-batch (None: all files there are). Files must arrive in ``seq``
     order per session. Another source (Kafka, say) with the same columns works alike.
     """
     reader = spark.readStream.schema(schema).format(fmt)
@@ -57,27 +57,16 @@ def write_verdict_stream(
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one the session names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a local temporary folder serves.
+    Without that setting only a session on one machine gets a folder, a temporary one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="factsieve-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-# A table of fewer input splits than this counts as small (some gigabytes at most).
-_SMALL_SPLITS = 32
-
-
-def read_table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
-    """One parquet table of a folder.
-
-    ``spread`` is for work that is heavy per row: a small table with fewer input splits
-    than cores is dealt out evenly to all of them. Any other table keeps its splits
-    and is not shuffled.
-    """
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < min(cores, _SMALL_SPLITS):
-        df = df.repartition(cores)
-    return df
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One parquet table of a folder."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")

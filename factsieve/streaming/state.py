@@ -21,15 +21,17 @@ def rows_in_order(batches: Iterator[pd.DataFrame], seq: str) -> pd.DataFrame:
 def keyed_state(
     df: DataFrame,
     keys: Sequence[str],
-    step: Callable[[tuple, Iterator[pd.DataFrame], tuple | None], tuple[tuple, pd.DataFrame]],
+    step: Callable[[tuple, Iterator[pd.DataFrame], tuple | None], tuple[tuple | None, pd.DataFrame]],
     output: str,
     state: str,
     idle_timeout_ms: int | None,
 ) -> DataFrame:
     """Run ``step(key, batches, state) -> (state, rows)`` per key and micro-batch.
 
+    A step that returns None for the state ends the session.
+
     With ``idle_timeout_ms`` the state of a session that stays silent that long is
-    dropped (a stream table has no end-of-stream mark per session). It is for
+    dropped, unless a last row has ended the session before. It is for
     queries that keep running: Spark keeps triggering batches to check for silence,
     so an ``availableNow`` query with a timeout does not end by itself.
     """
@@ -42,9 +44,13 @@ def keyed_state(
             held.remove()
             return
         new, rows = step(key, batches, held.get if held.exists else None)
-        held.update(new)
-        if idle_timeout_ms is not None:
-            held.setTimeoutDuration(idle_timeout_ms)
+        if new is None:
+            if held.exists:
+                held.remove()
+        else:
+            held.update(new)
+            if idle_timeout_ms is not None:
+                held.setTimeoutDuration(idle_timeout_ms)
         yield rows
 
     timeout = (

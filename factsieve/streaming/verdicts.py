@@ -24,6 +24,19 @@ _STATE = (
 )
 
 
+def _domain(piece: str) -> str:
+    """The longest domain at the beginning of a piece, or nothing.
+
+    The module would go back over a long run of domain characters more than once, so the
+    run and its last ending are found one after the other.
+    """
+    import regex as re
+
+    run = re.match(patterns.EMAIL_DOMAIN_RUN, piece).end()
+    ends = [m.end() for m in re.finditer(patterns.EMAIL_DOMAIN_END, piece[: run + 1]) if m.start()]
+    return piece[: ends[-1]] if ends else ""
+
+
 class _Scanner:
     """Counts matches of a growing text; see ``operators.deltas`` for why cuts are safe."""
 
@@ -32,21 +45,48 @@ class _Scanner:
         self.settled = list(settled)
 
     @staticmethod
-    def _count(text: str) -> list[int]:
-        # Imported here: needed on the workers only, which cache compiled patterns.
-        import regex
-
-        has_digit = regex.search(patterns.DIGIT, text) is not None
+    def _emails(text: str) -> int:
+        """Number of addresses, looking at each ``@`` once; see ``functions.emails``."""
+        import regex as re
+
+        pieces = text.split("@")
+        found, taken = 0, ""  # domain of the sign before, if it has an address
+        for i in range(1, len(pieces)):
+            before = pieces[i - 1]
+            domain = _domain(pieces[i])
+            run = len(re.match(f"{patterns.EMAIL_RUN}*+", before[::-1]).group())
+            whole = run == len(before)
+            if not domain:
+                hit = False
+            elif taken and whole:
+                hit = len(taken) < len(before)
+            else:
+                ahead = ("@" if i > 1 else "") if whole else before[-run - 1]
+                own = ahead + before[len(before) - run :]
+                hit = re.match(patterns.EMAIL_LOCAL_END.replace(r"\z", r"\Z"), own) is not None
+            found += hit
+            taken = domain if hit else ""
+        return found
+
+    @classmethod
+    def _count(cls, text: str) -> list[int]:
+        # The third-party module, on the workers: its word boundaries agree with the columns'
+        # on combining marks, those of the standard library do not.
+        import regex as re
+
+        has_digit = re.search(patterns.DIGIT, text) is not None
         return [
-            sum(1 for _ in regex.finditer(p, text)) if ("@" in text if t == "email" else has_digit) else 0
+            (cls._emails(text) if "@" in text else 0)
+            if t == "email"
+            else (sum(1 for _ in re.finditer(p, text)) if has_digit else 0)
             for t, p in patterns.PII_PATTERNS.items()
         ]
 
     def add(self, delta: str) -> list[int]:
         """Match counts per type of all text so far, ``delta`` included."""
-        import regex
+        import regex as re
 
-        upto = regex.match(patterns.UP_TO_LAST_CUT, delta)
+        upto = re.match(patterns.UP_TO_LAST_CUT, delta)
         if upto is None:
             self.tail += delta
         else:
@@ -63,13 +103,15 @@ def verify_stream(
     seq: str = "seq",
     idle_timeout_ms: int | None = None,
     report_late: bool = False,
+    is_last: str | None = None,
 ) -> DataFrame:
     """Session key, ``seq``, ``action``, ``reason``, ``matched_rules`` for each batch.
 
     Exactly one verdict per row. Rows of a micro-batch are taken by ``seq``;
     between micro-batches arrival order counts, and ``report_late`` adds a column
     ``late`` for rows whose ``seq`` was already passed. The state of a session is its
-    match counts and the text behind its last cut.
+    match counts and the text behind its last cut. A row whose ``is_last`` column is true
+    gets its verdict and ends the session: its state goes, and later rows begin a new one.
     """
     keys = [key] if isinstance(key, str) else list(key)
     rows = df.select(
@@ -77,6 +119,7 @@ def verify_stream(
         seq,
         F.coalesce("text_delta", F.lit("")).alias("_delta"),
         F.coalesce(F.size("token_ids") > 0, F.lit(False)).alias("_ids"),
+        (F.lit(False) if is_last is None else F.coalesce(F.col(is_last), F.lit(False))).alias("_last"),
     )
     types = dict(rows.dtypes)
     columns = [*keys, seq, "action", "reason", "matched_rules"] + ["late"] * report_late
@@ -88,10 +131,15 @@ def verify_stream(
     names = list(patterns.PII_PATTERNS)
 
     def step(key_values: tuple, batches: Iterator[pd.DataFrame], state: tuple | None):
-        tail, has_text, last, *settled = state or ("", False, None, *[0] * len(names))
-        scanner = _Scanner(tail, settled)
+        fresh = ("", False, None, *[0] * len(names))
+        tail, has_text, last, *settled = state or fresh
+        scanner, ended = _Scanner(tail, settled), False
         out = []
-        for row_seq, delta, has_ids in _values(batches):
+        for row_seq, delta, has_ids, ends in _values(batches):
+            if ended:
+                tail, has_text, last, *settled = fresh
+                scanner = _Scanner(tail, settled)
+            ended = ends
             has_text = has_text or delta != ""
             counts = scanner.add(delta)
             late = last is not None and row_seq <= last
@@ -104,13 +152,11 @@ def verify_stream(
             else:
                 verdict = (PASS, REASON_OK, [])
             out.append((*key_values, row_seq, *verdict) + ((late,) if report_late else ()))
-        state = (scanner.tail, has_text, last, *scanner.settled)
+        state = None if ended else (scanner.tail, has_text, last, *scanner.settled)
         return state, pd.DataFrame(out, columns=columns)
 
     def _values(batches: Iterator[pd.DataFrame]):
         ordered = rows_in_order(batches, seq)
-        return zip(
-            ordered[seq].tolist(), ordered["_delta"].tolist(), ordered["_ids"].tolist(), strict=True
-        )
+        return zip(*[ordered[c].tolist() for c in (seq, "_delta", "_ids", "_last")], strict=True)
 
     return keyed_state(rows, keys, step, output, _STATE, idle_timeout_ms)

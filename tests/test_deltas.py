@@ -1,4 +1,6 @@
+import os
 import random
+import time
 
 import pytest
 import regex
@@ -88,8 +90,6 @@ def verdicts(df):
 
 def run_stream(spark, tmp_path, batches, schema, build):
     """Feed the batches as one file each, in order, and return what was written."""
-    import os
-
     source, sink, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
     os.makedirs(source)
     for i, rows in enumerate(batches):
@@ -161,3 +161,64 @@ def test_token_stream_equals_batch(spark, tmp_path):
     segments = token_segments(spark.createDataFrame(rows, TOKENS))
     batch = last_n_tokens(segments, 3, 5, key=["session_id", "segment"]).collect()
     assert got == {(r.session_id, r.seq): r.last_n for r in batch}
+
+
+def test_last_row_ends_a_session(spark, tmp_path):
+    schema = TOKEN_BATCHES + ", is_last boolean"
+    batches = [
+        [("a", 0, [], "mail x@y.com", "t", False), ("b", 0, [], "x@y.com", "t", True), ("b", 1, [], "fine", "t", False)],
+        [("a", 1, [], " more", "t", True), ("b", 2, [], "", "t", None)],
+        [("a", 2, [], "clean", "t", None)],
+    ]
+    out = run_stream(spark, tmp_path, batches, schema, lambda s: verify_stream(s, is_last="is_last"))
+    got = {(r.session_id, r.seq): r.action for r in out.collect()}
+    assert got == {
+        ("a", 0): "BLOCK", ("a", 1): "BLOCK", ("a", 2): "PASS",
+        ("b", 0): "BLOCK", ("b", 1): "PASS", ("b", 2): "PASS",
+    }
+
+
+def test_last_token_ends_a_session(spark, tmp_path):
+    schema = TOKENS + ", is_last boolean"
+    batches = [
+        [("a", 0, 10, 0, False, False), ("a", 1, 11, 1, False, True), ("a", 2, 12, 2, False, False)],
+        [("a", 3, 13, 3, False, True)],
+        [("a", 4, 14, 4, False, False)],
+    ]
+    out = run_stream(
+        spark, tmp_path, batches, schema,
+        lambda s: last_n_stream(s, n=5, capacity=5, is_reset="is_reset", is_last="is_last"),
+    )
+    got = {r.seq: [t.token_id for t in r.last_n] for r in out.collect()}
+    assert got == {0: [10], 1: [10, 11], 2: [12], 3: [12, 13], 4: [14]}
+
+
+def test_silent_sessions_are_dropped(spark, tmp_path):
+    source = str(tmp_path / "in")
+    os.makedirs(source)
+    rows = [("a", 0, [], "mail x@y.com", "t")]
+    spark.createDataFrame(rows, TOKEN_BATCHES).coalesce(1).write.mode("append").parquet(source)
+    stream = read_token_batches(spark, source)
+    query = write_verdict_stream(
+        verify_stream(stream, idle_timeout_ms=500), str(tmp_path / "out"), str(tmp_path / "state"),
+        processing_time="200 milliseconds",
+    )
+    held = lambda: [o["numRowsTotal"] for p in query.recentProgress for o in p.stateOperators]
+
+    def wait(done):
+        for _ in range(200):
+            if done():
+                return
+            time.sleep(0.2)
+        raise AssertionError("the stream did not get there in time")
+
+    try:
+        wait(lambda: 1 in held() and held()[-1] == 0)
+        rows = [("a", 1, [], "clean", "t")]
+        spark.createDataFrame(rows, TOKEN_BATCHES).coalesce(1).write.mode("append").parquet(source)
+        # a query with a timeout never rests, so what it has written is looked at instead
+        wait(lambda: spark.read.parquet(str(tmp_path / "out")).count() == 2)
+    finally:
+        query.stop()
+    got = {r.seq: r.action for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: "BLOCK", 1: "PASS"}

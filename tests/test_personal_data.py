@@ -1,6 +1,12 @@
+import random
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from factsieve import detect_pii, filter_pii
+from factsieve.functions import patterns
+from factsieve.functions.emails import any_email, email_spans
 from factsieve.functions.personal_data import (
     contains_pii,
     has_credit_card,
@@ -10,6 +16,8 @@ from factsieve.functions.personal_data import (
     matched_types,
     pii_violations,
 )
+from factsieve.functions.spans import find_spans
+from factsieve.streaming.verdicts import _Scanner
 
 SPANS = [
     ("Contact user@example.com please", [("email", "u***@example.com")]),
@@ -85,3 +93,35 @@ def test_chosen_types(spark, texts):
     assert detect_pii(texts, types=[]).count() == 0
     with pytest.raises(ValueError):
         detect_pii(texts, types=["iban"])
+
+
+def test_emails_equal_the_plain_search(spark):
+    rng = random.Random(4)
+    parts = ["@", "@", ".", "-", "a", "b", "c.com", "b.io", "x@y.org", "é", "_", "9", " ", "\n", "%", "+",
+             "ſ", "K", "co", "@a.bc", "ا", "́", "😀", "a@b.com-x@c.org", "com@"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    span = [F.col(f"s.{c}") for c in ("start", "end", "start_char", "end_char", "raw")]
+    plain = df.select("id", F.explode(find_spans(F.col("text"), patterns.EMAIL)).alias("s"))
+    want = sorted(plain.select("id", *span).collect())
+    got = sorted(df.select("id", F.explode(email_spans(F.col("text"))).alias("s")).select("id", *span).collect())
+    assert got == want and len(want) > 1000
+    with_email = {r.id for r in want}
+    assert {r.id for r in df.where(any_email(F.col("text"))).collect()} == with_email
+    counts = {i: 0 for i in range(len(texts))}
+    for r in want:
+        counts[r.id] += 1
+    assert counts == {i: _Scanner._emails(t) for i, t in enumerate(texts)}
+
+
+def test_long_unbroken_runs_take_linear_time(spark):
+    n = 500_000
+    for text in ("a." * n + " x@", "x@" + "a." * n):
+        df = spark.createDataFrame([(text,)], "text string")
+        df.select(contains_pii("text")).first()
+        began = time.perf_counter()
+        assert not df.select(contains_pii("text")).first()[0]
+        assert time.perf_counter() - began < 20  # a rescan per word boundary takes hours
+        began = time.perf_counter()
+        assert _Scanner._emails(text) == 0
+        assert time.perf_counter() - began < 20

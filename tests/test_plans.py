@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from factsieve import detect_pii, extract_numerics, unmatched_numerics
-from factsieve.plans.skew import hot_groups, running_totals, salt_join
+from factsieve.plans.queries import QUERIES
+from factsieve.plans.skew import _with_blocks, hot_groups, running_totals, split_hot
 
 
 def plan(df):
@@ -29,20 +30,46 @@ def test_band_join_is_an_equi_join(spark):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
-def test_salts_spread_a_hot_group(spark):
-    rows = [(1 if i % 3 == 0 else i, i) for i in range(900)] + [(None, i) for i in range(200)]
-    left = spark.createDataFrame(rows, "k int, i int")
-    right = spark.createDataFrame([(1, "one"), (4, "four")], "k int, v string")
-    a, b, keys = salt_join(left, right, ["k"], rows_per_task=50)
-    assert keys == ["k", "_salt"]
-    biggest = a.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    assert biggest < 100
-    # 301 rows: 300 multiples of three and the one row i = 1.
-    assert b.where("k = 1").count() == 7 and b.where("k = 4").count() == 1
-    joined = a.join(b, keys)
-    assert joined.count() == left.join(right, "k").count()
-    a, b, keys = salt_join(left, right, ["k"], rows_per_task=10**6)
-    assert keys == ["k"] and a.columns == left.columns
+def test_identical_rows_of_a_hot_key(spark):
+    answers = spark.createDataFrame([(1, 2.0)] * 900 + [(2, 5.0)] * 3, "k int, value double")
+    contexts = spark.createDataFrame([(1, 2.005), (2, 9.0)], "k int, value double")
+    assert unmatched_numerics(answers, contexts, "k").groupBy("k").count().collect() == [(2, 3)]
+
+
+def _jobs(spark, build):
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("planning"))
+        build()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) - before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_grounding_plans_run_no_job(spark, sf_dir):
+    # every table read from files looks up its schema with one job; nothing else runs
+    tables = {"unmatched_numerics_by_order": 3, "grounded_numbers_by_order": 3,
+              "answers_grounded_by_order": 4, "unmatched_against_all_lines": 2}
+    for name, reads in tables.items():
+        assert _jobs(spark, lambda name=name: QUERIES[name](spark, sf_dir)) <= reads, name
+
+
+def test_no_query_deals_small_tables_out(spark, sf_dir):
+    for name, query in QUERIES.items():
+        if "stream" not in name:
+            assert "REPARTITION_BY_NUM" not in plan(query(spark, sf_dir)), name
+
+
+def test_equal_order_values_are_split(spark):
+    rows = [(1, i % 2, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, a int, x int")
+    hot = hot_groups(df, ["k"], 50)
+    _, hot_rows = split_hot(df, ["k"], hot)
+    sizes = [r["count"] for r in _with_blocks(hot_rows, ["k"], ["a"], 50).groupBy("_block").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 150
+    got = running_totals(df, ["k"], ["a"], {"t": F.lit(1)}, 50, hot).collect()
+    assert sorted(r.t for r in got) == list(range(1, 1001))
+    assert max(r.t for r in got if r.a == 0) == 500
 
 
 def test_hot_groups(spark):
