@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsieve.llm.store import Scratch, only, text_bytes
-from factsieve.llm.words import _LOWER, _WORD, buffer_of, mix, word_hashes
+from factsieve.llm.words import _LOWER, _WORD, buffer_of, mix, some_rows, word_hashes
 
 ORDER = 5
 END = 256
@@ -34,8 +34,8 @@ SYMBOLS = 257
 MAX_NODES = 1 << 20
 MAX_WORDS = 1 << 17
 # Counts collected in a task before they are combined, and bytes scored at once.
-_HELD = 1 << 22
-_PIECE = 1 << 21
+_HELD = 1 << 21
+_PIECE = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -208,7 +208,7 @@ def count_corpus(docs: DataFrame, text_col: str, scratch: Scratch, order: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, grams, texts = _Counter(), _Counter(), 0
-        for batch in batches:
+        for batch in some_rows(batches, 0):
             texts += batch.num_rows
             column = batch.column(0)
             words.add(word_hashes(column)[0].view(np.int64))
@@ -285,7 +285,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, common, known_logs = shared.value
-        for batch in batches:
+        for batch in some_rows(batches, 1):
             column = batch.column(1)
             hashes, at = word_hashes(column)
             place = common.find(hashes.view(np.int64))

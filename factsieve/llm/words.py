@@ -5,6 +5,8 @@ carriage return; A-Z count as a-z. All words of a batch are hashed together: a
 polynomial over random byte values, taken from running sums, then mixed with the length.
 """
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -20,6 +22,8 @@ _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 # Bytes hashed at once; a longer word is still hashed whole.
 _WINDOW = 1 << 20
+# Text bytes that a task works on at once.
+_ROWS_BYTES = 1 << 21
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -54,6 +58,17 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[borders[0] : borders[-1]], borders - borders[0]
 
 
+def some_rows(batches: Iterable[pa.RecordBatch], column: int, most: int = _ROWS_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most ``most`` bytes of text (or one row), which bounds the memory of a task."""
+    for batch in batches:
+        _, borders = buffer_of(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            to = max(int(np.searchsorted(borders, borders[at] + most, "right")) - 1, at + 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, borders of the rows among them) of a binary column."""
     data, borders = buffer_of(column)
