@@ -8,15 +8,20 @@ how the others follow each other.
 1. One pass counts tokens in a fixed number of cells to learn which are common. Only
    cells well above their task's mean are passed on. Any weights give a right result.
 2. Equal sets form one class, found by a 128-bit sum over the set.
-3. Classes that share a token of their first prefix meet at *hubs*: a few members of each
-   token's list, picked by different hashes. A pair of member and hub goes on if the sizes
-   allow a link and the prefixes under the second and third order share a token as well;
+3. Prefix tokens of the classes are range-partitioned and sorted, and each range is streamed
+   once: a token that only one class has goes no further, all others form a list whose first
+   member is its *hub*. Ranges are cut by class too, so a token of very many classes is spread;
+   the lists at the ends of the ranges are put together afterwards.
+4. Each class is paired with the hub it meets in most lists. A pair goes on if the sizes
+   and the number of shared tokens allow a link and the prefixes under the second and third order share a token as well;
    only then the texts are joined to it and the sets compared exactly.
-4. Links found give components. Lists that still hold several components are joined once
-   more, now every pair across components (never within one), with the same filters.
+5. Links found give components. Lists that hold several are given further hubs once. Those
+   that still hold several are joined with themselves, every pair across components (never
+   within one). Counting the lists in which a
+   pair meets gives the tokens that the two prefixes share, and a link needs many.
    After that no link between different components can be left.
 
-So a group of thousands of copies that resemble each other costs a few pairs per member,
+So a group of thousands of copies that resemble each other costs about a pair per member,
 and yet each component is complete. Hashes have 64 bits.
 """
 
@@ -29,13 +34,14 @@ from pyspark.sql import functions as F
 
 from factsieve.llm.graph import components
 from factsieve.llm.store import Scratch, only, text_bytes
-from factsieve.llm.words import mix, row_sets, shingle_hashes, word_hashes
+from factsieve.llm.words import mix, row_sets, shingle_hashes, some_rows, word_hashes
 
 # Cells that count tokens; bounds what is collected and broadcast (one byte per cell).
 CELL_BITS = 20
-HUBS = 3
 # Candidate texts of up to so many ids are picked by a broadcast set, more by a join.
 BROADCAST_IDS = 1_000_000
+# Hubs per list in the second round.
+MORE_HUBS = 4
 
 
 def _sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -62,7 +68,7 @@ def _common_cells(docs: DataFrame, text: str, n: int, spark) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
+        for batch in some_rows(batches, 0):
             sets = _sets(batch.column(0), n)
             if sets:
                 total += np.bincount(_cells(np.concatenate(sets)), minlength=len(total))
@@ -88,7 +94,7 @@ def _profiles(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: in
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         common = weights.value
-        for batch in batches:
+        for batch in some_rows(batches, 1):
             sets = _sets(batch.column(1), n)
             size = np.array([len(s) for s in sets], np.int64)
             f1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
@@ -111,6 +117,57 @@ def _profiles(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: in
     return rows.mapInArrow(profile, "id long, n long, f1 long, f2 long, prefix array<long>")
 
 
+def _lists(tokens: DataFrame, scratch: Scratch) -> DataFrame:
+    """``token, id, hub`` of every token that several ids have; the hub is one of them."""
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(token, id_, hub, border):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(token), pa.array(id_), pa.array(hub), pa.array(np.full(len(token), border))],
+                ["token", "id", "hub", "border"],
+            )
+
+        held = None  # the last row so far: token, id, hub of its list, whether it has company
+        first = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, id_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if first is None:
+                first = token[0]
+            if held is not None:
+                token, id_ = np.append(held[0], token), np.append(held[1], id_)
+            new = np.ones(len(token), bool)
+            new[1:] = token[1:] != token[:-1]
+            begin = np.flatnonzero(new)
+            size = np.diff(np.append(begin, len(token)))
+            hub, company = np.repeat(id_[begin], size), np.repeat(size > 1, size)
+            if held is not None:
+                hub[: size[0]] = held[2]
+                company[: size[0]] |= held[3]
+            held = (token[-1], id_[-1], hub[-1], company[-1])
+            edge = token == first
+            keep = company & ~edge
+            keep[-1] = edge[-1] = False
+            yield out(token[keep], id_[keep], hub[keep], False)
+            yield out(token[edge], id_[edge], hub[edge], True)
+        if held is not None:
+            yield out(*[np.array([x]) for x in held[:3]], True)
+
+    ranged = tokens.repartitionByRange(parts, "token", "id").sortWithinPartitions("token", "id")
+    found = scratch.table(ranged.mapInArrow(run, "token long, id long, hub long, border boolean"), "lists")
+    # The first list of a range and its last row may belong to a list of its neighbours:
+    # whoever shares a token with them, there or here, gets one hub for all.
+    edges = found.where("border").select("token", "id", "hub")
+    known = found.where("not border").join(edges.select("token").distinct(), "token", "left_semi")
+    hubs = edges.union(known.select("token", "id", "hub")).groupBy("token").agg(
+        F.min("id").alias("least"), F.max("id").alias("most")
+    )
+    late = edges.join(hubs.where("least <> most"), "token").select("token", "id", F.col("least").alias("hub"))
+    return scratch.table(found.where("not border").select("token", "id", "hub").union(late), "met")
+
+
 class _Candidates:
     """The filters between a candidate pair and the exact comparison."""
 
@@ -130,36 +187,32 @@ class _Candidates:
         return kept
 
     def _filter(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow a link and whose other prefixes share a token."""
+        """Pairs whose prefixes under the other orders share a token."""
         n, num, den, weights = self.n, self.num, self.den, self.weights
 
         def other_orders(batches):
             common = weights.value
-            for batch in batches:
+            for batch in some_rows(batches, 1):
                 sets = _sets(batch.column(1), n)
                 cut = [
                     [
-                        (mix(in_order(s, common, k, prefix_length(len(s), num, den))) >> np.uint64(32))
-                        .astype(np.uint32)
-                        .view(np.int32)
+                        (mix(in_order(s, common, k, prefix_length(len(s), num, den))) >> np.uint64(48))
+                        .astype(np.uint16)
+                        .view(np.int16)
                         for s in sets
                     ]
                     for k in (1, 2)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64())]
-                    + [pa.array(c, pa.list_(pa.int32())) for c in cut],
-                    ["id", "n", "p2", "p3"],
+                    [batch.column(0)] + [pa.array(c, pa.list_(pa.int16())) for c in cut], ["id", "p2", "p3"]
                 )
 
-        info = texts.mapInArrow(other_orders, "id long, n long, p2 array<int>, p3 array<int>")
+        # 16 bits of each token: tokens that only look alike let a pair pass, never stop one
+        info = texts.mapInArrow(other_orders, "id long, p2 array<short>, p3 array<short>")
         info = self.scratch.table(info, "prefixes")
-        one = pairs.join(info.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "p2", "p3")]), "a")
-        two = one.join(info.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("n", "p2", "p3")]), "b")
-        kept = two.where(
-            f"least(a_n, b_n) * {den} >= greatest(a_n, b_n) * {num}"
-            " and arrays_overlap(a_p2, b_p2) and arrays_overlap(a_p3, b_p3)"
-        ).select("a", "b")
+        one = pairs.join(info.select(F.col("id").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3")), "a")
+        two = one.join(info.select(F.col("id").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3")), "b")
+        kept = two.where("arrays_overlap(a2, b2) and arrays_overlap(a3, b3)").select("a", "b")
         kept = self.scratch.table(kept.distinct(), "filtered")
         self.scratch.drop(info)
         return kept
@@ -172,7 +225,7 @@ class _Candidates:
         pairs = self._filter(pairs, texts)
 
         def verify(batches):
-            for batch in batches:
+            for batch in some_rows(batches, 2):
                 hubs, where = np.unique(batch.column("b").to_numpy(), return_inverse=True)
                 first = np.zeros(len(hubs), np.int64)
                 first[where[::-1]] = np.arange(len(where))[::-1]
@@ -223,47 +276,73 @@ def jaccard_components(
     carried = real.where("prefix is not null").join(
         classes.select(F.col("carrier").alias("id"), F.col("f1").alias("g1"), F.col("f2").alias("g2")), "id"
     ).where("f1 = g1 and f2 = g2")
-    tokens = scratch.table(carried.select("id", F.explode("prefix").alias("token")), "tokens")
-
-    def salted(k: int):
-        return F.xxhash64("id", F.lit(k))
-
-    hubs = tokens.groupBy("token").agg(
-        F.count("*").alias("members"),
-        F.min("id").alias("h0"),
-        *[F.min_by("id", salted(k)).alias(f"h{k}") for k in range(1, HUBS)],
-    ).where("members > 1")
-    shared = scratch.table(hubs, "hubs")
-    few = shared.count() <= BROADCAST_IDS
-    met = tokens.join(F.broadcast(shared) if few else shared, "token")
-    met = scratch.table(met.select("token", "id", "members", *[f"h{k}" for k in range(HUBS)]), "met")
-    scratch.drop(tokens, shared)
-    pairs = met.select("id", F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(HUBS)]))).alias("b"))
-    pairs = pairs.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-
+    lists = _lists(carried.select(F.explode("prefix").alias("token"), "id"), scratch)
+    slim = scratch.table(rows.drop("prefix"), "rows")
+    carriers = rows.where("prefix is not null").groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    sizes = scratch.table(carriers, "sizes")
+    scratch.drop(rows)
+
+    met = lists.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("times"))
+    best = met.groupBy("id").agg(F.max(F.struct("times", "hub")).alias("best"))
+    best = best.select(F.col("id").alias("a"), F.col("best.hub").alias("b"), F.col("best.times").alias("shared"))
+
+    def enough(pairs: DataFrame) -> DataFrame:
+        """Pairs that share enough prefix tokens.
+
+        Of two prefixes one ends first; common tokens that are not in both prefixes stand
+        behind it, so there are no more of them than that set has tokens behind its prefix.
+        """
+        for side in ("a", "b"):
+            pairs = pairs.join(sizes.toDF(side, f"{side}_least", f"{side}_most"), side)
+        behind = f"ceil(greatest(a_most, b_most) * {num} / {den}) - 1"
+        fit = f"a_least * {num} <= b_most * {den} and b_least * {num} <= a_most * {den}"
+        return pairs.where(f"(shared + {behind}) * {num + den} >= {num} * (a_least + b_least) and {fit}").select("a", "b")
+
+    # a member may share more with its hub than lists show; such a pair comes up again below
+    pairs = scratch.table(enough(best), "hubs")
     candidates = _Candidates(docs, id_col, text_col, n, num, den, weights, scratch)
     links = candidates.links(pairs)
     roots = components(links, scratch)
 
-    # Lists of three and more that still hold several components; shorter ones are done.
-    left = met.where("members > 2").select("token", "id")
-    left = left.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select(
-        "token", "id", F.coalesce("root", "id").alias("root")
+    # Once more with other hubs, for members that have too little in common with the first:
+    # a few per list by different hashes, where several components are left.
+    def open_lists(roots: DataFrame) -> DataFrame:
+        named = lists.select("token", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+        named = scratch.table(named.select("token", "id", F.coalesce("root", "id").alias("root")), "named")
+        several = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        still = scratch.table(named.join(several.select("token"), "token", "left_semi"), "open")
+        scratch.drop(named)
+        return still
+
+    left = open_lists(roots)
+    member = F.struct("id", "root")
+    others = left.groupBy("token").agg(
+        *[F.min_by(member, F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in range(MORE_HUBS)]
     )
-    left = scratch.table(left, "left")
-    open_lists = left.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    left = scratch.table(left.join(open_lists.select("token"), "token", "left_semi"), "open")
-    sizes = rows.where("prefix is not null").groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    left = left.join(sizes, "id")
-    left = scratch.table(left, "sized")
+    hubs = F.array_distinct(F.array(*[F.col(f"h{k}") for k in range(MORE_HUBS)]))
+    again = (
+        left.join(others, "token")
+        .select("id", "root", F.explode(F.filter(hubs, lambda h: h["root"] != F.col("root"))).alias("h"))
+        .groupBy(F.col("id").alias("a"), F.col("h.id").alias("b"))
+        .agg(F.count("*").alias("shared"))
+    )
+    again = scratch.table(enough(again), "hubs")
+    links = links.union(candidates.links(again))
+    roots = components(links, scratch)
+    scratch.drop(left)
+    pairs = pairs.union(again)
+
+    left = scratch.table(open_lists(roots).join(sizes, "id"), "sized")
+    scratch.drop(lists)
     other = left.select("token", *[F.col(c).alias(f"{c}_2") for c in ("id", "root", "least", "most")])
     across = (
         left.join(other, "token")
         .where(f"root < root_2 and least * {num} <= most_2 * {den} and least_2 * {num} <= most * {den}")
-        .select(F.col("id").alias("a"), F.col("id_2").alias("b"))
-        .distinct()
+        .groupBy(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
+        .agg(F.count("*").alias("shared"))
     )
-    more = candidates.links(across.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = candidates.links(enough(across).join(tried, ["a", "b"], "left_anti"))
     joined = links.union(more).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     # Members of a class hang on the id that carried its prefix.
     of_class = classes.select("rep", "carrier").where("rep <> carrier").select(
@@ -274,8 +353,8 @@ def jaccard_components(
         "f1", "f2", F.coalesce("root", "rep").alias("root")
     )
     named = scratch.table(named, "named")
-    result = (
-        rows.select("id", "n", "f1", "f2")
+    return (
+        slim.select("id", "n", "f1", "f2")
         .join(named, ["f1", "f2"], "left")
         .select(
             F.col("id").alias("doc_id"),
@@ -283,4 +362,3 @@ def jaccard_components(
             F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("root"))).otherwise(F.col("id")).alias("component_id"),
         )
     )
-    return result
