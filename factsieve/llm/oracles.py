@@ -1,5 +1,7 @@
 """DuckDB SQL of the operators that SQL can express."""
 
+from factsieve.llm.license_scan import TEMPLATES, THRESHOLD
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _OP5 = f"""
@@ -23,4 +25,42 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op5_line_dedup": _OP5}
+_NORMAL = f"trim(regexp_replace({_LOWER.format('{}')}, '[^a-z0-9]+', ' ', 'g'))"
+_TEMPLATES = ", ".join(
+    f"('{name}', {i}, '{text}')" for name, texts in TEMPLATES.items() for i, text in enumerate(texts)
+)
+
+_OP4 = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS n
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), marked AS (
+  SELECT *, regexp_replace(line, '[ \x09-\x0D]+', '', 'g') = '' AS blank FROM lines
+), parts AS (
+  SELECT *, sum(CAST(blank AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY n) AS part FROM marked
+), units AS (
+  SELECT doc_id, n AS line, line AS unit FROM lines
+  UNION ALL
+  SELECT doc_id, min(n), string_agg(line, ' ' ORDER BY n) FROM parts WHERE NOT blank GROUP BY doc_id, part
+), split AS (
+  SELECT row_number() OVER () AS uid, doc_id, line, string_split({_NORMAL.format('unit')}, ' ') AS w FROM units
+), grams AS (
+  SELECT uid, w[i] || ' ' || w[i + 1] AS gram, count(*) AS n
+  FROM (SELECT uid, w, unnest(range(1, len(w))) AS i FROM split) GROUP BY ALL
+), template AS (
+  SELECT license, nr, string_split({_NORMAL.format('body')}, ' ') AS w
+  FROM (VALUES {_TEMPLATES}) AS t(license, nr, body)
+), known AS (
+  SELECT license, nr, len(w) - 1 AS size, w[i] || ' ' || w[i + 1] AS gram, count(*) AS n
+  FROM (SELECT *, unnest(range(1, len(w))) AS i FROM template) GROUP BY ALL
+), scored AS (
+  SELECT uid, license, nr, 2::DOUBLE * sum(least(g.n, k.n)) / (any_value(len(s.w)) - 1 + any_value(size)) AS dice
+  FROM grams g JOIN known k USING (gram) JOIN split s USING (uid) GROUP BY uid, license, nr
+), best AS (
+  SELECT doc_id, license, dice, line, max(dice) OVER (PARTITION BY doc_id, license) AS top
+  FROM scored JOIN split USING (uid) WHERE dice >= {THRESHOLD}
+)
+SELECT doc_id, license, dice, CAST(min(line) AS INTEGER) AS line FROM best WHERE dice = top GROUP BY ALL
+"""
+
+ORACLES: dict[str, str] = {"op4_license_scan": _OP4, "op5_line_dedup": _OP5}

@@ -36,62 +36,91 @@ from factsieve.llm.tokens import encoder, tokenizer_path
 MAGIC = b"FSPF"
 BLOCK = 256
 PERCENTILE = 90
+# Bytes of ids that are packed together; a multiple of any whole block.
+_AT_ONCE = 4 * BLOCK * 256
 _FOOT = struct.Struct("<QQQQ4s")
 _HEAD = struct.Struct("<4sII")
 FILES = "path string, n_docs long, n_ids long, first_doc long, part int"
 
 
+def _encoded(part: np.ndarray, percentile: int) -> list[bytes]:
+    """Blocks of equal length, the rows of ``part``; all blocks of one width are packed together."""
+    n = part.shape[1]
+    least = part.min(1)
+    high = part - least[:, None]
+    edge = np.partition(high, min(n - 1, n * percentile // 100), axis=1)[:, min(n - 1, n * percentile // 100)]
+    width = np.frexp(edge.astype(np.float64))[1]  # bits of the number
+    rest = (high.astype(np.uint64) >> width[:, None].astype(np.uint64)).astype("<u4")
+    row, place = np.nonzero(rest)
+    at = np.searchsorted(row, np.arange(len(part) + 1))
+    places, values = place.astype("<u2"), rest[row, place]
+    packed: list[bytes] = [b""] * len(part)
+    for w in np.unique(width[width > 0]).tolist():
+        rows = np.flatnonzero(width == w)
+        bits = ((high[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+        for i, data in zip(rows.tolist(), np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little"), strict=True):
+            packed[i] = data.tobytes()
+    return [
+        struct.pack("<IBH", low, w, b - a) + bits + places[a:b].tobytes() + values[a:b].tobytes()
+        for low, w, a, b, bits in zip(least.tolist(), width.tolist(), at[:-1].tolist(), at[1:].tolist(), packed, strict=True)
+    ]
+
+
 def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> list[bytes]:
     """The blocks of an array of unsigned 32-bit ids."""
-    out: list[bytes] = []
-    for at in range(0, len(ids), block):
-        part = ids[at : at + block].astype(np.int64)
-        least = int(part.min())
-        high = part - least
-        edge = int(np.sort(high)[min(len(high) - 1, len(high) * percentile // 100)])
-        width = edge.bit_length()
-        odd = np.flatnonzero(high >> width)
-        bits = ((high[:, None] >> np.arange(width)) & 1).astype(np.uint8)
-        packed = np.packbits(bits.ravel(), bitorder="little").tobytes()
-        out.append(
-            struct.pack("<IBH", least, width, len(odd))
-            + packed
-            + odd.astype("<u2").tobytes()
-            + (high[odd] >> width).astype("<u4").tobytes()
-        )
-    return out
-
-
-def decode_block(data: bytes, n: int) -> np.ndarray:
-    """The ``n`` ids of one block."""
-    least, width, odd = struct.unpack_from("<IBH", data)
-    at = 7
+    ids = ids.astype(np.uint32)
+    full = len(ids) // block * block
+    out = _encoded(ids[:full].reshape(-1, block), percentile) if full else []
+    return out + (_encoded(ids[full:].reshape(1, -1), percentile) if full < len(ids) else [])
+
+
+def decode_blocks(data: bytes, starts: np.ndarray, n: int) -> np.ndarray:
+    """The ids of blocks of ``n`` ids each, which begin at ``starts``."""
+    raw = np.frombuffer(data, np.uint8)
+    head = raw[starts[:, None] + np.arange(7)].astype(np.int64)
+    least = head[:, 0] | head[:, 1] << 8 | head[:, 2] << 16 | head[:, 3] << 24
+    width, odd = head[:, 4], head[:, 5] | head[:, 6] << 8
     size = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little")
-    values = (bits.reshape(n, width).astype(np.int64) << np.arange(width)).sum(1)
-    at += size
-    places = np.frombuffer(data, "<u2", odd, at)
-    high = np.frombuffer(data, "<u4", odd, at + 2 * odd)
-    values[places] |= high.astype(np.int64) << width
-    return (values + least).astype("<u4")
+    values = np.zeros((len(starts), n), np.int64)
+    for w in np.unique(width[width > 0]).tolist():
+        rows = np.flatnonzero(width == w)
+        packed = raw[starts[rows][:, None] + 7 + np.arange((n * w + 7) // 8)]
+        bits = np.unpackbits(packed, axis=1, count=n * w, bitorder="little").reshape(len(rows), n, w)
+        values[rows] = bits.astype(np.float32) @ (2.0 ** np.arange(w)).astype(np.float32) if w <= 24 else (
+            bits.astype(np.int64) << np.arange(w)
+        ).sum(2)
+    row = np.repeat(np.arange(len(starts)), odd)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(odd) - odd, odd)
+    at = (starts + 7 + size)[row] + 2 * nth
+    place = raw[at].astype(np.int64) | raw[at + 1].astype(np.int64) << 8
+    at = (starts + 7 + size + 2 * odd)[row] + 4 * nth
+    high = sum(raw[at + k].astype(np.int64) << (8 * k) for k in range(4)) if len(row) else np.zeros(0, np.int64)
+    values[row, place] |= high << width[row]
+    return (values + least[:, None]).astype("<u4").ravel()
 
 
 class FileWriter:
     def __init__(self, stream, block: int = BLOCK):
         self.out, self.block = stream, block
         self.starts, self.docs, self.nulls, self.firsts = [], [], [], [0]
-        self.left, self.at = b"", _HEAD.size
+        self.held, self.waiting, self.at = [], 0, _HEAD.size
         self.out.write(_HEAD.pack(MAGIC, 1, block))
 
     def add(self, doc: int | None, ids: bytes) -> None:
         self.docs.append(doc or 0)
         self.nulls.append(doc is None)
         self.firsts.append(self.firsts[-1] + len(ids) // 4)
-        self.left += ids
-        whole = len(self.left) // (4 * self.block) * 4 * self.block
-        if whole:
-            self._blocks(self.left[:whole])
-            self.left = self.left[whole:]
+        self.held.append(ids)
+        self.waiting += len(ids)
+        if self.waiting >= _AT_ONCE:
+            self._flush(self.block)
+
+    def _flush(self, unit: int) -> None:
+        data = b"".join(self.held)
+        for low in range(0, len(data) // (4 * unit) * 4 * unit, _AT_ONCE):
+            self._blocks(data[low : min(low + _AT_ONCE, len(data) // (4 * unit) * 4 * unit)])
+        rest = data[len(data) // (4 * unit) * 4 * unit :]
+        self.held, self.waiting = [rest], len(rest)
 
     def _blocks(self, data: bytes) -> None:
         for b in encode_blocks(np.frombuffer(data, "<u4"), self.block):
@@ -100,8 +129,7 @@ class FileWriter:
             self.out.write(b)
 
     def close(self) -> None:
-        if self.left:
-            self._blocks(self.left)
+        self._flush(1)
         self.out.write(np.array(self.starts, "<u8").tobytes())
         self.out.write(np.array(self.docs, "<i8").tobytes() + np.array(self.nulls, np.uint8).tobytes())
         self.out.write(np.array(self.firsts, "<u8").tobytes())
@@ -135,11 +163,10 @@ class FileReader:
         a, b = low // self.block, -(-high // self.block)
         self.file.seek(int(self.starts[a]))
         data = self.file.read(int(self.starts[b] - self.starts[a]))
-        out = []
-        for k in range(a, b):
-            n = min(self.block, self.n_ids - k * self.block)
-            cut = data[self.starts[k] - self.starts[a] : self.starts[k + 1] - self.starts[a]]
-            out.append(decode_block(cut, n))
+        starts, whole = self.starts[a:b] - self.starts[a], min(b, self.n_ids // self.block) - a
+        out = [decode_blocks(data, starts[k : min(k + 256, whole)], self.block) for k in range(0, whole, 256)]
+        if a + whole < b:
+            out.append(decode_blocks(data, starts[whole:], self.n_ids % self.block))
         return np.concatenate(out)[low - a * self.block : high - a * self.block]
 
     def document(self, i: int) -> np.ndarray:
