@@ -1,17 +1,22 @@
 """Near copies among vectors by a pivot-permutation index.
 
-Every vector is described by the ordered list of its nearest reference points, a bounded
-sample of the vectors. Inverted lists hold the vectors that name a reference point; vectors
-that meet in a list and share enough reference points are candidates, and their exact
+Every vector is described by its nearest reference points. Inverted lists hold the vectors
+that name a reference point; vectors that meet in a list are candidates, and their exact
 cosine decides. A pair is judged in the list of the smallest reference point it shares, so
 each is counted once.
 
+Reference points are random directions and not drawn from the vectors: whether two vectors
+share one then depends on their angle alone, and not on how many others lie around them.
+Their number is halved until all but ``MISSED`` of random pairs at the threshold meet, at
+worst down to the length of a description, where all pairs meet.
+
 Equal vectors are one row with a size. Lists are cut into blocks by hash, and pairs of
 blocks are the unit of work: a list of any length is spread over many tasks of bounded
 size. A task returns sums and a spanning forest of the links it found, never all pairs.
 """
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +27,44 @@ from factsieve.llm.graph import components
 from factsieve.llm.store import Scratch, only
 from factsieve.llm.vectors import matrix, usable
 
-# Reference points: one per so many vectors, within bounds that keep them broadcastable.
+# Reference points: one per so many vectors, within bounds.
 VECTORS_PER_PIVOT = 100
 MIN_PIVOTS, MAX_PIVOTS = 32, 2048
 # Length of the permutation prefix, and how many points candidates share at least.
 PREFIX = 8
-SHARED = 2
+SHARED = 1
 BLOCK = 1024
+# Part of the pairs at the threshold that may fail to meet, and how many are tried.
+MISSED = 0.0005
+TRIED = 8192
+
+
+@lru_cache(maxsize=8)
+def directions(length: int, n: int) -> np.ndarray:
+    """``n`` reference points for vectors of a length, the same in every process."""
+    x = np.random.default_rng(length).standard_normal((n, length))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def met(length: int, n: int, threshold: float, prefix: int, shared: int) -> float:
+    """The part of random pairs with a cosine of ``threshold`` that share enough of ``n`` reference points."""
+    rng = np.random.default_rng(1)
+    x, z = rng.standard_normal((2, TRIED, length))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (x * z).sum(1, keepdims=True) * x
+    norms = np.linalg.norm(z, axis=1, keepdims=True)
+    y = threshold * x + np.sqrt(max(1 - threshold**2, 0.0)) * np.divide(z, norms, out=np.zeros_like(z), where=norms > 1e-9)
+    a, b = (nearest_pivots(v, directions(length, n), prefix) for v in (x, y))
+    common = (a[:, :, None] == b[:, None, :]).sum((1, 2))
+    return float((common >= min(shared, a.shape[1])).mean())
+
+
+def pivots_for(length: int, rows: int, threshold: float, prefix: int, shared: int) -> int:
+    """How many reference points serve so many vectors of a length."""
+    n = min(max(rows // VECTORS_PER_PIVOT, MIN_PIVOTS), MAX_PIVOTS)
+    while n > prefix and met(length, n, threshold, prefix, shared) < 1 - MISSED:
+        n = max(n // 2, prefix)
+    return n
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, length: int = PREFIX) -> np.ndarray:
@@ -47,10 +83,11 @@ def block_links(
     names, place = np.unique(lists, return_inverse=True)
     member = np.zeros((len(lists), len(names)), np.float32)
     member[np.arange(len(lists))[:, None], place.reshape(lists.shape)] = 1
-    common = member[left] @ member[right].T
     lower = member[:, names < here]
     first = (lower[left] @ lower[right].T) == 0
-    candidate = (common >= min(shared, lists.shape[1])) & first
+    candidate = first
+    if shared > 1:  # all rows share this list
+        candidate = first & (member[left] @ member[right].T >= min(shared, lists.shape[1]))
     norms = np.linalg.norm(x, axis=1)
     cosine = (x[left] @ x[right].T) / (norms[left][:, None] * norms[right][None, :])
     return candidate & (cosine >= threshold)
@@ -91,13 +128,8 @@ def embedding_components(
         rows.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.any_value("v").alias("v")),
         "classes",
     )
-    wanted = min(max(classes.count() // VECTORS_PER_PIVOT, MIN_PIVOTS), MAX_PIVOTS)
-    sample = classes.orderBy(F.xxhash64("key"), "key").select("v").limit(wanted).collect()
-    by_size: dict[int, list] = {}
-    for r in sample:
-        x = np.frombuffer(r["v"], "<f8")
-        by_size.setdefault(len(x), []).append(x / np.linalg.norm(x))
-    pivots = spark.sparkContext.broadcast({n: np.array(p) for n, p in by_size.items()})
+    by_length = classes.groupBy((F.length("v") / 8).cast("int").alias("length")).agg(F.count("*").alias("rows"))
+    known = {r["length"]: pivots_for(r["length"], r["rows"], threshold, prefix, shared) for r in by_length.collect()}
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,11 +137,8 @@ def embedding_components(
             for n in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == n))
                 x = matrix(part.column(2))
-                known = pivots.value.get(int(n))
-                if known is None:  # no sampled vector is so long: they all meet in one list
-                    lists = np.zeros((len(x), 1), np.int64)
-                else:
-                    lists = nearest_pivots(x / np.linalg.norm(x, axis=1, keepdims=True), known, prefix)
+                pivots = directions(int(n), known[int(n)])
+                lists = nearest_pivots(x / np.linalg.norm(x, axis=1, keepdims=True), pivots, prefix)
                 # lists of different vector lengths have different numbers
                 lists = lists + n * MAX_PIVOTS
                 k = lists.shape[1]

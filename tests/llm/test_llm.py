@@ -269,6 +269,20 @@ def test_embedding_components(spark):
     assert embedding_dedup.embedding_components(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_embedding_links_of_a_large_group(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=64)
+    group = centre + rng.normal(size=(3300, 64)) * 0.175
+    x = np.concatenate([group, rng.normal(size=(6700, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    flat = np.column_stack([np.cos(rng.random(3300) * 6.28), np.sin(rng.random(3300) * 6.28)])
+    for v in (x, flat / np.linalg.norm(flat, axis=1, keepdims=True)):
+        df = spark.createDataFrame([(i, r.tolist(), 0, 1, 2) for i, r in enumerate(v)], VECTORS)
+        got = embedding_dedup.embedding_components(df).agg(F.sum("n_links")).first()[0]
+        want = sum(int((v[i : i + 1000] @ v.T >= 0.95).sum()) for i in range(0, len(v), 1000)) - len(v)
+        assert want > 10**6 and 0.999 * want <= got <= want + 4
+
+
 def test_graph_search(spark):
     rows = vectors()
     df = spark.createDataFrame([(i, v, 0, 1, 2) for i, v in rows], VECTORS)
