@@ -9,11 +9,11 @@ all symbols left are equally likely. The code lengths of a document add up to it
 
 Texts are coded as their words, A-Z in lower case, with one blank between, and an end.
 
-Counting is combined in the tasks and shuffled. Contexts are kept for each order from the
-most frequent continuations down, by a threshold on the count, so that what is
-broadcast is bounded; thresholds do not fall with the order, so that whatever a context
-knows its shorter contexts know too. Word counts are not broadcast but for the most
-frequent words; all others are joined.
+Counting is combined in the tasks and shuffled. All counted runs stay in stored tables, one
+of continuations and one of contexts per order. The code length of a symbol depends on the
+``ORDER`` bytes before it alone, so each different run is coded once, by joins with those
+tables. Broadcast are only the code lengths of the most frequent runs and the counts of the
+most frequent words, as a cache; all others are joined. ``Model`` is the same in memory.
 """
 
 from collections.abc import Iterator
@@ -30,7 +30,7 @@ from factsieve.llm.words import _LOWER, _WORD, buffer_of, mix, some_rows, word_h
 ORDER = 5
 END = 256
 SYMBOLS = 257
-# Continuations kept per order, and words whose counts are broadcast, at most.
+# Runs whose code lengths are broadcast, and words whose counts are, at most.
 MAX_NODES = 1 << 20
 MAX_WORDS = 1 << 17
 # Counts collected in a task before they are combined, and bytes scored at once.
@@ -232,8 +232,8 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table.column("key").to_numpy(), table.column("n").to_numpy()
 
 
-def _at_most(df: DataFrame, most: int, least: int = 1) -> tuple[DataFrame, int]:
-    """Rows above a threshold of ``n`` that leaves ``most`` rows or fewer; and the threshold."""
+def _at_most(df: DataFrame, most: int) -> DataFrame:
+    """Rows above a threshold of ``n`` that leaves ``most`` rows or fewer."""
     bits = {r["b"]: r["c"] for r in df.groupBy(F.ceil(F.log2("n")).alias("b")).agg(F.count("*").alias("c")).collect()}
     rows, threshold = 0, 1
     for b in sorted(bits, reverse=True):
@@ -241,20 +241,70 @@ def _at_most(df: DataFrame, most: int, least: int = 1) -> tuple[DataFrame, int]:
             threshold = (1 << int(b)) + 1
             break
         rows += bits[b]
-    threshold = max(threshold, least)
-    return df.where(F.col("n") >= threshold), threshold
+    return df.where(F.col("n") >= threshold)
 
 
-def learn(counts: DataFrame, order: int = ORDER, most: int = MAX_NODES) -> Model:
-    """The trie of the counted runs, at most ``most`` continuations per order."""
-    grams = counts.where("kind = 1")
-    tables, least = [], 1
-    for k in range(order + 1):
-        short = F.shiftleft(F.shiftright("key", 9).bitwiseAND(F.lit((1 << (8 * k)) - 1)), 9)
-        level = grams.groupBy(short.bitwiseOR(F.col("key").bitwiseAND(F.lit(511))).alias("key")).agg(F.sum("n").alias("n"))
-        level, least = _at_most(level, most, least)
-        tables.append(_arrays(level))
-    return Model(tables)
+def _context(k: int) -> Column:
+    return F.shiftright("key", 9).bitwiseAND(F.lit((1 << (8 * k)) - 1))
+
+
+def _run(k: int) -> Column:
+    """The run of ``k`` bytes and a symbol that ends a longer one."""
+    return F.shiftleft(_context(k), 9).bitwiseOR(F.col("key").bitwiseAND(F.lit(511)))
+
+
+def learn(counts: DataFrame, scratch: Scratch, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
+    """Per order the stored continuations ``gram, n`` and contexts ``context, total, kinds, ruled_out``."""
+    grams = counts.where("kind = 1").select("key", "n")
+    levels = []
+    for k in range(order, -1, -1):
+        if k:
+            shorter = scratch.table(grams.groupBy(_run(k - 1).alias("key")).agg(F.sum("n").alias("n")), "runs")
+            below = shorter.select(F.col("key").alias("gram"), F.col("n").alias("m"))
+            both = grams.join(below, _run(k - 1) == F.col("gram"))
+        else:
+            shorter, both = grams, grams.withColumn("m", F.lit(0))
+        contexts_ = both.groupBy(_context(k).alias("context")).agg(
+            F.sum("n").cast("double").alias("total"),
+            F.count("*").cast("double").alias("kinds"),
+            F.sum("m").cast("double").alias("ruled_out"),
+        )
+        levels.append((grams.select(F.col("key").alias("gram"), "n"), scratch.table(contexts_, "contexts")))
+        grams = shorter
+    return levels[::-1]
+
+
+def code_lengths(keys: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """``key, log``: log10 of the probability of each run's symbol after its context."""
+    zero = F.lit(0.0)
+    found = keys.select("key", F.lit(None).cast("double").alias("log"), *[zero.alias(c) for c in ("acc", "gone", "out")])
+    for k in range(len(levels) - 1, -1, -1):
+        grams, known = levels[k]
+        # a few short contexts have most of the runs; those tables are small by their key
+        grams = F.broadcast(grams) if k < 2 else grams
+        known = F.broadcast(known) if k < 3 else known
+        found = found.join(known, _context(k) == F.col("context"), "left").join(grams, _run(k) == F.col("gram"), "left")
+        kinds, total = F.col("kinds") - F.col("out"), F.col("total") - F.col("gone")
+        escape = F.when(F.col("n").isNull() & (kinds > 0), F.log10(kinds / (total + kinds))).otherwise(zero)
+        found = found.select(
+            "key",
+            F.coalesce("log", F.col("acc") + F.log10(F.col("n") / (total + kinds))).alias("log"),
+            (F.col("acc") + escape).alias("acc"),
+            F.coalesce("ruled_out", zero).alias("gone"),
+            F.coalesce("kinds", zero).alias("out"),
+        )
+    last = F.col("acc") - F.log10(F.greatest(SYMBOLS - F.col("out"), F.lit(1.0)))
+    return found.select("key", F.coalesce("log", last).alias("log"))
+
+
+def _tally(rows: np.ndarray, keys: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """The different keys of each of ``n`` rows, and how often they occur."""
+    by = np.lexsort((keys, rows))
+    rows, keys = rows[by], keys[by]
+    first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])][: len(keys)])
+    times = np.diff(np.append(first, len(keys)))
+    borders = pa.array(np.searchsorted(rows[first], np.arange(n + 1)), pa.int32())
+    return pa.ListArray.from_arrays(borders, pa.array(keys[first])), pa.ListArray.from_arrays(borders, pa.array(times))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
@@ -277,14 +327,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     n_texts = of_kind.get(2, (0, 0))[0]
     n_all, v = n_words + n_texts, n_kinds + (n_texts > 0)
     below = n_all + 0.5 * (v + 1)
-    frequent, _ = _at_most(words, MAX_WORDS)
-    keys, n = _arrays(frequent.select("key", "n"))
+    keys, n = _arrays(_at_most(words, MAX_WORDS).select("key", "n"))
     logs = np.log10((n + 0.5) / below)
-    shared = spark.sparkContext.broadcast((learn(counts, order), Table(keys), logs))
+    levels = learn(counts, scratch, order)
+    # a counted run is coded in its own context
+    runs = _at_most(counts.where("kind = 1"), MAX_NODES).join(levels[-1][1], _context(order) == F.col("context"))
+    runs = runs.select("key", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("n"))
+    run_keys, run_logs = _arrays(runs)
+    shared = spark.sparkContext.broadcast((Table(run_keys), run_logs, Table(keys), logs))
     end = float(np.log10((n_texts + 0.5) / below))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, common, known_logs = shared.value
+        cached, cached_logs, common, known_logs = shared.value
         for batch in some_rows(batches, 1):
             column = batch.column(1)
             hashes, at = word_hashes(column)
@@ -295,21 +349,34 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             base = np.bincount(row[hit], weights=known_logs[place[hit]], minlength=batch.num_rows)
             rare, rows = hashes[~hit].view(np.int64), row[~hit]
             borders = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+            stream, starts = symbols(column)
+            code = (contexts(stream, starts, order) << 9) | stream
+            value, far = np.zeros(len(code)), np.zeros(len(code), bool)
+            for low in range(0, len(code), _PIECE):
+                found = cached.find(code[low : low + _PIECE])
+                far[low : low + _PIECE] = found < 0
+                value[low : low + _PIECE][found >= 0] = cached_logs[found[found >= 0]]
+            of_row = np.repeat(np.arange(batch.num_rows), np.diff(starts))
+            far_keys, far_times = _tally(of_row[far], code[far], batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(np.diff(at) + 1),
                     pa.array(known),
                     pa.array(base),
-                    pa.array(model.scores(column)),
+                    pa.array(np.add.reduceat(value, starts[:-1]) if len(value) else value),
                     pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(rare)),
+                    far_keys,
+                    far_times,
                 ],
-                ["doc_id", "n_tokens", "known", "base", "score", "rare"],
+                ["doc_id", "n_tokens", "known", "base", "score", "rare", "far", "far_times"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_bytes(text_col)).mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, known long, base double, score double, rare array<long>"
+        run,
+        f"doc_id {kind}, n_tokens long, known long, base double, score double, "
+        "rare array<long>, far array<long>, far_times array<long>",
     )
     scored = scratch.table(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     missing = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
@@ -318,7 +385,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     added = looked.groupBy("row").agg(
         F.sum(log * F.col("times")).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("found")
     )
-    joined = scored.drop("rare").join(added, "row", "left")
+    joined = scored.drop("rare", "far", "far_times").join(added, "row", "left")
+    zipped = F.explode(F.arrays_zip("far", "far_times")).alias("f")
+    apart = scored.select("row", zipped).select("row", F.col("f.far").alias("key"), F.col("f.far_times").alias("times"))
+    coded = scratch.table(code_lengths(apart.select("key").distinct(), levels), "coded")
+    summed = apart.join(coded, "key").groupBy("row").agg(F.sum(F.col("log") * F.col("times")).alias("apart"))
+    joined = joined.join(summed, "row", "left")
     return joined.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
@@ -326,5 +398,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         (F.col("known") + F.coalesce("found", F.lit(0)) + F.lit(int(n_texts > 0))).alias("n_known"),
         F.lit(int(n_all)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(end)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("apart", F.lit(0.0))).alias("score"),
     )

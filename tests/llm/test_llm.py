@@ -341,6 +341,24 @@ def test_trie_probabilities_sum_to_one():
     assert np.allclose(whole, parts) and (whole < 0).all()
 
 
+def test_scores_do_not_depend_on_what_is_broadcast(spark, rows, monkeypatch):
+    training = [(t or "").encode() for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    stream, at = ppm.symbols(pa.array(training, pa.binary()))
+    keys, counts = np.unique((ppm.contexts(stream, at, ppm.ORDER) << 9) | stream, return_counts=True)
+    tables = []
+    for k in range(ppm.ORDER + 1):
+        short = (((keys >> 9) & ((1 << (8 * k)) - 1)) << 9) | (keys & 511)
+        found, place = np.unique(short, return_inverse=True)
+        tables.append((found, np.bincount(place, weights=counts).astype(np.int64)))
+    texts = {i: (t or "").encode() for i, t, _ in rows}
+    want = dict(zip(texts, ppm.Model(tables).scores(pa.array(list(texts.values()), pa.binary())), strict=True))
+    at_most = ppm._at_most
+    for most in (40, 10**6):
+        monkeypatch.setattr(ppm, "_at_most", lambda df, n, *a, most=most: at_most(df, min(n, most), *a))
+        for r in ppm.score(docs_frame(spark, rows)).collect():
+            assert abs(r.score - want[r.doc_id]) < 1e-6 * max(1, abs(want[r.doc_id]))
+
+
 def test_quality(spark):
     rng = random.Random(4)
     good = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(60)), 1) for i in range(150)]
