@@ -1,25 +1,29 @@
 """Token ids of many texts with a public tokenizer, as little-endian 32-bit bytes.
 
-The tokenizer never merges across a blank that is followed by a visible character: such a
-blank begins a new piece. So a text is cut there, each different piece is encoded once
-per worker and the bytes of the pieces are put together.
+Neither kind of tokenizer merges across a single blank that stands behind something other
+than a blank and before a visible character: such a blank begins a new piece. So a text is
+cut there, each different piece is encoded once per worker and the bytes of the pieces are
+put together.
 """
 
+import json
 import re
 from array import array
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
+DEFAULT_PIECES = "piece_bpe_32k.model"
 # Pieces kept by a worker, and pieces encoded in one call.
 KEPT_PIECES = 800_000
-AT_ONCE = 100
+AT_ONCE = 500
 
-# Fixed value: how the vocabulary writes a blank.
-_BLANK = "\u0120"
-_CUT = re.compile(r" (?=\S)")
-_encoders: dict[str, "Encoder"] = {}
+# How the two vocabularies write a blank.
+_BLANK, _WIDE_BLANK = "Ġ", "▁"
+_CUT = re.compile(r"(?<=[^ ]) (?=\S)")
+_encoders: dict[tuple, "Encoder | Pieces"] = {}
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -28,61 +32,124 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def cut(texts: list[str], open_first: bool) -> tuple[list[list[str]], set[str]]:
+    """Per text the pieces that it joins by blanks, and the different pieces that follow a blank.
+
+    ``open_first``: a blank goes before each text too, so that its first piece is like the others.
+    """
+    cuts = [t.split(" ") for t in texts]
+    words: set[str] = set().union(*cuts)
+    odd = {p for p in words if not p or p[0].isspace()}
+    if odd:
+        for i, c in enumerate(cuts):
+            if not odd.isdisjoint(c) and (open_first or not odd.isdisjoint(c[1:])):
+                cuts[i] = _CUT.split(texts[i])
+        words = set().union(*cuts)
+    return cuts, words
+
+
+def _kept(known: dict, words: set[str]) -> dict:
+    """What a worker knows, without what its present texts do not use if that is too much."""
+    return known if len(known) <= KEPT_PIECES else {p: known[p] for p in words if p in known}
+
+
+def apart(texts: list[str], signs: list[str], with_sign: Callable, without: Callable) -> list:
+    """The results of one function for texts that contain a sign and of another for the rest, in order."""
+    if not signs:
+        return without(texts)
+    far = [any(s in t for s in signs) for t in texts]
+    plain = iter(with_sign([t for t, f in zip(texts, far, strict=True) if f]))
+    rest = iter(without([t for t, f in zip(texts, far, strict=True) if not f]))
+    return [next(plain) if f else next(rest) for f in far]
+
+
 class Encoder:
-    def __init__(self, path: str):
+    """A tokenizer of the ``tokenizers`` library. ``plain``: special strings in a text are ordinary text."""
+
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(Path(path).read_text(encoding="utf-8"))
-        self.tokenizer.encode_special_tokens = True
+        source = Path(path).read_text(encoding="utf-8")
+        self.tokenizer = Tokenizer.from_str(source)
+        self.tokenizer.encode_special_tokens = plain
         # piece without its blank -> ids with it
         self.known: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for token, i in vocab.items() if token.startswith(_BLANK)]] = True
+        added = [] if plain else json.loads(source).get("added_tokens") or []
+        # A text with a special string that reaches over a blank is not cut.
+        self.whole = [t["content"] for t in added if t["lstrip"] or t["rstrip"] or any(map(str.isspace, t["content"]))]
 
     def _bytes(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _many(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces with their blanks; each has one id that opens with a blank, its first."""
-        out: list[bytes] = []
-        for i in range(0, len(pieces), AT_ONCE):
-            joined = self._bytes(" " + " ".join(pieces[i : i + AT_ONCE]))
-            starts = np.flatnonzero(self.opens[np.frombuffer(joined, "<u4")]) * 4
-            ends = [*starts[1:].tolist(), len(joined)]
-            out += [joined[a:b] for a, b in zip(starts.tolist(), ends, strict=True)]
-        return out
-
     def _learn(self, pieces: set[str]) -> None:
-        good = [p for p in pieces if p and not p[0].isspace()]
-        self.known.update(zip(good, self._many(good), strict=True))
+        """Ids of pieces with their blanks; several at a time, told apart by the one id of each that opens with a blank."""
+        alike = [p for p in pieces if p and " " not in p and not p[0].isspace()]
+        for i in range(0, len(alike), AT_ONCE):
+            some = alike[i : i + AT_ONCE]
+            joined = self._bytes(" " + " ".join(some))
+            starts = (np.flatnonzero(self.opens[np.frombuffer(joined, "<u4")]) * 4).tolist()
+            if len(starts) != len(some):
+                raise ValueError("the tokenizer does not open each word with a blank of its own")
+            self.known.update(zip(some, [joined[a:b] for a, b in zip(starts, [*starts[1:], None], strict=True)], strict=True))
+        for p in pieces.difference(alike):
+            self.known[p] = self._bytes(" " + p)
+
+    def learn(self, words: set[str]) -> None:
+        self.known = _kept(self.known, words)
+        self._learn(words.difference(self.known))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Four bytes for each id of each text."""
-        if len(self.known) > KEPT_PIECES:
-            self.known.clear()
-        get = self.known.get
-        cut = [t.split(" ") for t in texts]
-        found = [list(map(get, c)) for c in cut]
-        unknown: set[str] = set()
-        for c, f in zip(cut, found, strict=True):
-            if None in f:
-                unknown.update([p for p, x in zip(c, f, strict=True) if x is None])
-        self._learn(unknown)
-        out = []
-        for text, c, f in zip(texts, cut, found, strict=True):
-            if None in f:
-                f = list(map(get, c))
-            f[0] = self._bytes(c[0])
-            if None in f:  # a blank before it is no border: several blanks, or one at the end
-                first, *rest = _CUT.split(text)
-                f = [self._bytes(first), *[get(p) or self._bytes(" " + p) for p in rest]]
-            out.append(b"".join(f))
-        return out
-
-
-def encoder(path: str) -> Encoder:
+        return apart(texts, self.whole, lambda some: list(map(self._bytes, some)), self._encode)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        cuts, words = cut(texts, open_first=False)
+        self.learn(words)
+        get = self.known.__getitem__
+        return [self._bytes(c[0]) + b"".join(map(get, c[1:])) if c[0] else b"".join(map(get, c[1:])) for c in cuts]
+
+
+class Pieces:
+    """A sentencepiece model; it puts a blank before each text by itself."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.known: dict[str, bytes] = {}
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        # words do not depend on their neighbours: no blank inside a piece, none dropped, one put in front
+        cuttable = not any(_WIDE_BLANK in n.lstrip(_WIDE_BLANK) for n in names) and (
+            "".join(self.model.encode("a  b", out_type=str)) == "▁a▁▁b"
+        )
+        # A text with what the model takes for a blank is not cut.
+        self.whole = [_WIDE_BLANK] if cuttable else [""]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [array("I", ids).tobytes() for ids in self.model.encode(texts, num_threads=1)]
+
+    def learn(self, words: set[str]) -> None:
+        self.known = _kept(self.known, words)
+        new = list(words.difference(self.known))
+        self.known.update(zip(new, self._plain(new), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Four bytes for each id of each text."""
+        return apart(texts, self.whole, self._plain, self._encode)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        cuts, words = cut(texts, open_first=True)
+        self.learn(words)
+        get = self.known.__getitem__
+        return [b"".join(map(get, c)) if t else b"" for t, c in zip(texts, cuts, strict=True)]
+
+
+def encoder(path: str, plain: bool = False) -> Encoder:
     """The worker's encoder of this file; kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = path, plain
+    if key not in _encoders:
+        _encoders[key] = Pieces(path) if path.endswith(".model") else Encoder(path, plain)
+    return _encoders[key]
