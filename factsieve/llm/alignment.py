@@ -39,10 +39,13 @@ SLICE = 1 << 16
 RANGE = 1 << 13
 FAN = 16
 # Text bytes (or bytes of ids) worked on at once; pairs that are broadcast at most.
-ROWS_BYTES = 1 << 21
+ROWS_BYTES = 1 << 20
 MAX_PAIRS = 1 << 20
-# Pairs handed on in one row.
+# Pieces that a worker keeps of each tokenizer, twice.
+KEPT = 200_000
+# Pairs handed on in one row, and different ones that a task holds before it hands them on.
 _PAIRS_A_ROW = 1 << 16
+_PAIRS_HELD = 1 << 20
 _NONE = np.empty(0, np.uint32)
 
 
@@ -143,7 +146,7 @@ class Aligner:
     """Two tokenizers of a worker."""
 
     def __init__(self, first: str, second: str):
-        self.sources = encoder(first, plain=True), encoder(second, plain=True)
+        self.sources = encoder(first, True, KEPT), encoder(second, True, KEPT)
         self.a, self.b = (Vocabulary(s) for s in self.sources)
 
     def encode(self, texts: list[str]) -> tuple[list[Tokens], np.ndarray]:
@@ -291,9 +294,11 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, paths: tuple[str, str]
                     }
                 )
             yield _batch(out, columns)
+            if counter.held > _PAIRS_HELD:
+                yield from (_batch([r], columns) for r in _pair_rows(counter))
+                counter = _Counter()
         if columns[0][2] is not None:
-            for r in _pair_rows(counter):
-                yield _batch([r], columns)
+            yield from (_batch([r], columns) for r in _pair_rows(counter))
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col))
     return rows.mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{n} {t}" for n, t, _ in _FIRST))

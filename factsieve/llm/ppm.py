@@ -34,7 +34,7 @@ SYMBOLS = 257
 MAX_NODES = 1 << 20
 MAX_WORDS = 1 << 17
 # Counts collected in a task before they are combined, and bytes scored at once.
-_HELD = 1 << 21
+_HELD = 1 << 20
 _PIECE = 1 << 20
 
 

@@ -8,7 +8,8 @@ their lengths are kept; a text's count is the sum of the lengths of its pieces.
 map over the table, without a shuffle: a large file is divided by bytes by its scan.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factsieve.llm.store import share_code, text_of
-from factsieve.llm.tokens import _CUT, Encoder, Pieces, _kept, apart, cut, encoder, tokenizer_path
+from factsieve.llm.tokens import _CUT, KEPT_PIECES, Encoder, Known, Pieces, apart, cut, encoder, first_pieces, together, tokenizer_path
 from factsieve.llm.words import buffer_of, some_rows
 
 LIMIT = 1024
 # Text of rows taken at once, of a segment, and of a batch that is encoded in one call: bytes, characters, characters.
 ROWS_BYTES = 4 << 20
 SEGMENT = 1 << 20
-BATCH = 1 << 16
+BATCH = 1 << 15
 # Batches handed to the library at a time.
-CALLS = 16
+CALLS = 8
 _counters: dict[str, "Counter"] = {}
 
 
@@ -56,16 +57,17 @@ class Counter:
 
     def __init__(self, path: str):
         self.encoder: Encoder | Pieces = encoder(path)
-        self.known: dict[str, int] = {}
+        self.known = Known(KEPT_PIECES)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, words: Iterable[str]) -> None:
+        pieces, known = self.known.missing(words), self.known.young
         if isinstance(self.encoder, Pieces):
             for a, b in balanced(np.fromiter(map(len, pieces), np.int64, len(pieces)), BATCH):
                 found = self.encoder.model.encode(pieces[a:b], num_threads=1)
-                self.known.update(zip(pieces[a:b], map(len, found), strict=True))
+                known.update(zip(pieces[a:b], map(len, found), strict=True))
             return
         library, opens = self.encoder.tokenizer, self.encoder.opens
-        alike = [p for p in pieces if p and " " not in p and not p[0].isspace()]
+        alike, other = together(pieces)
         ranges = balanced(np.fromiter(map(len, alike), np.int64, len(alike)) + 1, BATCH)
         for i in range(0, len(ranges), CALLS):
             some = ranges[i : i + CALLS]
@@ -73,10 +75,9 @@ class Counter:
             for (a, b), found in zip(some, library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
                 ids = np.array(found.ids, np.int64)
                 lengths = np.diff(np.append(np.flatnonzero(opens[ids]), len(ids))).tolist()
-                self.known.update(zip(alike[a:b], lengths, strict=True))
-        other = [p for p in pieces if not p or " " in p or p[0].isspace()]
+                known.update(zip(alike[a:b], lengths, strict=True))
         for p, found in zip(other, library.encode_batch_fast([" " + p for p in other], add_special_tokens=False), strict=True):
-            self.known[p] = len(found.ids)
+            known[p] = len(found.ids)
 
     def _plain(self, texts: list[str]) -> list[int]:
         """Each text encoded as it is."""
@@ -87,14 +88,19 @@ class Counter:
     def _parts(self, texts: list[str], begin: bool) -> list[int]:
         """Counts of parts: of whole texts or their beginnings, or of segments that follow a blank."""
         own_first = begin and isinstance(self.encoder, Encoder)
-        cuts, words = cut(texts, open_first=not own_first)
-        self.known = _kept(self.known, words)
-        self._learn(list(words.difference(self.known)))
-        get = self.known.__getitem__
-        if not own_first:
-            return [sum(map(get, c)) if t else 0 for t, c in zip(texts, cuts, strict=True)]
-        firsts = self._plain([c[0] for c in cuts])
-        return [f + sum(map(get, c[1:])) for f, c in zip(firsts, cuts, strict=True)]
+        found = cut(texts, open_first=not own_first)
+        self._learn(chain(found.words, *found.odd.values()))
+        get = self.known.young.__getitem__
+        sizes = np.fromiter(map(get, found.words), np.int64, len(found.words))[found.number]
+        if own_first:
+            sizes[found.borders[:-1]] = 0
+        sums = np.concatenate([[0], np.cumsum(sizes)])[found.borders]
+        out = np.diff(sums).tolist()
+        for i, pieces in found.odd.items():
+            out[i] = sum(map(get, pieces[1:] if own_first else pieces))
+        if own_first:
+            return [n + f for n, f in zip(out, self._plain(first_pieces(texts, found)), strict=True)]
+        return [n if t else 0 for n, t in zip(out, texts, strict=True)]
 
     def count(self, texts: list[str]) -> list[int]:
         return apart(texts, self.encoder.whole, self._plain, self._count)

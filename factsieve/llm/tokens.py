@@ -9,15 +9,19 @@ put together.
 import json
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 DEFAULT_PIECES = "piece_bpe_32k.model"
-# Pieces kept by a worker, and pieces encoded in one call.
-KEPT_PIECES = 800_000
+# Pieces of a generation that a worker keeps (it has two), and pieces encoded in one call.
+KEPT_PIECES = 600_000
 AT_ONCE = 500
 
 # How the two vocabularies write a blank.
@@ -32,25 +36,81 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def cut(texts: list[str], open_first: bool) -> tuple[list[list[str]], set[str]]:
-    """Per text the pieces that it joins by blanks, and the different pieces that follow a blank.
+@dataclass
+class Cut:
+    """Texts as pieces joined by blanks; ``borders`` tell where the pieces of each text begin.
 
-    ``open_first``: a blank goes before each text too, so that its first piece is like the others.
+    ``number`` is the place of each piece in ``words``. A text with an odd blank has a list of its own in
+    ``odd`` instead, and its pieces above count for nothing.
     """
-    cuts = [t.split(" ") for t in texts]
-    words: set[str] = set().union(*cuts)
-    odd = {p for p in words if not p or p[0].isspace()}
-    if odd:
-        for i, c in enumerate(cuts):
-            if not odd.isdisjoint(c) and (open_first or not odd.isdisjoint(c[1:])):
-                cuts[i] = _CUT.split(texts[i])
-        words = set().union(*cuts)
-    return cuts, words
 
-
-def _kept(known: dict, words: set[str]) -> dict:
-    """What a worker knows, without what its present texts do not use if that is too much."""
-    return known if len(known) <= KEPT_PIECES else {p: known[p] for p in words if p in known}
+    words: list[str]
+    number: np.ndarray
+    borders: np.ndarray
+    odd: dict[int, list[str]]
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.borders) - 1), np.diff(self.borders))
+
+
+def cut(texts: list[str], open_first: bool) -> Cut:
+    """All pieces of some texts. ``open_first``: a blank goes before each text too, so its first piece is like the others."""
+    lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    found = lists.values.dictionary_encode()
+    words, number = found.dictionary.to_pylist(), found.indices.to_numpy()
+    borders = lists.offsets.to_numpy().astype(np.int64)
+    first = pc.utf8_slice_codeunits(found.dictionary, 0, 1)
+    strange = pc.or_(pc.equal(first, ""), pc.utf8_is_space(first)).to_numpy(zero_copy_only=False)
+    odd = {}
+    if strange.any():
+        at = strange[number]
+        if not open_first:
+            at[borders[:-1]] = False
+        rows = np.unique(np.searchsorted(borders, np.flatnonzero(at), "right") - 1)
+        odd = {i: _CUT.split(texts[i]) for i in rows.tolist()}
+    return Cut(words, number, borders, odd)
+
+
+class Known:
+    """What a worker knows of pieces: of the last ``kept`` met, and of those met before that."""
+
+    def __init__(self, kept: int):
+        self.kept = kept
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, words: Iterable[str]) -> list[str]:
+        """Which words are not known; the others are kept."""
+        if len(self.young) > self.kept:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = [w for w in words if w not in young]
+        young.update([(w, old[w]) for w in new if w in old])
+        return [w for w in new if w not in old]
+
+
+def _put_together(found: Cut, known: dict[str, bytes], firsts: list[bytes] | None) -> list[bytes]:
+    """The ids of each text, with what its first piece has instead of the known ids, if given."""
+    get = known.__getitem__
+    values = list(map(get, found.words))
+    size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    flat = np.frombuffer(b"".join(values), "<u4")
+    start = (np.cumsum(size) - size)[found.number]
+    sizes = size[found.number]
+    if firsts is not None:
+        sizes[found.borders[:-1]] = 0
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    data = flat[np.repeat(start - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+    at = (4 * ends[found.borders]).tolist()
+    out = [data[x:y] for x, y in zip(at, at[1:], strict=False)]
+    for i, pieces in found.odd.items():
+        out[i] = b"".join(map(get, pieces if firsts is None else pieces[1:]))
+    return out if firsts is None else [f + o for f, o in zip(firsts, out, strict=True)]
+
+
+def first_pieces(texts: list[str], found: Cut) -> list[str]:
+    """The part of each text before its first cut."""
+    return [found.odd[i][0] if i in found.odd else t.partition(" ")[0] for i, t in enumerate(texts)]
 
 
 def apart(texts: list[str], signs: list[str], with_sign: Callable, without: Callable) -> list:
@@ -63,17 +123,23 @@ def apart(texts: list[str], signs: list[str], with_sign: Callable, without: Call
     return [next(plain) if f else next(rest) for f in far]
 
 
+def together(pieces: list[str]) -> tuple[list[str], list[str]]:
+    """(pieces that can be encoded joined by blanks, the others)."""
+    alike = [p for p in pieces if p and " " not in p and not p[0].isspace()]
+    return alike, [p for p in pieces if not p or " " in p or p[0].isspace()] if len(alike) < len(pieces) else []
+
+
 class Encoder:
     """A tokenizer of the ``tokenizers`` library. ``plain``: special strings in a text are ordinary text."""
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, kept: int = KEPT_PIECES):
         from tokenizers import Tokenizer
 
         source = Path(path).read_text(encoding="utf-8")
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.encode_special_tokens = plain
         # piece without its blank -> ids with it
-        self.known: dict[str, bytes] = {}
+        self.known = Known(kept)
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for token, i in vocab.items() if token.startswith(_BLANK)]] = True
@@ -84,42 +150,39 @@ class Encoder:
     def _bytes(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
+    def learn(self, words: Iterable[str]) -> None:
         """Ids of pieces with their blanks; several at a time, told apart by the one id of each that opens with a blank."""
-        alike = [p for p in pieces if p and " " not in p and not p[0].isspace()]
+        new = self.known.missing(words)
+        alike, other = together(new)
+        known = self.known.young
         for i in range(0, len(alike), AT_ONCE):
             some = alike[i : i + AT_ONCE]
             joined = self._bytes(" " + " ".join(some))
             starts = (np.flatnonzero(self.opens[np.frombuffer(joined, "<u4")]) * 4).tolist()
             if len(starts) != len(some):
                 raise ValueError("the tokenizer does not open each word with a blank of its own")
-            self.known.update(zip(some, [joined[a:b] for a, b in zip(starts, [*starts[1:], None], strict=True)], strict=True))
-        for p in pieces.difference(alike):
-            self.known[p] = self._bytes(" " + p)
-
-    def learn(self, words: set[str]) -> None:
-        self.known = _kept(self.known, words)
-        self._learn(words.difference(self.known))
+            known.update(zip(some, [joined[a:b] for a, b in zip(starts, [*starts[1:], None], strict=True)], strict=True))
+        for p in other:
+            known[p] = self._bytes(" " + p)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Four bytes for each id of each text."""
         return apart(texts, self.whole, lambda some: list(map(self._bytes, some)), self._encode)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cuts, words = cut(texts, open_first=False)
-        self.learn(words)
-        get = self.known.__getitem__
-        return [self._bytes(c[0]) + b"".join(map(get, c[1:])) if c[0] else b"".join(map(get, c[1:])) for c in cuts]
+        found = cut(texts, open_first=False)
+        self.learn(chain(found.words, *found.odd.values()))
+        return _put_together(found, self.known.young, list(map(self._bytes, first_pieces(texts, found))))
 
 
 class Pieces:
     """A sentencepiece model; it puts a blank before each text by itself."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_PIECES):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.known: dict[str, bytes] = {}
+        self.known = Known(kept)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         # words do not depend on their neighbours: no blank inside a piece, none dropped, one put in front
         cuttable = not any(_WIDE_BLANK in n.lstrip(_WIDE_BLANK) for n in names) and (
@@ -131,25 +194,23 @@ class Pieces:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", ids).tobytes() for ids in self.model.encode(texts, num_threads=1)]
 
-    def learn(self, words: set[str]) -> None:
-        self.known = _kept(self.known, words)
-        new = list(words.difference(self.known))
-        self.known.update(zip(new, self._plain(new), strict=True))
+    def learn(self, words: Iterable[str]) -> None:
+        new = self.known.missing(words)
+        self.known.young.update(zip(new, self._plain(new), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Four bytes for each id of each text."""
         return apart(texts, self.whole, self._plain, self._encode)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cuts, words = cut(texts, open_first=True)
-        self.learn(words)
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) if t else b"" for t, c in zip(texts, cuts, strict=True)]
+        found = cut(texts, open_first=True)
+        self.learn(chain(found.words, *found.odd.values()))
+        return _put_together(found, self.known.young, None)
 
 
-def encoder(path: str, plain: bool = False) -> Encoder:
+def encoder(path: str, plain: bool = False, kept: int = KEPT_PIECES) -> Encoder | Pieces:
     """The worker's encoder of this file; kept between tasks."""
-    key = path, plain
+    key = path, plain, kept
     if key not in _encoders:
-        _encoders[key] = Pieces(path) if path.endswith(".model") else Encoder(path, plain)
+        _encoders[key] = Pieces(path, kept) if path.endswith(".model") else Encoder(path, plain, kept)
     return _encoders[key]
