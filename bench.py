@@ -49,6 +49,8 @@ def main() -> None:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # the tables are files of one row group, one task each unless their rows are dealt out
+        .config("spark.factsieve.partitions", CPUS)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -8,6 +8,8 @@ from factsieve.functions.numbers import format_number_text, numeric_values
 
 # Fixed value: absolute tolerance, inclusive.
 DEFAULT_TOLERANCE = 0.01
+# Up to so many pairs comparing each beats sorting; the result is the same.
+_FEW_PAIRS = 1024
 
 
 def within(a: Column, b: Column, tol: float) -> Column:
@@ -28,10 +30,14 @@ def unmatched_values(answer: Column, context: Column, tol: float = DEFAULT_TOLER
     in the answer and overlooked in the context, and a NULL context is an empty one.
     ``context`` is not evaluated when the answer holds no number, and once at most.
     """
+    def against(a: Column, c: Column) -> Column:
+        each = F.filter(a, lambda v: ~verify_numeric(v, c, tol))
+        return F.when(F.size(a) * F.size(c) <= _FEW_PAIRS, each).otherwise(_unmatched_by_sorting(a, c, tol))
+
     return let(
         answer,
         lambda a: F.when(F.size(a) == 0, empty("double")).otherwise(
-            _unmatched_by_sorting(a, F.coalesce(context, empty("double")), tol)
+            let(F.coalesce(context, empty("double")), lambda c: against(a, c))
         ),
     )
 

@@ -105,10 +105,47 @@ def lexeme_spans(col: Column | str) -> Column:
     return F.when(text.rlike(java(patterns.DIGIT)), spans).otherwise(empty(SPAN))
 
 
+# Between lexemes that are written into one string, and for a decimal comma on the way; neither is in a lexeme.
+_BAR, _COMMA = "|", "_"
+
+
+def _plain_numbers(joined: Column) -> Column:
+    """The numbers of joined lexemes with ``.`` as their only separator, still joined.
+
+    The same rules as :func:`normalize_digits`, for all lexemes of a text at once: a comma behind
+    a dotted group is the decimal mark; dots before a further separator, or behind a dotted
+    group, part thousands, and so does a comma before just three digits; any other comma is the
+    decimal mark.
+    """
+    bare = F.regexp_replace(joined, r"[^0-9.,|\-]+\.?|[^0-9.,|\-]+", "")
+    marked = F.regexp_replace(bare, r"(?<=\.[0-9]{3}),", _COMMA)
+    no_dots = F.regexp_replace(marked, r"\.(?=[0-9]*[._])|(?<=\.[0-9]{3})\.", "")
+    no_commas = F.regexp_replace(no_dots, r",(?=[0-9]{3}(?![0-9]))", "")
+    return F.translate(no_commas, "," + _COMMA, "..")
+
+
+def _factors(joined: Column) -> Column:
+    """The factor of each of the joined lexemes, NULL without a multiplier word."""
+    words = F.regexp_replace(F.lower(joined), r"[^|\p{L}]+", "")
+    for factor, beginnings in patterns.MULTIPLIER_FACTORS.items():
+        words = F.regexp_replace(words, rf"(?<![^|])(?:{'|'.join(beginnings)})[^|]*", f"{factor:.0f}")
+    return F.split(words, r"\|", -1).try_cast("array<double>")
+
+
 @built_once
 def numeric_values(col: Column | str) -> Column:
-    """All number values of the text, in text order, as ``array<double>``."""
-    return F.transform(numeric_lexemes(col), parse_numeric)
+    """All number values of the text, in text order, as ``array<double>``.
+
+    The lexemes are joined, rewritten together and cast together; lambdas run for
+    multiplier words alone.
+    """
+
+    def values(joined: Column) -> Column:
+        plain = F.split(_plain_numbers(joined), r"\|", -1).try_cast("array<double>")
+        multiplied = F.zip_with(plain, _factors(joined), lambda v, f: v * F.coalesce(f, F.lit(1.0)))
+        return F.when(joined == "", empty("double")).when(joined.rlike(r"\p{L}"), multiplied).otherwise(plain)
+
+    return let(F.array_join(numeric_lexemes(col), _BAR), values)
 
 
 @built_once
@@ -134,6 +171,14 @@ def format_number_text(value: Column) -> Column:
         (value == F.floor(value)) & (F.abs(value) < 1e6) & (value != 0.0),
         value.cast("bigint").cast("string"),
     )
+    # Six decimals that read back as the number are all it has: fifteen digits tell doubles apart.
+    short = F.when(
+        F.abs(value).between(1e-4, 999999.0),
+        let(
+            F.rtrim(F.abs(value).cast("decimal(18,6)").cast("string"), F.lit("0")),
+            lambda s: F.when(s.cast("double") == F.abs(value), F.concat(F.when(value < 0, "-").otherwise(""), s)),
+        ),
+    )
     special = (
         F.when(F.isnan(value), F.lit("NaN"))
         .when(value == float("inf"), F.lit("+Inf"))
@@ -158,7 +203,7 @@ def format_number_text(value: Column) -> Column:
     )
     sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
     laid_out = let(scientific, lambda s: F.concat(sign, _lay_out(s)))
-    return F.coalesce(special, whole, laid_out)
+    return F.coalesce(special, whole, short, laid_out)
 
 
 def _lay_out(scientific: Column) -> Column:

@@ -17,17 +17,9 @@ def find_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
 
 
-def gaps_of(text: Column, pattern: str) -> Column:
-    """The pieces of text around the matches.
-
-    Spark compiles the pattern of ``split`` anew for each row, that of
-    ``regexp_replace`` once; so matches are turned into a mark to split at,
-    unless the text happens to hold the mark.
-    """
-    marked = F.regexp_replace(text, F.lit(java(pattern)), F.lit(_MARK))
-    return F.when(
-        F.contains(text, F.lit(_MARK)), F.split(text, java(pattern), -1)
-    ).otherwise(F.split(marked, _MARK, -1))
+def _pieces(text: Column, pattern: str) -> Column:
+    """Gap, match, gap, match, ... gap, from one pass over a text without the mark."""
+    return F.split(F.regexp_replace(text, F.lit(java(pattern)), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
 
 
 def lengths(s: Column) -> Column:
@@ -45,13 +37,24 @@ def locate(hits: Column, gaps: Column) -> Column:
 
 
 def find_spans(text: Column, pattern: str) -> Column:
-    """All matches, left to right, not overlapping, with offsets."""
-    return let(
-        find_all(text, pattern),
-        lambda hits: F.when(F.size(hits) == 0, empty(SPAN)).otherwise(
-            let(gaps_of(text, pattern), lambda gaps: locate(hits, gaps))
-        ),
-    )
+    """All matches, left to right, not overlapping, with offsets.
+
+    Spark compiles the pattern of ``split`` anew for each row, that of ``regexp_replace``
+    once; so matches are put between marks to split at, which gives matches and gaps in
+    one search, unless the text happens to hold the mark.
+    """
+
+    def in_turns(pieces: Column) -> Column:
+        hits, gaps = F.filter(pieces, lambda _, i: i % 2 == 1), F.filter(pieces, lambda _, i: i % 2 == 0)
+        return F.when(F.size(pieces) == 1, empty(SPAN)).otherwise(let(gaps, lambda g: let(hits, lambda h: locate(h, g))))
+
+    def apart(hits: Column) -> Column:
+        return let(F.split(text, java(pattern), -1), lambda g: locate(hits, g))
+
+    return F.when(
+        F.contains(text, F.lit(_MARK)),
+        let(find_all(text, pattern), lambda h: F.when(F.size(h) == 0, empty(SPAN)).otherwise(apart(h))),
+    ).otherwise(let(_pieces(text, pattern), in_turns))
 
 
 def span_at(raw: Column, to: Column) -> Column:

@@ -9,7 +9,7 @@ from factsieve.functions.numbers import (
     lexeme_spans,
     normalize_digits,
     number_core,
-    numeric_lexemes,
+    numeric_values,
     parse_core,
 )
 
@@ -24,14 +24,11 @@ def extract_numerics(
 
     ``offsets=False`` gives ``ord`` and ``value`` only and reads each text once less.
     """
+    if not offsets:
+        return df.select(*id_cols, F.posexplode(numeric_values(text_col)).alias("ord", "value"))
     # Lexemes become rows first; from then on expressions are compiled. The bare number is
     # a column of its own, so that its many uses do not repeat the search for it.
-    if offsets:
-        found = df.select(*id_cols, F.posexplode(lexeme_spans(text_col)).alias("ord", "_span"))
-        found = found.select(*id_cols, "ord", "_span.*")
-    else:
-        found = df.select(*id_cols, F.posexplode(numeric_lexemes(text_col)).alias("ord", "raw"))
+    found = df.select(*id_cols, F.posexplode(lexeme_spans(text_col)).alias("ord", "_span"))
+    found = found.select(*id_cols, "ord", "_span.*").withColumn("_core", number_core(F.col("raw")))
     value = parse_core(F.col("raw"), lambda core: normalize_digits(F.col("_core")))
-    parsed = found.withColumn("_core", number_core(F.col("raw"))).withColumn("value", value)
-    columns = ["value", "start", "end", "start_char", "end_char", "raw"] if offsets else ["value"]
-    return parsed.select(*id_cols, "ord", *columns)
+    return found.select(*id_cols, "ord", value.alias("value"), "start", "end", "start_char", "end_char", "raw")

@@ -20,14 +20,19 @@ def read_token_batches(
     fmt: str = "parquet",
     schema: str = schemas.TOKEN_BATCHES,
     max_files_per_trigger: int | None = 64,
+    max_bytes_per_trigger: int | str | None = None,
 ) -> DataFrame:
     """A stream of text deltas and token ids from files that keep arriving.
 
-    ``max_files_per_trigger`` bounds a micro-batch (None: all files there are). Files must arrive in ``seq``
+    ``max_files_per_trigger`` bounds the files of a micro-batch (None: all there are);
+    ``max_bytes_per_trigger`` (a number, or text such as ``512m``) bounds their bytes instead: files are admitted
+    while their sum stays below it, and one larger file comes alone. Files must arrive in ``seq``
     order per session. Another source (Kafka, say) with the same columns works alike.
     """
     reader = spark.readStream.schema(schema).format(fmt)
-    if max_files_per_trigger is not None:
+    if max_bytes_per_trigger is not None:
+        reader = reader.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
+    elif max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.load(path)
 
@@ -67,6 +72,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One parquet table of a folder."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+# Setting of a session: deal the rows of every table read by :func:`read_table` to so many tasks.
+PARTITIONS = "spark.factsieve.partitions"
+
+
+def read_table(spark: SparkSession, folder: str, name: str, partitions: int | None = None) -> DataFrame:
+    """One parquet table of a folder.
+
+    A scan cannot divide a row group, so a file with one huge row group keeps one task busy.
+    ``partitions``, or the setting ``spark.factsieve.partitions``, deals the rows out before
+    anything costly, whatever their number; without either the scan's own tasks are used.
+    """
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    partitions = partitions or int(spark.conf.get(PARTITIONS, "0"))
+    return table.repartition(partitions) if partitions else table

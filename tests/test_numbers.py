@@ -9,6 +9,7 @@ from factsieve.functions.numbers import (
     format_number_text,
     multiplier_factor,
     normalize_digits,
+    numeric_lexemes,
     numeric_values,
     parse_numeric,
 )
@@ -140,3 +141,35 @@ def test_number_text(spark, seed):
     assert got[3] == "1e+06" and got[5] == "4.785380592391139e+15" and got[2] == "100000"
     wrong = [(v, got[i], shortest(v)) for i, v in enumerate(values) if got[i] != shortest(v)]
     assert not wrong, wrong[:5]
+
+
+def test_values_of_joined_lexemes_equal_those_of_single_ones(spark):
+    rng = random.Random(17)
+    digits = ["1", "12", "123", "1234", "000", "5"]
+    parts = [*digits, *digits, ",", ".", ",", ".", "-", "+", "±", "%", " %", " ", " млн", "тыс.", " Thousand", " billion", "x", "|", "_", "٢", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    single = F.transform(numeric_lexemes("text"), parse_numeric)
+    for r in rows.select("text", numeric_values("text").alias("got"), single.alias("want")).collect():
+        assert list(map(repr, r["got"])) == list(map(repr, r["want"])), r["text"]
+
+
+def test_spans_of_texts_with_the_mark(spark):
+    texts = ["a 1 b 22", "a 1\0 b 22", "\0", "3\0", "no number", "é 1,5 日 7\0 8"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    for r in extract_numerics(rows).join(rows, "id").collect():
+        assert r["text"][r["start_char"] : r["end_char"]] == r["raw"]
+        assert r["text"].encode()[r["start"] : r["end"]].decode() == r["raw"]
+    counts = {r["id"]: r["count"] for r in extract_numerics(rows).groupBy("id").count().collect()}
+    assert counts == {0: 2, 1: 2, 3: 1, 5: 3}
+
+
+def test_short_number_texts(spark):
+    rng = random.Random(5)
+    values = [round(rng.uniform(-1e6, 1e6), rng.randint(0, 9)) for _ in range(3000)]
+    values += [rng.uniform(1e-4, 1.0) for _ in range(500)] + [999999.5, 1e6, 0.0001, 123456.789012, 999998.999999, 0.1 + 0.2]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in rows.select("v", format_number_text(F.col("v")).alias("s")).collect():
+        if 1e-4 <= abs(r["v"]) < 1e6:
+            assert r["s"] == repr(r["v"]).removesuffix(".0"), r["v"]
+        assert float(r["s"]) == r["v"]
