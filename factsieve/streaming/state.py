@@ -25,10 +25,12 @@ def keyed_state(
     output: str,
     state: str,
     idle_timeout_ms: int | None,
+    left: Callable[[tuple, tuple], pd.DataFrame] | None = None,
 ) -> DataFrame:
     """Run ``step(key, batches, state) -> (state, rows)`` per key and micro-batch.
 
-    A step that returns None for the state ends the session.
+    A step that returns None for the state ends the session. ``left(key, state)`` gives the
+    last rows of a session that is dropped for its silence.
 
     With ``idle_timeout_ms`` the state of a session that stays silent that long is
     dropped, unless a last row has ended the session before. It is for
@@ -41,6 +43,8 @@ def keyed_state(
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
+            if left is not None:
+                yield left(key, held.get)
             held.remove()
             return
         new, rows = step(key, batches, held.get if held.exists else None)

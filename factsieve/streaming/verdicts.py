@@ -45,12 +45,12 @@ class _Scanner:
         self.settled = list(settled)
 
     @staticmethod
-    def _emails(text: str) -> int:
-        """Number of addresses, looking at each ``@`` once; see ``functions.emails``."""
+    def _email_ends(text: str) -> list[int]:
+        """Where addresses end, looking at each ``@`` once; see ``functions.emails``."""
         import regex as re
 
         pieces = text.split("@")
-        found, taken = 0, ""  # domain of the sign before, if it has an address
+        ends, taken, at = [], "", len(pieces[0])  # domain of the sign before, if it has an address
         for i in range(1, len(pieces)):
             before = pieces[i - 1]
             domain = _domain(pieces[i])
@@ -64,37 +64,62 @@ class _Scanner:
                 ahead = ("@" if i > 1 else "") if whole else before[-run - 1]
                 own = ahead + before[len(before) - run :]
                 hit = re.match(patterns.EMAIL_LOCAL_END.replace(r"\z", r"\Z"), own) is not None
-            found += hit
+            if hit:
+                ends.append(at + 1 + len(domain))
             taken = domain if hit else ""
-        return found
+            at += 1 + len(pieces[i])
+        return ends
 
     @classmethod
-    def _count(cls, text: str) -> list[int]:
+    def _ends(cls, text: str) -> list[list[int]]:
+        """Where the matches of each type end."""
         # The third-party module, on the workers: its word boundaries agree with the columns'
         # on combining marks, those of the standard library do not.
         import regex as re
 
         has_digit = re.search(patterns.DIGIT, text) is not None
         return [
-            (cls._emails(text) if "@" in text else 0)
+            (cls._email_ends(text) if "@" in text else [])
             if t == "email"
-            else (sum(1 for _ in re.finditer(p, text)) if has_digit else 0)
+            else ([m.end() for m in re.finditer(p, text)] if has_digit else [])
             for t, p in patterns.PII_PATTERNS.items()
         ]
 
-    def add(self, delta: str) -> list[int]:
-        """Match counts per type of all text so far, ``delta`` included."""
+    def add(self, deltas: Sequence[str]) -> list[list[int]]:
+        """Match counts per type of all text so far, after each delta.
+
+        The text up to the last cut is searched once, and each delta gets the matches that
+        end before its own last cut. Behind that only the open stretch is looked at, as
+        it stands when the delta ends, and only if it has a digit or an ``@``.
+        """
         import regex as re
 
-        upto = re.match(patterns.UP_TO_LAST_CUT, delta)
-        if upto is None:
-            self.tail += delta
+        upto, digit = re.compile(patterns.UP_TO_LAST_CUT), re.compile(patterns.DIGIT)
+        text = self.tail + "".join(deltas)
+        at, cut, cuts, ends = len(self.tail), 0, [], []
+        for delta in deltas:
+            last = upto.match(delta)
+            cut = cut if last is None else at + len(last.group(1))
+            at += len(delta)
+            cuts.append(cut)
+            ends.append(at)
+        closed = self._ends(text[: cut + 1]) if cut else [[]] * len(self.settled)
+        out, n = [], [0] * len(self.settled)
+        for cut, end in zip(cuts, ends, strict=True):
+            for t, places in enumerate(closed):
+                while n[t] < len(places) and places[n[t]] <= cut:
+                    n[t] += 1
+            counts = [a + b for a, b in zip(self.settled, n, strict=True)]
+            low = max(cut - 1, 0)
+            if text.find("@", low, end) >= 0 or digit.search(text, low, end):
+                counts = [a + len(b) for a, b in zip(counts, self._ends(text[low:end]), strict=True)]
+            out.append(counts)
+        if cut:
+            self.settled = [a + b for a, b in zip(self.settled, n, strict=True)]
+            self.tail = text[cut - 1 :]
         else:
-            cut = len(upto.group(1))
-            closed = self._count(self.tail + delta[: cut + 1])
-            self.settled = [a + b for a, b in zip(self.settled, closed, strict=True)]
-            self.tail = delta[cut - 1 :]
-        return [a + b for a, b in zip(self.settled, self._count(self.tail), strict=True)]
+            self.tail = text
+        return out
 
 
 def verify_stream(
@@ -104,12 +129,21 @@ def verify_stream(
     idle_timeout_ms: int | None = None,
     report_late: bool = False,
     is_last: str | None = None,
+    reorder: int = 0,
+    first_seq: int = 0,
 ) -> DataFrame:
     """Session key, ``seq``, ``action``, ``reason``, ``matched_rules`` for each batch.
 
     Exactly one verdict per row. Rows of a micro-batch are taken by ``seq``;
     between micro-batches arrival order counts, and ``report_late`` adds a column
-    ``late`` for rows whose ``seq`` was already passed. The state of a session is its
+    ``late`` for rows whose ``seq`` was already passed.
+
+    ``reorder``: so many rows of a session may wait in its state for those before them, if
+    its rows are numbered without gaps from ``first_seq``. When more wait, the first of
+    them is judged although rows before it are missing; they count as late. When the
+    session is silent for ``idle_timeout_ms`` all that wait are judged in order; without
+    that they wait for the missing ones.
+ The state of a session is its
     match counts and the text behind its last cut. A row whose ``is_last`` column is true
     gets its verdict and ends the session: its state goes, and later rows begin a new one.
     """
@@ -130,33 +164,52 @@ def verify_stream(
     )
     names = list(patterns.PII_PATTERNS)
 
-    def step(key_values: tuple, batches: Iterator[pd.DataFrame], state: tuple | None):
-        fresh = ("", False, None, *[0] * len(names))
-        tail, has_text, last, *settled = state or fresh
-        scanner, ended = _Scanner(tail, settled), False
-        out = []
-        for row_seq, delta, has_ids, ends in _values(batches):
-            if ended:
-                tail, has_text, last, *settled = fresh
-                scanner = _Scanner(tail, settled)
-            ended = ends
-            has_text = has_text or delta != ""
-            counts = scanner.add(delta)
-            late = last is not None and row_seq <= last
-            last = row_seq if last is None else max(last, row_seq)
-            matched = [t for t, n in zip(names, counts, strict=True) for _ in range(n)]
-            if matched:
-                verdict = (BLOCK, REASON_PII, matched)
-            elif has_ids and not has_text:
-                verdict = (FLAG, REASON_NO_TEXT, [NO_TEXT_RULE])
-            else:
-                verdict = (PASS, REASON_OK, [])
-            out.append((*key_values, row_seq, *verdict) + ((late,) if report_late else ()))
-        state = None if ended else (scanner.tail, has_text, last, *scanner.settled)
-        return state, pd.DataFrame(out, columns=columns)
+    fresh = ("", False, None, *[0] * len(names))
+
+    def judged(key_values: tuple, held: tuple, rows: list[tuple]) -> tuple[tuple, pd.DataFrame]:
+        """(state, verdicts) after some rows."""
+        tail, has_text, last, *settled = held
+        out: dict[str, list] = {c: [] for c in columns}
+        while rows:
+            # up to the end of the session
+            n = next((i + 1 for i, r in enumerate(rows) if r[3]), len(rows))
+            some, rows = rows[:n], rows[n:]
+            scanner = _Scanner(tail, settled)
+            for (row_seq, delta, has_ids, _), counts in zip(some, scanner.add([r[1] for r in some]), strict=True):
+                has_text = has_text or delta != ""
+                matched = [t for t, k in zip(names, counts, strict=True) for _ in range(k)]
+                if matched:
+                    verdict = (BLOCK, REASON_PII, matched)
+                elif has_ids and not has_text:
+                    verdict = (FLAG, REASON_NO_TEXT, [NO_TEXT_RULE])
+                else:
+                    verdict = (PASS, REASON_OK, [])
+                late = (last is not None and row_seq <= last,) if report_late else ()
+                last = row_seq if last is None else max(last, row_seq)
+                for c, v in zip(columns, (*key_values, row_seq, *verdict, *late), strict=True):
+                    out[c].append(v)
+            tail, has_text, last, *settled = fresh if some[-1][3] else (scanner.tail, has_text, last, *scanner.settled)
+        return (tail, has_text, last, *settled), pd.DataFrame(out, columns=columns)
 
-    def _values(batches: Iterator[pd.DataFrame]):
+    def step(key_values: tuple, batches: Iterator[pd.DataFrame], state: tuple | None):
+        held, waiting = (tuple(state[: len(fresh)]), state[len(fresh) :]) if state else (fresh, ())
         ordered = rows_in_order(batches, seq)
-        return zip(*[ordered[c].tolist() for c in (seq, "_delta", "_ids", "_last")], strict=True)
-
-    return keyed_state(rows, keys, step, output, _STATE, idle_timeout_ms)
+        rows = list(zip(*[ordered[c].tolist() for c in (seq, "_delta", "_ids", "_last")], strict=True))
+        if reorder:
+            rows = sorted([*zip(*waiting, strict=True), *rows], key=lambda r: r[0])
+            n, last = 0, first_seq - 1 if held[2] is None else held[2]
+            # what follows on is taken; if too many wait the first of them goes on, over the gap
+            while n < len(rows) and (rows[n][0] <= last + 1 or len(rows) - n > reorder):
+                last = max(last, rows[n][0])
+                n += 1
+            rows, late = rows[:n], rows[n:]
+            waiting = [list(c) for c in zip(*late, strict=True)] if late else [[], [], [], []]
+        new, verdicts = judged(key_values, held, rows)
+        return None if new == fresh and not (waiting and waiting[0]) else (*new, *waiting), verdicts
+
+    def left(key_values: tuple, state: tuple) -> pd.DataFrame:
+        """Verdicts on what still waits when a session has been silent for too long."""
+        return judged(key_values, tuple(state[: len(fresh)]), list(zip(*state[len(fresh) :], strict=True)))[1]
+
+    state = _STATE + (f", _w_seq array<{types[seq]}>, _w_delta array<string>, _w_ids array<boolean>, _w_last array<boolean>" if reorder else "")
+    return keyed_state(rows, keys, step, output, state, idle_timeout_ms, left if reorder else None)

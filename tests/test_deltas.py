@@ -19,6 +19,7 @@ from factsieve import (
 from factsieve.functions import patterns
 from factsieve.functions.verdicts import NO_TEXT_RULE, REASON_NO_TEXT, REASON_OK, REASON_PII
 from factsieve.sources.schemas import TOKEN_BATCHES, TOKENS
+from factsieve.streaming.verdicts import _Scanner
 
 GOLDEN = [
     ("a", 0, [1, 2], "", "FLAG", ["missing_text_delta"]),
@@ -222,3 +223,83 @@ def test_silent_sessions_are_dropped(spark, tmp_path):
         query.stop()
     got = {r.seq: r.action for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: "BLOCK", 1: "PASS"}
+
+
+def test_scanner_in_bulk_equals_a_scan_of_each_beginning():
+    rng = random.Random(11)
+    parts = ["4111 1111 ", "1111 1111", "4111111111111111", "123-45-", "6789", "user@exam", "ple.com", "@", "x.co", " ", ".",
+             "é", "a", "\n", "555.123.", "4567", "+1 (555) ", "123", "!", "b@c.de", "1"]
+    for _ in range(300):
+        deltas = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 12))]
+        scanner, got = _Scanner("", [0] * 4), []
+        at = 0
+        while at < len(deltas):  # some deltas at a time
+            n = rng.randint(1, 5)
+            got += scanner.add(deltas[at : at + n])
+            at += n
+        want = [[len(e) for e in _Scanner._ends("".join(deltas[: i + 1]))] for i in range(len(deltas))]
+        assert got == want, deltas
+
+
+def test_rows_out_of_order_between_batches(spark, tmp_path):
+    rng = random.Random(21)
+    rows = sessions(6, 30) + [(s, q, i, d, "t") for s, q, i, d, *_ in GOLDEN]
+    by_place = sorted(rows, key=lambda r: r[1] + rng.uniform(0, 6))
+    batches = [by_place[i : i + 40] for i in range(0, len(by_place), 40)]
+    out = run_stream(spark, tmp_path, batches, TOKEN_BATCHES, lambda s: verify_stream(s, reorder=50))
+    assert verdicts(out) == expected(rows)
+
+
+def test_a_gap_is_passed_when_too_many_rows_wait(spark, tmp_path):
+    batches = [
+        [("a", 1, [], "x@y", "t"), ("a", 2, [], ".com", "t")],
+        [("a", 3, [], " ", "t")],
+        [("a", 0, [], "late", "t")],
+    ]
+    out = run_stream(spark, tmp_path, batches, TOKEN_BATCHES, lambda s: verify_stream(s, reorder=2, report_late=True))
+    got = {r.seq: (r.action, r.late) for r in out.collect()}
+    # 1 goes when three wait, 2 and 3 follow on it; 0 comes too late
+    assert got == {1: ("PASS", False), 2: ("BLOCK", False), 3: ("BLOCK", False), 0: ("BLOCK", True)}
+
+
+def test_micro_batches_stay_below_the_bytes(spark, tmp_path):
+    source = tmp_path / "in"
+    rng = random.Random(3)
+    sizes = [40_000, *[400] * 12]
+    for i, n in enumerate(sizes):
+        text = "".join(chr(rng.randint(97, 122)) for _ in range(n))
+        one = spark.createDataFrame([(f"s{i}", 0, [], text, "t")], TOKEN_BATCHES).coalesce(1)
+        one.write.mode("append").parquet(str(source))
+    files = {p.stat().st_size for p in source.iterdir() if p.name.endswith(".parquet")}
+    most = 4 * min(files)
+    stream = read_token_batches(spark, str(source), max_bytes_per_trigger=most)
+    seen = []
+
+    def see(batch, _):
+        seen.append({r["f"] for r in batch.selectExpr("input_file_name() AS f").collect()})
+
+    query = stream.writeStream.foreachBatch(see).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = [[os.path.getsize(f.removeprefix("file://")) for f in s] for s in seen if s]
+    assert sum(map(len, found)) == len(sizes)
+    assert len(found) > 3
+    assert all(sum(b) <= most or len(b) == 1 for b in found)
+
+
+def test_waiting_rows_are_judged_when_a_session_falls_silent(spark, tmp_path):
+    source = str(tmp_path / "in")
+    rows = [("a", 2, [], "b.com", "t"), ("a", 1, [], "mail x@", "t")]
+    spark.createDataFrame(rows, TOKEN_BATCHES).coalesce(1).write.parquet(source)
+    query = write_verdict_stream(
+        verify_stream(read_token_batches(spark, source), idle_timeout_ms=500, reorder=5),
+        str(tmp_path / "out"), str(tmp_path / "state"), processing_time="200 milliseconds",
+    )
+    try:
+        for _ in range(200):
+            if os.path.isdir(tmp_path / "out") and spark.read.schema("seq bigint, action string").parquet(str(tmp_path / "out")).count() == 2:
+                break
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    got = {r.seq: r.action for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: "PASS", 2: "BLOCK"}
