@@ -8,17 +8,21 @@ how the others follow each other.
 1. One pass counts tokens in a fixed number of cells to learn which are common. Only
    cells well above their task's mean are passed on. Any weights give a right result.
 2. Equal sets form one class, found by a 128-bit sum over the set.
-3. Prefix tokens of the classes are range-partitioned and sorted, and each range is streamed
-   once: a token that only one class has goes no further, all others form a list whose first
-   member is its *hub*. Ranges are cut by class too, so a token of very many classes is spread;
+3. Prefix tokens of the classes are range-partitioned and sorted by token and place in the
+   prefix, and each range is streamed once: a token that only one class has goes no further,
+   all others form a list whose first member, with the fewest tokens before this one, is
+   its *hub*. Ranges are cut by place and class too, so a token of very many classes is spread;
    the lists at the ends of the ranges are put together afterwards.
-4. Each class is paired with the hub it meets in most lists. A pair goes on if the sizes
-   and the number of shared tokens allow a link and the prefixes under the second and third order share a token as well;
-   only then the texts are joined to it and the sets compared exactly.
-5. Links found give components. Lists that hold several are given further hubs once. Those
-   that still hold several are joined with themselves, every pair across components (never
-   within one). Counting the lists in which a
-   pair meets gives the tokens that the two prefixes share, and a link needs many.
+4. Each class is paired with the hub it meets in most lists. A pair goes on if the prefixes
+   share as many tokens as a link needs under the first order and one under the second and
+   third as well; only then the texts are joined to it and the sets compared exactly.
+5. Links found give components. A pair is looked for in the list of the first token it
+   shares; all it can share stands from there on in both sets, so a member with many tokens before
+   that one finds no partner there, and leaves the list. The first member is the
+   likeliest partner of all: whoever cannot link with it for its place cannot with any other.
+   Lists that still hold several components are given further hubs once, and those that
+   hold several after that are joined with themselves: pairs across components (never
+   within one) that fit in size and in place on both sides.
    After that no link between different components can be left.
 
 So a group of thousands of copies that resemble each other costs about a pair per member,
@@ -118,54 +122,55 @@ def _profiles(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: in
 
 
 def _lists(tokens: DataFrame, scratch: Scratch) -> DataFrame:
-    """``token, id, hub`` of every token that several ids have; the hub is one of them."""
+    """``token, place, id, n, hub`` of every token that several ids have; the hub is the first of them by place."""
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["token", "place", "id", "n", "hub"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(token, id_, hub, border):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(token), pa.array(id_), pa.array(hub), pa.array(np.full(len(token), border))],
-                ["token", "id", "hub", "border"],
-            )
+        def out(rows: list[np.ndarray], hub, border):
+            columns = [pa.array(c) for c in (*rows, hub, np.full(len(hub), border))]
+            return pa.RecordBatch.from_arrays(columns, [*names, "border"])
 
-        held = None  # the last row so far: token, id, hub of its list, whether it has company
+        held = None  # the last row so far, the hub of its list, whether it has company
         first = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, id_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rows = [batch.column(c).to_numpy() for c in names[:4]]
             if first is None:
-                first = token[0]
+                first = rows[0][0]
             if held is not None:
-                token, id_ = np.append(held[0], token), np.append(held[1], id_)
+                rows = [np.append(h, c) for h, c in zip(held[0], rows, strict=True)]
+            token, id_ = rows[0], rows[2]
             new = np.ones(len(token), bool)
             new[1:] = token[1:] != token[:-1]
             begin = np.flatnonzero(new)
             size = np.diff(np.append(begin, len(token)))
             hub, company = np.repeat(id_[begin], size), np.repeat(size > 1, size)
             if held is not None:
-                hub[: size[0]] = held[2]
-                company[: size[0]] |= held[3]
-            held = (token[-1], id_[-1], hub[-1], company[-1])
+                hub[: size[0]] = held[1]
+                company[: size[0]] |= held[2]
+            held = ([c[-1] for c in rows], hub[-1], company[-1])
             edge = token == first
             keep = company & ~edge
             keep[-1] = edge[-1] = False
-            yield out(token[keep], id_[keep], hub[keep], False)
-            yield out(token[edge], id_[edge], hub[edge], True)
+            yield out([c[keep] for c in rows], hub[keep], False)
+            yield out([c[edge] for c in rows], hub[edge], True)
         if held is not None:
-            yield out(*[np.array([x]) for x in held[:3]], True)
+            yield out([np.array([x]) for x in held[0]], np.array([held[1]]), True)
 
-    ranged = tokens.repartitionByRange(parts, "token", "id").sortWithinPartitions("token", "id")
-    found = scratch.table(ranged.mapInArrow(run, "token long, id long, hub long, border boolean"), "lists")
+    ranged = tokens.select(*names[:4]).repartitionByRange(parts, "token", "place", "id")
+    ranged = ranged.sortWithinPartitions("token", "place", "id")
+    found = scratch.table(ranged.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", border boolean"), "lists")
     # The first list of a range and its last row may belong to a list of its neighbours:
     # whoever shares a token with them, there or here, gets one hub for all.
-    edges = found.where("border").select("token", "id", "hub")
+    edges = found.where("border").select(*names)
     known = found.where("not border").join(edges.select("token").distinct(), "token", "left_semi")
-    hubs = edges.union(known.select("token", "id", "hub")).groupBy("token").agg(
-        F.min("id").alias("least"), F.max("id").alias("most")
+    hubs = edges.union(known.select(*names)).groupBy("token").agg(
+        F.min(F.struct("place", "id"))["id"].alias("start"), F.min("id").alias("least"), F.max("id").alias("most")
     )
-    late = edges.join(hubs.where("least <> most"), "token").select("token", "id", F.col("least").alias("hub"))
-    return scratch.table(found.where("not border").select("token", "id", "hub").union(late), "met")
+    late = edges.drop("hub").join(hubs.where("least <> most"), "token").select(*names[:4], F.col("start").alias("hub"))
+    return scratch.table(found.where("not border").select(*names).union(late), "met")
 
 
 class _Candidates:
@@ -187,32 +192,38 @@ class _Candidates:
         return kept
 
     def _filter(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """Pairs whose prefixes under the other orders share a token."""
+        """Pairs whose prefixes share enough tokens under the first order and one under each other.
+
+        Of two prefixes one ends first; common tokens that are not in both prefixes stand
+        behind it, so there are no more of them than that set has tokens behind its prefix.
+        """
         n, num, den, weights = self.n, self.num, self.den, self.weights
 
-        def other_orders(batches):
+        def prefixes(batches):
             common = weights.value
             for batch in some_rows(batches, 1):
                 sets = _sets(batch.column(1), n)
-                cut = [
-                    [
-                        (mix(in_order(s, common, k, prefix_length(len(s), num, den))) >> np.uint64(48))
-                        .astype(np.uint16)
-                        .view(np.int16)
-                        for s in sets
-                    ]
-                    for k in (1, 2)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)] + [pa.array(c, pa.list_(pa.int16())) for c in cut], ["id", "p2", "p3"]
-                )
-
-        # 16 bits of each token: tokens that only look alike let a pair pass, never stop one
-        info = texts.mapInArrow(other_orders, "id long, p2 array<short>, p3 array<short>")
+                size = [len(s) for s in sets]
+                cut = [[in_order(s, common, k, prefix_length(len(s), num, den)) for s in sets] for k in range(3)]
+                # 16 bits of a token tell enough where one is to be shared: tokens that only look alike let a pair pass
+                short = [[(mix(s) >> np.uint64(48)).astype(np.uint16).view(np.int16) for s in c] for c in cut[1:]]
+                columns = [
+                    batch.column(0), pa.array(size, pa.int64()),
+                    pa.array([s.view(np.int64) for s in cut[0]], pa.list_(pa.int64())),
+                    *[pa.array(c, pa.list_(pa.int16())) for c in short],
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "p1", "p2", "p3"])
+
+        info = texts.mapInArrow(prefixes, "id long, n long, p1 array<long>, p2 array<short>, p3 array<short>")
         info = self.scratch.table(info, "prefixes")
-        one = pairs.join(info.select(F.col("id").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3")), "a")
-        two = one.join(info.select(F.col("id").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3")), "b")
-        kept = two.where("arrays_overlap(a2, b2) and arrays_overlap(a3, b3)").select("a", "b")
+        both = pairs
+        for side in ("a", "b"):
+            renamed = [F.col(c).alias(f"{side}_{c}") for c in ("n", "p1", "p2", "p3")]
+            both = both.join(info.select(F.col("id").alias(side), *renamed), side)
+        fit = f"a_n * {num} <= b_n * {den} and b_n * {num} <= a_n * {den}"
+        shared = F.size(F.array_intersect("a_p1", "b_p1")) + F.ceil(F.greatest("a_n", "b_n") * num / den) - 1
+        kept = both.where(fit).where("arrays_overlap(a_p2, b_p2) and arrays_overlap(a_p3, b_p3)")
+        kept = kept.where(shared * (num + den) >= num * (F.col("a_n") + F.col("b_n"))).select("a", "b")
         kept = self.scratch.table(kept.distinct(), "filtered")
         self.scratch.drop(info)
         return kept
@@ -226,15 +237,14 @@ class _Candidates:
 
         def verify(batches):
             for batch in some_rows(batches, 2):
-                hubs, where = np.unique(batch.column("b").to_numpy(), return_inverse=True)
-                first = np.zeros(len(hubs), np.int64)
-                first[where[::-1]] = np.arange(len(where))[::-1]
-                right = _sets(batch.column("b_text").take(pa.array(first)), n)
+                # each different text of the second side is cut into words once
+                texts_b = batch.column("b_text").dictionary_encode()
+                right = _sets(texts_b.dictionary, n)
                 left = _sets(batch.column("a_text"), n)
                 good = []
-                for x, y in zip(left, (right[i] for i in where), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(den * both >= num * (len(x) + len(y) - both) and both > 0)
+                for x, i in zip(left, texts_b.indices.to_pylist(), strict=True):
+                    both = len(np.intersect1d(x, right[i], assume_unique=True))
+                    good.append(den * both >= num * (len(x) + len(right[i]) - both) and both > 0)
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
         left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a")
@@ -276,74 +286,71 @@ def jaccard_components(
     carried = real.where("prefix is not null").join(
         classes.select(F.col("carrier").alias("id"), F.col("f1").alias("g1"), F.col("f2").alias("g2")), "id"
     ).where("f1 = g1 and f2 = g2")
-    lists = _lists(carried.select(F.explode("prefix").alias("token"), "id"), scratch)
+    prefix = carried.select("id", "n", F.posexplode("prefix").alias("place", "token"))
+    lists = _lists(prefix.withColumn("place", F.col("place").cast("long")), scratch)
     slim = scratch.table(rows.drop("prefix"), "rows")
-    carriers = rows.where("prefix is not null").groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    sizes = scratch.table(carriers, "sizes")
     scratch.drop(rows)
 
     met = lists.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("times"))
     best = met.groupBy("id").agg(F.max(F.struct("times", "hub")).alias("best"))
-    best = best.select(F.col("id").alias("a"), F.col("best.hub").alias("b"), F.col("best.times").alias("shared"))
-
-    def enough(pairs: DataFrame) -> DataFrame:
-        """Pairs that share enough prefix tokens.
-
-        Of two prefixes one ends first; common tokens that are not in both prefixes stand
-        behind it, so there are no more of them than that set has tokens behind its prefix.
-        """
-        for side in ("a", "b"):
-            pairs = pairs.join(sizes.toDF(side, f"{side}_least", f"{side}_most"), side)
-        behind = f"ceil(greatest(a_most, b_most) * {num} / {den}) - 1"
-        fit = f"a_least * {num} <= b_most * {den} and b_least * {num} <= a_most * {den}"
-        return pairs.where(f"(shared + {behind}) * {num + den} >= {num} * (a_least + b_least) and {fit}").select("a", "b")
-
-    # a member may share more with its hub than lists show; such a pair comes up again below
-    pairs = scratch.table(enough(best), "hubs")
+    pairs = scratch.table(best.select(F.col("id").alias("a"), F.col("best.hub").alias("b")), "hubs")
     candidates = _Candidates(docs, id_col, text_col, n, num, den, weights, scratch)
     links = candidates.links(pairs)
     roots = components(links, scratch)
 
-    # Once more with other hubs, for members that have too little in common with the first:
-    # a few per list by different hashes, where several components are left.
+    # Two sets whose first common token is this one share at most what each has from it on, so
+    # a partner has at most ``reach`` tokens.
+    reach = F.floor((num + den) * (F.col("n") - F.col("place")) / num) - F.col("n")
+    placed = lists.select("token", "id", "n", reach.alias("reach"))
+
     def open_lists(roots: DataFrame) -> DataFrame:
-        named = lists.select("token", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-        named = scratch.table(named.select("token", "id", F.coalesce("root", "id").alias("root")), "named")
-        several = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-        still = scratch.table(named.join(several.select("token"), "token", "left_semi"), "open")
-        scratch.drop(named)
+        """Lists of several components, without members whom no other one can reach."""
+        named = placed.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+        named = scratch.table(named.withColumn("root", F.coalesce("root", "id")), "named")
+        bounds = named.groupBy("token").agg(
+            F.min("n").alias("least"), F.max("reach").alias("far"), F.min("root").alias("x"), F.max("root").alias("y")
+        )
+        alive = named.join(bounds.where("x <> y").drop("x", "y"), "token").where("least <= reach and n <= far")
+        alive = scratch.table(alive.drop("least", "far"), "alive")
+        several = alive.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        still = scratch.table(alive.join(several.select("token"), "token", "left_semi"), "open")
+        scratch.drop(named, alive)
         return still
 
+    def untried(new: DataFrame, tried: DataFrame) -> DataFrame:
+        one_way = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return new.select(*one_way).distinct().join(tried.select(*one_way).distinct(), ["a", "b"], "left_anti")
+
+    fits = "root <> root_2 and n <= reach_2 and n_2 <= reach"
+    # Once more with other hubs, for members that have too little in common with the first:
+    # a few per list by different hashes, where several components are left.
     left = open_lists(roots)
-    member = F.struct("id", "root")
+    member = F.struct("id", "root", "n", "reach")
     others = left.groupBy("token").agg(
         *[F.min_by(member, F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in range(MORE_HUBS)]
     )
-    hubs = F.array_distinct(F.array(*[F.col(f"h{k}") for k in range(MORE_HUBS)]))
-    again = (
-        left.join(others, "token")
-        .select("id", "root", F.explode(F.filter(hubs, lambda h: h["root"] != F.col("root"))).alias("h"))
-        .groupBy(F.col("id").alias("a"), F.col("h.id").alias("b"))
-        .agg(F.count("*").alias("shared"))
-    )
-    again = scratch.table(enough(again), "hubs")
+    hubs = F.explode(F.array_distinct(F.array(*[F.col(f"h{k}") for k in range(MORE_HUBS)]))).alias("h")
+    others = others.select("token", hubs).select("token", *[F.col(f"h.{c}").alias(f"{c}_2") for c in ("id", "root", "n", "reach")])
+    again = left.join(others, "token").where(fits).select(F.col("id").alias("a"), F.col("id_2").alias("b"))
+    again = scratch.table(untried(again, pairs), "hubs")
     links = links.union(candidates.links(again))
     roots = components(links, scratch)
     scratch.drop(left)
     pairs = pairs.union(again)
 
-    left = scratch.table(open_lists(roots).join(sizes, "id"), "sized")
+    left = open_lists(roots)
     scratch.drop(lists)
-    other = left.select("token", *[F.col(c).alias(f"{c}_2") for c in ("id", "root", "least", "most")])
-    across = (
-        left.join(other, "token")
-        .where(f"root < root_2 and least * {num} <= most_2 * {den} and least_2 * {num} <= most * {den}")
-        .groupBy(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
-        .agg(F.count("*").alias("shared"))
-    )
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = candidates.links(enough(across).join(tried, ["a", "b"], "left_anti"))
+    other = left.select("token", *[F.col(c).alias(f"{c}_2") for c in ("id", "root", "n", "reach")])
+    across = left.join(other, "token").where(f"{fits} and root < root_2").select(F.col("id").alias("a"), F.col("id_2").alias("b"))
+    more = candidates.links(untried(across, pairs))
     joined = links.union(more).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    # An id with several texts is one document: its classes belong together.
+    real = slim.where("n > 0 and id is not null")
+    texts_of = real.groupBy("id").agg(F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y"))
+    several = real.join(texts_of.where("x <> y").select("id"), "id", "left_semi").select("id", "f1", "f2").distinct()
+    joined = joined.select("a", "b").union(
+        several.join(classes, ["f1", "f2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    )
     # Members of a class hang on the id that carried its prefix.
     of_class = classes.select("rep", "carrier").where("rep <> carrier").select(
         F.col("rep").alias("a"), F.col("carrier").alias("b")

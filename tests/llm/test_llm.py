@@ -106,6 +106,34 @@ def test_jaccard_components(spark, rows):
     assert ngram_join.jaccard_components(docs_frame(spark, [])).count() == 0
 
 
+def test_jaccard_of_an_id_with_several_texts(spark):
+    rng = random.Random(31)
+    one, two, three = (words(rng, 60, 10**6) for _ in range(3))
+    rows = [(1, one, "a"), (5, two, "a"), (5, one, "a"), (7, two, "a"), (9, three, "a"), (7, three, "a"), (20, words(rng, 60), "a")]
+    rows += [(100 + i, words(rng, 40, 10**6), "b") for i in range(30)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs_frame(spark, rows)).collect()}
+    assert {i: got[i] for i in (1, 5, 7, 9, 20)} == {1: 1, 5: 1, 7: 1, 9: 1, 20: 20}
+    assert all(got[100 + i] == 100 + i for i in range(30))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_of_a_group_of_near_copies(spark, seed):
+    """Members with few and with many changes; links and no links on either side of the threshold."""
+    rng = random.Random(seed)
+    base = words(rng, 100, 10**6).split()
+    rows = []
+    for i in range(150):
+        near = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 6])):
+            near[rng.randrange(len(near))] = f"x{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(near[rng.randint(0, 2) :]), "a"))
+    sets = {i: shingles(t) for i, t, _ in rows}
+    links = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = components_of(list(sets), links)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs_frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_packing(spark, rows):
     encode = encoder(tokenizer_path()).tokenizer.encode
     got = packing.pack(docs_frame(spark, rows).repartition(3), with_ids=True).collect()
