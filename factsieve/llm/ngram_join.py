@@ -289,11 +289,20 @@ def jaccard_components(
     prefix = carried.select("id", "n", F.posexplode("prefix").alias("place", "token"))
     lists = _lists(prefix.withColumn("place", F.col("place").cast("long")), scratch)
     slim = scratch.table(rows.drop("prefix"), "rows")
+    sizes = rows.where("prefix is not null").groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    sizes = scratch.table(sizes, "sizes")
     scratch.drop(rows)
 
     met = lists.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("times"))
     best = met.groupBy("id").agg(F.max(F.struct("times", "hub")).alias("best"))
-    pairs = scratch.table(best.select(F.col("id").alias("a"), F.col("best.hub").alias("b")), "hubs")
+    best = best.select(F.col("id").alias("a"), F.col("best.hub").alias("b"), F.col("best.times").alias("shared"))
+    for side in ("a", "b"):
+        best = best.join(sizes.toDF(side, f"{side}_least", f"{side}_most"), side)
+    # what a member shares with its hub in other lists is not counted; such a pair comes up again below
+    behind = f"ceil(greatest(a_most, b_most) * {num} / {den}) - 1"
+    fit = f"a_least * {num} <= b_most * {den} and b_least * {num} <= a_most * {den}"
+    enough = f"(shared + {behind}) * {num + den} >= {num} * (a_least + b_least) and {fit}"
+    pairs = scratch.table(best.where(enough).select("a", "b"), "hubs")
     candidates = _Candidates(docs, id_col, text_col, n, num, den, weights, scratch)
     links = candidates.links(pairs)
     roots = components(links, scratch)
