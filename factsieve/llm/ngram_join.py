@@ -205,27 +205,35 @@ class _Candidates:
                 sets = _sets(batch.column(1), n)
                 size = [len(s) for s in sets]
                 cut = [[in_order(s, common, k, prefix_length(len(s), num, den)) for s in sets] for k in range(3)]
-                # 16 bits of a token tell enough where one is to be shared: tokens that only look alike let a pair pass
+                # 32 bits of a token are enough to count, with those that look alike added to what is shared;
+                # 16 bits are where one is to be shared: tokens that only look alike let a pair pass
+                counted = [np.unique((mix(s) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for s in cut[0]]
+                alike = [len(s) - len(c) for s, c in zip(cut[0], counted, strict=True)]
                 short = [[(mix(s) >> np.uint64(48)).astype(np.uint16).view(np.int16) for s in c] for c in cut[1:]]
                 columns = [
-                    batch.column(0), pa.array(size, pa.int64()),
-                    pa.array([s.view(np.int64) for s in cut[0]], pa.list_(pa.int64())),
-                    *[pa.array(c, pa.list_(pa.int16())) for c in short],
+                    batch.column(0), pa.array(size, pa.int64()), pa.array(alike, pa.int64()),
+                    pa.array(counted, pa.list_(pa.int32())), *[pa.array(c, pa.list_(pa.int16())) for c in short],
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "p1", "p2", "p3"])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "alike", "p1", "p2", "p3"])
 
-        info = texts.mapInArrow(prefixes, "id long, n long, p1 array<long>, p2 array<short>, p3 array<short>")
+        info = texts.mapInArrow(prefixes, "id long, n long, alike long, p1 array<int>, p2 array<short>, p3 array<short>")
         info = self.scratch.table(info, "prefixes")
-        both = pairs
-        for side in ("a", "b"):
-            renamed = [F.col(c).alias(f"{side}_{c}") for c in ("n", "p1", "p2", "p3")]
-            both = both.join(info.select(F.col("id").alias(side), *renamed), side)
+
+        def with_both(pairs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+            for side in ("a", "b"):
+                pairs = pairs.join(info.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in names]), side)
+            return pairs
+
         fit = f"a_n * {num} <= b_n * {den} and b_n * {num} <= a_n * {den}"
-        shared = F.size(F.array_intersect("a_p1", "b_p1")) + F.ceil(F.greatest("a_n", "b_n") * num / den) - 1
-        kept = both.where(fit).where("arrays_overlap(a_p2, b_p2) and arrays_overlap(a_p3, b_p3)")
-        kept = kept.where(shared * (num + den) >= num * (F.col("a_n") + F.col("b_n"))).select("a", "b")
-        kept = self.scratch.table(kept.distinct(), "filtered")
-        self.scratch.drop(info)
+        shared = F.size(F.array_intersect("a_p1", "b_p1")) + F.col("a_alike") + F.col("b_alike")
+        most = shared + F.ceil(F.greatest("a_n", "b_n") * num / den) - 1
+        some = with_both(pairs, ("n", "alike", "p1")).where(fit)
+        some = some.where(most * (num + den) >= num * (F.col("a_n") + F.col("b_n"))).select("a", "b").distinct()
+        # what few pairs are left is held against the other orders
+        some = self.scratch.table(some, "counted")
+        kept = with_both(some, ("p2", "p3")).where("arrays_overlap(a_p2, b_p2) and arrays_overlap(a_p3, b_p3)")
+        kept = self.scratch.table(kept.select("a", "b").distinct(), "filtered")
+        self.scratch.drop(info, some)
         return kept
 
     def links(self, pairs: DataFrame) -> DataFrame:
