@@ -33,9 +33,10 @@ SYMBOLS = 257
 # Runs whose code lengths are broadcast, and words whose counts are, at most.
 MAX_NODES = 1 << 20
 MAX_WORDS = 1 << 17
-# Counts collected in a task before they are combined, and bytes scored at once.
+# Counts collected in a task before they are combined, bytes of rows taken at once, and of a text coded at once.
 _HELD = 1 << 20
-_PIECE = 1 << 20
+_ROWS = 1 << 19
+_PIECE = 1 << 19
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,6 +77,45 @@ def contexts(stream: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
+def _coded(stream: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
+    return (contexts(stream, at, order) << 9) | stream
+
+
+def _long_codes(data: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """As :func:`codes` for one long text, cut at blanks; each piece goes on from the symbols before it."""
+    low, before = 0, np.empty(0, np.int64)
+    while low < len(data):
+        high = min(low + _PIECE, len(data))
+        while high < len(data) and _WORD[data[high]]:
+            blank = np.flatnonzero(~_WORD[data[high : high + 4096]])
+            high += int(blank[0]) if len(blank) else 4096
+        high = min(high, len(data))
+        stream = symbols(pa.array([data[low:high].tobytes()], pa.binary()))[0][:-1]
+        if len(stream) and len(before):
+            stream = np.append(32, stream)
+        whole = np.append(before, stream)
+        yield _coded(whole, np.array([0, len(whole)]), order)[len(before) :]
+        low, before = high, whole[max(len(whole) - order, 0) :] if order else whole[-1:]
+    whole = np.append(before, END)
+    yield _coded(whole, np.array([0, len(whole)]), order)[len(before) :]
+
+
+def codes(column: pa.Array, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text of each symbol, context and symbol) of all texts, a piece at a time; no text's order is lost."""
+    data, borders = buffer_of(column)
+    sizes = np.diff(borders)
+    stops = [*np.flatnonzero(sizes > _PIECE).tolist(), len(sizes)]
+    at = 0
+    for stop in stops:
+        if at < stop:
+            stream, starts = symbols(column.slice(at, stop - at))
+            yield np.repeat(np.arange(at, stop), np.diff(starts)), _coded(stream, starts, order)
+        if stop < len(sizes):
+            for code in _long_codes(data[borders[stop] : borders[stop + 1]], order):
+                yield np.full(len(code), stop), code
+        at = stop + 1
+
+
 class Table:
     """Places of 64-bit keys, by open addressing."""
 
@@ -208,12 +248,12 @@ def count_corpus(docs: DataFrame, text_col: str, scratch: Scratch, order: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, grams, texts = _Counter(), _Counter(), 0
-        for batch in some_rows(batches, 0):
+        for batch in some_rows(batches, 0, _ROWS):
             texts += batch.num_rows
             column = batch.column(0)
             words.add(word_hashes(column)[0].view(np.int64))
-            stream, at = symbols(column)
-            grams.add((contexts(stream, at, order) << 9) | stream)
+            for _, code in codes(column, order):
+                grams.add(code)
         yield pa.RecordBatch.from_arrays(
             [pa.array([2], pa.int8()), pa.array([0], pa.int64()), pa.array([texts], pa.int64())], ["kind", "key", "n"]
         )
@@ -339,32 +379,31 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cached, cached_logs, common, known_logs = shared.value
-        for batch in some_rows(batches, 1):
-            column = batch.column(1)
+        for batch in some_rows(batches, 1, _ROWS):
+            column, rows = batch.column(1), batch.num_rows
             hashes, at = word_hashes(column)
             place = common.find(hashes.view(np.int64))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            row = np.repeat(np.arange(rows), np.diff(at))
             hit = place >= 0
-            known = np.bincount(row[hit], minlength=batch.num_rows)
-            base = np.bincount(row[hit], weights=known_logs[place[hit]], minlength=batch.num_rows)
-            rare, rows = hashes[~hit].view(np.int64), row[~hit]
-            borders = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            stream, starts = symbols(column)
-            code = (contexts(stream, starts, order) << 9) | stream
-            value, far = np.zeros(len(code)), np.zeros(len(code), bool)
-            for low in range(0, len(code), _PIECE):
-                found = cached.find(code[low : low + _PIECE])
-                far[low : low + _PIECE] = found < 0
-                value[low : low + _PIECE][found >= 0] = cached_logs[found[found >= 0]]
-            of_row = np.repeat(np.arange(batch.num_rows), np.diff(starts))
-            far_keys, far_times = _tally(of_row[far], code[far], batch.num_rows)
+            known = np.bincount(row[hit], minlength=rows)
+            base = np.bincount(row[hit], weights=known_logs[place[hit]], minlength=rows)
+            rare = hashes[~hit].view(np.int64)
+            borders = np.searchsorted(row[~hit], np.arange(rows + 1))
+            value, far = np.zeros(rows), []
+            for of_row, code in codes(column, order):
+                found = cached.find(code)
+                hit = found >= 0
+                value += np.bincount(of_row[hit], weights=cached_logs[found[hit]], minlength=rows)
+                far.append((of_row[~hit], code[~hit]))
+            far_rows, far_codes = (np.concatenate(c) for c in zip(*far, strict=True)) if far else (at[:0], at[:0])
+            far_keys, far_times = _tally(far_rows, far_codes, rows)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(np.diff(at) + 1),
                     pa.array(known),
                     pa.array(base),
-                    pa.array(np.add.reduceat(value, starts[:-1]) if len(value) else value),
+                    pa.array(value),
                     pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(rare)),
                     far_keys,
                     far_times,

@@ -352,6 +352,64 @@ def test_ppm(spark, rows):
     assert ppm.score(docs_frame(spark, [])).count() == 0
 
 
+def plain_ppm(texts, training, order):
+    """Scores by dictionaries alone: longest context first, escapes, exclusion."""
+    def symbols_of(text):
+        return [*b" ".join((text or "").encode().split()).lower(), 256]
+
+    counts = {}
+    for text in training:
+        x = symbols_of(text)
+        for i, c in enumerate(x):
+            for k in range(order + 1):
+                context = tuple(x[i - j] if i >= j else 0 for j in range(1, k + 1))
+                counts.setdefault(context, {}).setdefault(c, 0)
+                counts[context][c] += 1
+    out = []
+    for text in texts:
+        x, score = symbols_of(text), 0.0
+        for i, c in enumerate(x):
+            gone = {}
+            for k in range(order, -1, -1):
+                seen = counts.get(tuple(x[i - j] if i >= j else 0 for j in range(1, k + 1)))
+                if seen is None:
+                    continue
+                left = {s: n for s, n in seen.items() if s not in gone}
+                whole = sum(left.values()) + len(left)
+                if c in left:
+                    score += np.log10(left[c] / whole)
+                    break
+                if left:
+                    score += np.log10(len(left) / whole)
+                gone = seen
+            else:
+                score -= np.log10(max(257 - len(gone), 1))
+        out.append(score)
+    return out
+
+
+def test_scores_equal_those_of_dictionaries(spark):
+    rng = random.Random(12)
+    rows = [(i, words(rng, rng.randint(0, 40), 60), "a") for i in range(60)] + [(100, None, "a"), (101, "É é  Zz\n", "b")]
+    got = {r["doc_id"]: r["score"] for r in ppm.score(docs_frame(spark, rows), order=3).collect()}
+    training = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    for (i, *_), want in zip(rows, plain_ppm([t for _, t, _ in rows], training, 3), strict=True):
+        assert got[i] == pytest.approx(want, abs=1e-8)
+
+
+def test_long_texts_are_coded_in_pieces(monkeypatch):
+    rng = random.Random(2)
+    texts = [words(rng, n, 50).replace("w1", "W\t\n1  ") for n in (0, 3, 400, 1, 0, 900, 5)] + ["x" * 300, "   ", " a" * 200 + "\n\n"]
+    column = pa.array([t.encode() for t in texts], pa.binary())
+    whole = [(r.tolist(), c.tolist()) for r, c in ppm.codes(column, 5)]
+    assert len(whole) == 1
+    monkeypatch.setattr(ppm, "_PIECE", 37)
+    pieces = list(ppm.codes(column, 5))
+    assert len(pieces) > 30
+    assert np.concatenate([r for r, _ in pieces]).tolist() == whole[0][0]
+    assert np.concatenate([c for _, c in pieces]).tolist() == whole[0][1]
+
+
 def test_trie_probabilities_sum_to_one():
     texts = pa.array([b"the cat sat on the mat", b"", b"the hat", b"a cat"], pa.binary())
     stream, at = ppm.symbols(texts)
