@@ -7,14 +7,19 @@ once more, chosen so that their words fill the rest of the budget:
 1. count the source's documents by exact length (combined before the shuffle);
 2. take the same part of every length, rounded down;
 3. fill up with single documents in a seeded order of the lengths until the rest is small;
-4. bounded-knapsack dynamic programming over the documents of each length that are left
-   finds the reachable sum nearest to the rest. Reachable sums are the bits of one integer.
+4. where documents are long, the last long ones of these (all of them, if they are few) are
+   given back and chosen anew: bounded-knapsack dynamic programming finds the reachable sum
+   nearest to the rest. Reachable sums are the bits of one integer; sums too large for it are
+   counted in their common divisor or in larger units;
+5. the same, word by word, over the documents of each length that are left brings the sum
+   to the rest, or back to it if it is exceeded.
 
 How many documents of a length are taken is thus a number; which, a seeded hash decides.
 Hash cells are counted per length, so that only the cell at the border has to be ranked:
 no length, source or group of copies is sorted in one task.
 """
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -26,8 +31,10 @@ from factsieve.llm.store import Scratch, only, text_of
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 SEED = 17
-# The programme covers rests up to this many words, and at most so many lengths.
+# The programme covers rests up to this many units.
 REACH = 1 << 16
+# Long documents that are given back: all if there are no more than so many, else the last so many.
+FEW = 64
 _CELLS = 4096
 
 
@@ -82,6 +89,15 @@ def knapsack(lengths: Sequence[int], counts: Sequence[int], goal: int) -> list[i
     return taken
 
 
+def nearest(lengths: Sequence[int], counts: Sequence[int], goal: int) -> list[int]:
+    """As :func:`knapsack` for goals of any size: exact up to ``REACH`` common divisors, else in larger units."""
+    if not lengths or goal <= 0:
+        return [0] * len(lengths)
+    divisor = math.gcd(*lengths)
+    unit = divisor * max(1, -(-goal // (divisor * REACH)))
+    return knapsack([max(1, round(n / unit)) for n in lengths], counts, max(1, round(goal / unit)))
+
+
 def fill_budget(lengths: Sequence[int], counts: Sequence[int], budget: int, order: Sequence[int]) -> list[int]:
     """How many documents of each length together have about ``budget`` words.
 
@@ -91,29 +107,41 @@ def fill_budget(lengths: Sequence[int], counts: Sequence[int], budget: int, orde
     if budget >= total:
         return list(counts)
     taken = [c * budget // total for c in counts]
-    rest = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
+
+    def rest() -> int:
+        return budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
+
     ranked = sorted(range(len(lengths)), key=lambda i: order[i])
+    open_, added = rest(), []
     for i in ranked:
         # one more of this length, while the rest stays out of the programme's reach
-        if rest - lengths[i] >= REACH // 4 and taken[i] < counts[i] and lengths[i]:
+        if open_ - lengths[i] >= REACH // 4 and taken[i] < counts[i] and lengths[i]:
             taken[i] += 1
-            rest -= lengths[i]
-    left = [c - t for c, t in zip(counts, taken, strict=True)]
-    usable = [i for i in ranked if left[i] and 0 < lengths[i] <= 2 * rest]
-    if rest <= 0 or not usable:
-        return taken
-    if rest > REACH:
-        # only long documents are left: fill up with the longest that still fit
-        for i in sorted(usable, key=lambda i: -lengths[i]):
-            more = min(left[i], rest // lengths[i])
-            taken[i] += more
-            left[i] -= more
-            rest -= more * lengths[i]
-        usable = [i for i in usable if left[i] and lengths[i] <= 2 * rest]
-        if rest <= 0 or rest > REACH or not usable:
-            return taken
-    for i, t in zip(usable, knapsack([lengths[i] for i in usable], [left[i] for i in usable], rest), strict=True):
-        taken[i] += t
+            open_ -= lengths[i]
+            added.append(i)
+
+    def change(some: Sequence[int], goal: int, sign: int) -> None:
+        """Take more of some lengths, or fewer, for about ``goal`` words."""
+        room = {i: counts[i] - taken[i] if sign > 0 else taken[i] for i in some}
+        some = [i for i in some if room[i] and 0 < lengths[i] <= 2 * goal]
+        for i, t in zip(some, nearest([lengths[i] for i in some], [room[i] for i in some], goal), strict=True):
+            taken[i] += sign * t
+
+    long = [i for i in ranked if lengths[i] > REACH // 4]
+    if long:
+        if sum(counts[i] for i in long) <= FEW:
+            for i in long:
+                taken[i] = 0
+        else:
+            for i in [i for i in added if i in set(long)][-FEW:]:
+                taken[i] -= 1
+        if rest() > 0:
+            change(long, rest(), 1)
+    for _ in range(3):
+        missing, so_far = rest(), list(taken)
+        change(ranked, abs(missing), 1 if missing > 0 else -1)
+        if abs(rest()) >= abs(missing):
+            return so_far
     return taken
 
 
@@ -217,18 +245,35 @@ def mix_plan(
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed documents, all columns: each row as often as the plan takes it."""
-    plan = mix_plan(docs, id_col, text_col, source_col, **options).where("repeats > 0")
+    plan = mix_plan(docs, id_col, text_col, source_col, **options)
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text, source = (f"c{names.index(c)}" for c in (id_col, text_col, source_col))
-    rows = inner.withColumn("m_size", word_count(text))
-    # rows of one id, source and size are alike; the plan's rows of them are counted
+    rows = inner.withColumn("m_size", word_count(text)).withColumn("m_part", F.spark_partition_id())
+    # rows of one id, source and size are alike; their copies are dealt out evenly
     counted = plan.groupBy("doc_id", "source", "size").agg(F.sum("repeats").alias("copies"), F.count("*").alias("rows"))
-    joined = rows.join(
-        counted.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "copies", "rows"),
+    counted = counted.where("copies > 0").select(
+        F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "copies", "rows"
+    )
+    same = (
         F.col(key).eqNullSafe(F.col("p_id"))
         & F.col(source).cast("string").eqNullSafe(F.col("p_source"))
-        & (F.col("m_size") == F.col("p_size")),
+        & (F.col("m_size") == F.col("p_size"))
     )
-    times = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("copies") / F.col("rows")).cast("int"))))
+    joined = rows.join(counted, same)
+    even = joined.where("copies % rows = 0").withColumn("times", F.expr("int(copies div rows)"))
+    odd = joined.where("copies % rows <> 0")
+    # The first of such rows get one copy more; they are numbered within the parts of the table as it was read.
+    alike = ["p_id", "p_source", "p_size"]
+    before = Window.partitionBy(*alike).orderBy("m_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = odd.groupBy(*alike, "m_part").agg(F.count("*").alias("here"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("here").over(before), F.lit(0))).toDF("q_id", "q_source", "q_size", "q_part", "here", "before")
+    within = F.row_number().over(Window.partitionBy(*alike, "m_part").orderBy(key))
+    at = [F.col(f"p_{c}").eqNullSafe(F.col(f"q_{c}")) for c in ("id", "source", "size")]
+    odd = odd.withColumn("nth", within).join(parts, at[0] & at[1] & at[2] & (F.col("m_part") == F.col("q_part")))
+    first = (F.col("before") + F.col("nth") <= F.expr("copies % rows")).cast("int")
+    odd = odd.withColumn("times", (F.expr("copies div rows") + first).cast("int"))
+    columns = [*inner.columns, "times"]
+    times = even.select(*columns).unionByName(odd.select(*columns)).where("times > 0")
+    times = times.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return times.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

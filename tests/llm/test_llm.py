@@ -227,6 +227,38 @@ def test_knapsack_hits_reachable_sums():
     assert mixing.targets_of([10, 100, 100], [5, 2, 1]) == [30.0, 120.0, 60.0]
 
 
+def test_budgets_beyond_the_programme():
+    assert mixing.fill_budget([100000, 150000], [1, 1], 150000, [0, 1]) == [0, 1]
+    assert mixing.fill_budget([90000, 100000, 200000], [1, 1, 1], 300000, [0, 1, 2]) == [0, 1, 1]
+    rng = random.Random(4)
+    for _ in range(60):
+        lengths = sorted({rng.choice([rng.randint(1, 50), rng.randint(1, 10**6)]) for _ in range(rng.randint(1, 7))})
+        counts = [rng.randint(1, 2) for _ in lengths]
+        budget = rng.randint(1, sum(n * c for n, c in zip(lengths, counts, strict=True)))
+        taken = mixing.fill_budget(lengths, counts, budget, list(range(len(lengths))))
+        assert all(0 <= t <= c for t, c in zip(taken, counts, strict=True))
+        reach = {0}
+        for n, c in zip(lengths, counts, strict=True):
+            reach = {s + n * k for s in reach for k in range(c + 1)}
+        got = sum(n * t for n, t in zip(lengths, taken, strict=True))
+        assert abs(got - budget) <= min(abs(s - budget) for s in reach) + budget / 200 + 100, (lengths, counts, budget)
+
+
+def test_copies_of_repeated_rows(spark):
+    """A plan that takes some of several alike rows gives just as many copies."""
+    rows = [(1, "a b c", "x")] * 7 + [(2, "a b c d e f", "x")] * 2 + [(3, "q " * 40, "y"), (3, "q r s", "y"), (None, "n n", None)]
+    docs = docs_frame(spark, rows).repartition(3)
+    want = {}
+    for r in mixing.mix_plan(docs).collect():
+        k = (r["doc_id"], r["source"], r["size"])
+        want[k] = want.get(k, 0) + r["repeats"]
+    got = {}
+    for r in mixing.mix(docs).collect():
+        k = (r["doc_id"], r["source"], len(r["text"].split()))
+        got[k] = got.get(k, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(3)
     for ids in (np.arange(0), np.zeros(700), rng.integers(0, 2**32, 1000), np.r_[rng.integers(0, 90, 600), 2**32 - 1]):
