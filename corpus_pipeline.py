@@ -24,7 +24,10 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies, once; rows without an id stay."""
+    """The document with the smallest id of each group of near copies; rows without an id stay.
+
+    Of rows that repeat that id and its text one stays; other texts of the id stay too.
+    """
     found = ngram_join.jaccard_components(docs).where("doc_id is not null")
     found = Scratch(spark, "groups").table(found.select("doc_id", "component_id"), "found")
     keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n_rows"))
@@ -32,7 +35,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     repeated = keep.where("n_rows > 1").select(F.col("doc_id").alias("k_id"))
     if not repeated.isEmpty():
         same = F.col("doc_id") == F.col("k_id")
-        once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
+        once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
         kept = kept.join(repeated, same, "left_anti").unionByName(once)
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
