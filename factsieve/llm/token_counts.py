@@ -57,7 +57,7 @@ class Counter:
 
     def __init__(self, path: str):
         self.encoder: Encoder | Pieces = encoder(path)
-        self.known = Known(KEPT_PIECES)
+        self.known = Known(KEPT_PIECES // 2)
 
     def _learn(self, words: Iterable[str]) -> None:
         pieces, known = self.known.missing(words), self.known.young
