@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 DEFAULT_PIECES = "piece_bpe_32k.model"
 # Pieces of a generation that a worker keeps (it has two), and pieces encoded in one call.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 300_000
 AT_ONCE = 500
 
 # How the two vocabularies write a blank.
