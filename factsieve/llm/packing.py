@@ -28,8 +28,9 @@ WINDOW = 2048
 # Rests are cut into pieces of at most this many tokens, and divided so many at a time.
 PIECE = 700
 BLOCK = 1024
-# Texts encoded at once, in bytes.
+# Texts encoded at once, in characters: by default, and beside the rests held here.
 BATCH_BYTES = 4 << 20
+PACK_BYTES = 1 << 20
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,"
     " sequence_id long, offset long"
@@ -94,7 +95,7 @@ def into_windows(sizes: Sequence[int], capacity: int = WINDOW) -> np.ndarray:
         windows += max(1, int((sums.max() - capacity) * windows // (4 * capacity)))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+def _groups(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of some megabytes at a time."""
     for batch in batches:
         ids, texts, size = [], [], 0
@@ -103,7 +104,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
             ids.append(i)
             texts.append(value)
             size += len(value)
-            if size >= BATCH_BYTES:
+            if size >= most:
                 yield ids, texts
                 ids, texts, size = [], [], 0
         yield ids, texts
@@ -158,7 +159,7 @@ def pack(
             sequence += int(where.max(initial=-1)) + 1
             return batch_of(rows)
 
-        for docs_, texts in _groups(batches):
+        for docs_, texts in _groups(batches, PACK_BYTES):
             rows = []
             for doc, data in zip(docs_, encode(texts), strict=True):
                 data += end
