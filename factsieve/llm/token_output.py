@@ -36,6 +36,8 @@ from factsieve.llm.tokens import encoder, tokenizer_path
 MAGIC = b"FSPF"
 BLOCK = 256
 PERCENTILE = 90
+# Pieces that a writing task keeps of its tokenizer, twice.
+KEPT = 1_000_000
 # Bytes of ids that are packed together; a multiple of any whole block.
 _AT_ONCE = 4 * BLOCK * 256
 _FOOT = struct.Struct("<QQQQ4s")
@@ -197,7 +199,7 @@ def write_tokens(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = encoder(path).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, kept=KEPT).encode, np.array([end_id], "<u4").tobytes()
         where, base = _located(folder)
         where.create_dir(base, recursive=True)
         name = f"{base}/ids-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.pfor"
