@@ -27,7 +27,7 @@ FROM marked GROUP BY doc_id
 
 _NORMAL = f"trim(regexp_replace({_LOWER.format('{}')}, '[^a-z0-9]+', ' ', 'g'))"
 _TEMPLATES = ", ".join(
-    f"('{name}', {i}, '{text}')" for name, texts in TEMPLATES.items() for i, text in enumerate(texts)
+    "('{}', {}, '{}')".format(name, i, text.replace("'", "''")) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)
 )
 
 _OP4 = f"""
@@ -56,9 +56,39 @@ WITH lines AS (
 ), scored AS (
   SELECT uid, license, nr, 2::DOUBLE * sum(least(g.n, k.n)) / (any_value(len(s.w)) - 1 + any_value(size)) AS dice
   FROM grams g JOIN known k USING (gram) JOIN split s USING (uid) GROUP BY uid, license, nr
+), rids AS (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), rlines AS (
+  SELECT rid, doc_id, unnest(l) AS body, generate_subscripts(l, 1) - 1 AS line FROM rids
+), rwords AS (
+  SELECT rid, doc_id, line, unnest(w) AS w, generate_subscripts(w, 1) AS j
+  FROM (SELECT *, list_filter(string_split({_NORMAL.format('body')}, ' '), lambda x: x <> '') AS w FROM rlines)
+), places AS (
+  SELECT rid, doc_id, line, w || ' ' || lead(w) OVER along AS gram, row_number() OVER along - 1 AS pos,
+         count(*) OVER (PARTITION BY rid) - 1 AS len
+  FROM rwords WINDOW along AS (PARTITION BY rid ORDER BY line, j)
+), hits AS (
+  SELECT rid, doc_id, line, pos, len, gram, license, nr, size, n AS most FROM places JOIN known USING (gram)
+), capped AS (
+  SELECT rid, license, nr, size, least(count(*), any_value(most)) AS n FROM hits GROUP BY rid, license, nr, size, gram
+), possible AS (
+  SELECT rid, license, nr FROM capped GROUP BY rid, license, nr, size
+  HAVING sum(n) >= {THRESHOLD} * size / (2 - {THRESHOLD}) - 1e-9
+), near AS (
+  SELECT * FROM hits SEMI JOIN possible USING (rid, license, nr)
+), begins AS (
+  SELECT rid, license, nr, least(pos, greatest(len - size, 0)) AS s, min(line) AS line FROM near GROUP BY ALL
+), inside AS (
+  SELECT rid, license, nr, b.s, b.line, doc_id, size, len, gram, least(count(*), any_value(most)) AS n
+  FROM begins b JOIN near h USING (rid, license, nr) WHERE h.pos BETWEEN b.s AND b.s + size - 1
+  GROUP BY rid, license, nr, b.s, b.line, doc_id, size, len, gram
+), windows AS (
+  SELECT doc_id, license, 2::DOUBLE * sum(n) / (least(len, size) + size) AS dice, line
+  FROM inside GROUP BY rid, doc_id, license, nr, s, line, size, len
 ), best AS (
   SELECT doc_id, license, dice, line, max(dice) OVER (PARTITION BY doc_id, license) AS top
-  FROM scored JOIN split USING (uid) WHERE dice >= {THRESHOLD}
+  FROM (SELECT doc_id, license, dice, line FROM scored JOIN split USING (uid) UNION ALL FROM windows)
+  WHERE dice >= {THRESHOLD}
 )
 SELECT doc_id, license, dice, CAST(min(line) AS INTEGER) AS line FROM best WHERE dice = top GROUP BY ALL
 """

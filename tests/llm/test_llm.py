@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 import zlib
 
 import duckdb
@@ -526,10 +527,14 @@ def test_licenses(spark):
         for _ in range(rng.randint(0, 3)):
             w[rng.randrange(len(w))] = "other"
         texts.append((i, " ".join(w), "s"))
+    def windows(text, template):
+        w, size = re.findall(r"[a-z0-9]+", text.lower()), len(license_scan.bigrams_of(template))
+        return [" ".join(w[s : s + size + 1]) for s in range(max(len(w) - size, 1))]
+
     want = set()
     for i, t, _ in texts:
         for name, templates in license_scan.TEMPLATES.items():
-            best = max(brute(t, x) for x in templates)
+            best = max(brute(u, x) for x in templates for u in [t, *windows(t, x)])
             if best >= license_scan.THRESHOLD:
                 want.add((i, name, round(best, 9)))
     found = license_scan.scan_licenses(docs_frame(spark, texts)).collect()
@@ -537,6 +542,57 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(docs_frame(spark, [])).count() == 0
 
 
+def wrapped(text, width=60, first="  "):
+    lines, line = [], first
+    for w in text.split():
+        if len(line) + len(w) > width:
+            lines.append(line)
+            line = ""
+        line += w + " "
+    return "\n".join([*lines, line])
+
+
+def test_whole_licences_and_notices_in_sentences(spark):
+    mit, bsd2, bsd3 = (license_scan.TEMPLATES[n][-1] for n in ("MIT", "BSD-2-Clause", "BSD-3-Clause"))
+    apache, isc = license_scan.TEMPLATES["Apache-2.0"][-1], license_scan.TEMPLATES["ISC"][0]
+    grant, rest = mit.split(" The above copyright notice", 1)
+    paragraphs = "\n\n".join([wrapped(grant), wrapped("The above copyright notice" + rest)])
+    rng = random.Random(12)
+    prose = words(rng, 3000)
+    rows = [
+        (1, f"MIT License\n\nCopyright (c) 2020 A. Person\n\n{paragraphs}\n", "a"),
+        (2, "intro line\nThis software is released under the MIT License, see LICENSE for details.", "a"),
+        (3, f"{prose}\n" + "\n".join(" * " + x for x in wrapped(apache).split("\n")) + f"\n{prose}", "a"),
+        (4, f"Copyright\n\n{wrapped(bsd2)}", "a"),
+        (5, f"{prose} {bsd3} {prose}", "a"),
+        (6, wrapped(isc).upper(), "a"),
+        (7, "The licence is MIT. Permission to use it, free of charge, is granted to any person.", "a"),
+        (8, f"{prose}\nof the software and of the software\n" * 3, "a"),
+        (None, wrapped(mit), "a"),
+        (None, wrapped(mit), "a"),
+        (9, " ".join(mit.split()[: int(len(mit.split()) * 0.7)]), "a"),
+        (10, "x\n" * 40 + mit.replace("OTHERWISE, ", "").replace("sublicense, ", "rent or "), "a"),
+    ]
+    got = license_scan.scan_licenses(docs_frame(spark, rows)).collect()
+    best = {}
+    for r in sorted(got, key=lambda r: r.dice):
+        if r.license != "BSD":
+            best[r.doc_id] = (r.license, round(r.dice, 2), r.line)
+    assert best == {
+        1: ("MIT", 1.0, 4), 2: ("MIT", 1.0, 1), 3: ("Apache-2.0", 1.0, 1), 4: ("BSD-2-Clause", 1.0, 2),
+        5: ("BSD-3-Clause", 1.0, 0), 6: ("ISC", 1.0, 0), None: ("MIT", 1.0, 0), 9: ("MIT", 1.0, 0),
+        10: ("MIT", best[10][1], 40),
+    }
+    assert {(r.doc_id, r.dice) for r in got if r.license == "BSD"} == {(4, 1.0), (5, 1.0)}
+    assert 0.9 < best[10][1] < 1 and len(got) == len({(r.doc_id, r.license) for r in got})
+    # the SQL twin, which counts every window anew, on the same rows
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    want = con.execute(f"SELECT doc_id, license, dice, line FROM ({ORACLES['op4_license_scan']})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.license, r.dice, r.line)) for r in got)
+
+
 def test_sql_twins(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
