@@ -8,6 +8,7 @@ from factsieve.functions.grounding import DEFAULT_TOLERANCE
 from factsieve.operators.deltas import accumulate_text, verify_deltas, verify_deltas_by_rescan
 from factsieve.operators.grounding import (
     answers_grounded,
+    grounded_against_facts,
     grounded_numbers,
     unmatched_against_facts,
     unmatched_numerics,
@@ -40,6 +41,7 @@ __all__ = [
     "detect_pii",
     "extract_numerics",
     "filter_pii",
+    "grounded_against_facts",
     "grounded_numbers",
     "last_n_stream",
     "last_n_tokens",

@@ -167,12 +167,12 @@ SELECT a.id AS request_id, a.ord, a.value FROM a
 WHERE {exists} (SELECT 1 FROM c WHERE c.id = a.id AND abs(c.value - a.value) <= 0.01)"""
 
 
-def _against(answers: str, facts: str, id_name: str) -> str:
+def _against(answers: str, facts: str, id_name: str, kind: str = "ANTI") -> str:
     return f"""
 WITH a AS MATERIALIZED ({answers}), f AS MATERIALIZED (SELECT DISTINCT value FROM ({facts})),
 hit AS (SELECT DISTINCT a.id, a.ord FROM a JOIN f
   ON f.value >= a.value - 0.02 AND f.value <= a.value + 0.02 WHERE abs(f.value - a.value) <= 0.01)
-SELECT a.id AS {id_name}, a.ord, a.value FROM a ANTI JOIN hit ON a.id = hit.id AND a.ord = hit.ord"""
+SELECT a.id AS {id_name}, a.ord, a.value FROM a {kind} JOIN hit ON a.id = hit.id AND a.ord = hit.ord"""
 
 
 def _verdicts(pii: bool, numeric: bool) -> str:
@@ -290,6 +290,9 @@ SELECT o_orderkey AS request_id, EXISTS (SELECT 1 FROM c
     "unmatched_against_all_lines": _against(
         _CLAIM_NUMBERS, "SELECT l_extendedprice AS value FROM lineitem", "request_id"
     ),
+    "grounded_against_all_lines": _against(
+        _CLAIM_NUMBERS, "SELECT l_extendedprice AS value FROM lineitem", "request_id", "SEMI"
+    ),
     "document_numbers_not_in_pages": _against(_numbers(_DOCS), _numbers(_PAGES), "id"),
     "verify_text": _verdicts(True, True),
     "verdicts_through_files": _verdicts(True, True),

@@ -12,6 +12,7 @@ from factsieve.functions.verdicts import action_code
 from factsieve.operators.deltas import accumulate_text, verify_deltas
 from factsieve.operators.grounding import (
     answers_grounded,
+    grounded_against_facts,
     grounded_numbers,
     unmatched_against_facts,
     unmatched_numerics,
@@ -217,6 +218,14 @@ def unmatched_against_all_lines(spark, folder):
     return unmatched_against_facts(_claim_numbers(spark, folder), facts)
 
 
+@_query
+def grounded_against_all_lines(spark, folder):
+    facts = spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        F.col("l_extendedprice").alias("value")
+    )
+    return grounded_against_facts(_claim_numbers(spark, folder), facts)
+
+
 @_query
 def document_numbers_not_in_pages(spark, folder):
     ids = extract_numerics(inputs.documents(spark, folder), offsets=False)

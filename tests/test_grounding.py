@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from factsieve import (
     answers_grounded,
     extract_numerics,
+    grounded_against_facts,
     grounded_numbers,
     unmatched_against_facts,
     unmatched_numerics,
@@ -16,6 +17,7 @@ from factsieve.functions.grounding import (
     unmatched_values,
     verify_numeric,
 )
+from factsieve.operators.grounding import _possible
 
 PAIRS = [
     ("Выручка 14 млн", "В отчёте указано 14,000,000", []),
@@ -119,6 +121,37 @@ def test_band_joins_equal_brute_force(spark, tol):
     lonely = [i for i, _, v in answer if v is None or brute([v], base + [1.0], tol)]
     got = unmatched_against_facts(a, c, tol).collect()
     assert sorted(r.id for r in got) == sorted(lonely)
+    # the filter before the shuffle changes nothing, whatever its size
+    wide = c.withColumn("k", F.col("k").cast("long"))
+    for bits, contexts in ((15, c), (24, c), (24, wide)):
+        got = grounded_numbers(a, contexts, "k", tol, prune_bits=bits).collect()
+        assert sorted(r.id for r in got) == sorted(got_good)
+    for bits in (15, 24, None):
+        got = grounded_against_facts(a, c, tol, prune_bits=bits).collect()
+        assert sorted(r.id for r in got) == sorted({i for i, _, _ in answer} - set(lonely))
+
+
+def test_filter_of_facts(spark):
+    facts = spark.range(2000).select(F.col("id").cast("double").alias("_exact"), (F.col("id") * 7).alias("_bucket"))
+    rows = spark.range(40_000).select("id", (F.col("id") % 20_000).alias("_bucket"), F.lit(1.0).alias("other"))
+    left = rows.withColumn("_exact", (F.col("id") % 2000).cast("double"))
+    on = ["_bucket", "_exact"]
+    partners = {r.id for r in left.join(facts, on, "left_semi").collect()}
+    for bits, most in ((15, 0.1), (24, 0.001)):
+        possible = _possible(left, facts, on, bits)
+        assert possible.columns == left.columns
+        got = [r.id for r in possible.collect()]
+        assert partners <= set(got) and len(got) == len(set(got)) <= len(partners) + most * 40_000
+    zeros = spark.createDataFrame([(0, -0.0)], "_bucket long, _exact double")
+    assert _possible(zeros, zeros.select("_bucket", F.lit(0.0).alias("_exact")), on, 15).count() == 1
+    assert _possible(left, facts.limit(0), on, 15).count() == 0
+    full = spark.range(600_000).select((F.col("id") * 7).alias("_bucket"), F.lit(0.0).alias("_exact"))
+    assert _possible(left, full, on, 15).count() == 40_000
+    for bits in (14, 31):
+        with pytest.raises(ValueError):
+            _possible(left, facts, on, bits)
+    pruned = grounded_against_facts(rows.withColumnRenamed("other", "value"), rows.select(F.col("other").alias("value")))
+    assert "Python" not in pruned._jdf.queryExecution().executedPlan().toString()
 
 
 def test_tables_equal_rows(spark):
