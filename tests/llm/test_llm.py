@@ -542,6 +542,45 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(docs_frame(spark, [])).count() == 0
 
 
+def test_quality_votes_equal_plain_neighbours(spark):
+    """Each score against a plain vote over all labelled texts, with terms counted one by one."""
+    rng = random.Random(31)
+    good = [(i, words(rng, rng.randint(5, 80)) + ".", "s") for i in range(60)]
+    bad = [(100 + i, "!!! " + " ".join(["BUY 99"] * rng.randint(2, 9)) + words(rng, 20), "s") for i in range(60)]
+    rows = [*good, *bad, (500, None, "s"), (501, "", "s"), (502, "q", "s"), good[3], bad[3], (None, good[5][1], "s")]
+    docs = docs_frame(spark, rows)
+    marked = [(i, 1, 0) for i, _, _ in good] + [(i, 0, 0) for i, _, _ in bad]
+    labels = spark.createDataFrame(marked, "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    trained = sorted(i for i, _, _ in marked if zlib.crc32(str(i).encode()) % 3 != 1)
+    text_of = {i: t for i, t, _ in rows if i is not None}
+    label_of = {i: q for i, q, _ in marked}
+    assert model.labels.tolist() == [label_of[i] for i in trained]
+
+    def vector(text):
+        counts = quality.term_counts(pa.array([(text or "").encode()], pa.binary()))[0].astype(float)
+        x = np.sqrt(counts) * model.weights
+        y = (x / max(np.sqrt((x * x).sum()), 1e-12)) @ model.directions.astype(float)
+        return y / max(np.sqrt((y * y).sum()), 1e-12), counts.sum()
+
+    vectors = [vector(text_of[i])[0] for i in trained]
+    got = quality.score(docs, model).select("doc_id", "text", "score", "predicted").collect()
+    assert len(got) == len(rows)
+    prior = sum(label_of[i] for i in trained) / len(trained)
+    for r in got:
+        mine, terms = vector(r.text)
+        ranked = sorted(((float(mine @ v), -n) for n, v in enumerate(vectors)), reverse=True)
+        near = [(max(c, 0.0) ** quality.SHARPNESS, label_of[trained[-n]]) for c, n in ranked[: quality.NEIGHBOURS]]
+        total = sum(w for w, _ in near)
+        want = sum(w * q for w, q in near) / total if total and terms else prior
+        # a tie at the last place may fall either way in single precision
+        edge = ranked[quality.NEIGHBOURS - 1][0] - ranked[quality.NEIGHBOURS][0]
+        assert abs(r.score - want) < 1e-4 or edge < 1e-6, (r.doc_id, r.score, want)
+        assert r.predicted == int(r.score >= 0.5)
+    held = [r for r in got if r.doc_id in label_of and r.doc_id not in trained]
+    assert len(held) > 20 and all(r.predicted == label_of[r.doc_id] for r in held)
+
+
 def wrapped(text, width=60, first="  "):
     lines, line = [], first
     for w in text.split():
