@@ -330,6 +330,26 @@ def test_embedding_components(spark):
     assert embedding_dedup.embedding_components(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_embedding_links_by_pairs_and_by_blocks_agree(spark):
+    df = spark.createDataFrame([(i, v, 0, 1, 2) for i, v in vectors()], VECTORS)
+    by_pairs = embedding_dedup.embedding_components(df, short=1000)
+    by_blocks = embedding_dedup.embedding_components(df, short=1, block=16)
+    both = embedding_dedup.embedding_components(df, short=4, block=32)
+    assert sorted(by_pairs.collect()) == sorted(by_blocks.collect()) == sorted(both.collect())
+
+
+def test_embedding_candidates_a_row_grow_less_than_the_root_of_the_rows():
+    def pairs_a_row(n):
+        x = np.random.default_rng(3).normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        pivots, reach = embedding_dedup.index_for(64, n, 0.95)
+        lists = embedding_dedup.lists_of(x, embedding_dedup.directions(64, pivots), reach)
+        times = np.unique(lists, return_counts=True)[1].astype(float)
+        return (times * (times - 1) / 2).sum() / n
+
+    assert pairs_a_row(32000) < 4 * pairs_a_row(2000)
+
+
 def test_embedding_links_of_a_large_group(spark):
     rng = np.random.default_rng(7)
     centre = rng.normal(size=64)
