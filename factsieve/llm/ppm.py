@@ -11,9 +11,11 @@ Texts are coded as their words, A-Z in lower case, with one blank between, and a
 
 Counting is combined in the tasks and shuffled. All counted runs stay in stored tables, one
 of continuations and one of contexts per order. The code length of a symbol depends on the
-``ORDER`` bytes before it alone, so each different run is coded once, by joins with those
-tables. Broadcast are only the code lengths of the most frequent runs and the counts of the
-most frequent words, as a cache; all others are joined. ``Model`` is the same in memory.
+``ORDER`` bytes before it alone, so each different run of the table, learned or not, is
+coded once: a learned one in its own context, the others by joins from order to order.
+Broadcast are only the code lengths of the runs that are most frequent in all rows and the
+counts of the most frequent words, as a cache; all others are joined. ``Model`` is the same
+in memory.
 """
 
 from collections.abc import Iterator
@@ -37,6 +39,8 @@ MAX_WORDS = 1 << 17
 _HELD = 1 << 20
 _ROWS = 1 << 19
 _PIECE = 1 << 19
+# Marks the runs of rows that are not learned from while they are counted.
+_NOT_LEARNED = 62
 
 
 def held_out(doc_id: Column) -> Column:
@@ -243,33 +247,47 @@ class _Counter:
         return keys, counts
 
 
-def count_corpus(docs: DataFrame, text_col: str, scratch: Scratch, order: int = ORDER) -> DataFrame:
-    """``kind, key, n``: words (0), runs of context and symbol (1) and texts (2), summed over all texts."""
+def count_corpus(
+    docs: DataFrame, text_col: str, scratch: Scratch, order: int = ORDER, learned: Column | None = None
+) -> DataFrame:
+    """``kind, key, n, n_all``: words (0), runs of context and symbol (1) and texts (2).
+
+    ``n`` sums over the rows that are learned from (all, if not told). ``n_all`` sums runs over
+    all rows; words and texts are counted in learned rows only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, grams, texts = _Counter(), _Counter(), 0
         for batch in some_rows(batches, 0, _ROWS):
-            texts += batch.num_rows
-            column = batch.column(0)
-            words.add(word_hashes(column)[0].view(np.int64))
-            for _, code in codes(column, order):
-                grams.add(code)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([2], pa.int8()), pa.array([0], pa.int64()), pa.array([texts], pa.int64())], ["kind", "key", "n"]
-        )
-        for kind, counter in ((0, words), (1, grams)):
-            keys, counts = counter.combine()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys), pa.array(counts)], ["kind", "key", "n"]
-            )
-
-    counted = docs.select(text_bytes(text_col)).mapInArrow(run, "kind byte, key long, n long")
-    return scratch.table(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+            learn_from = batch.column(1)
+            known = batch.column(0).filter(learn_from)
+            texts += len(known)
+            words.add(word_hashes(known)[0].view(np.int64))
+            mark = (~learn_from.to_numpy(zero_copy_only=False)).astype(np.int64) << _NOT_LEARNED
+            for row, code in codes(batch.column(0), order):
+                grams.add(code | mark[row])
+        yield counted_rows(2, np.zeros(1, np.int64), np.array([texts]), np.array([texts]))
+        keys, counts = words.combine()
+        yield counted_rows(0, keys, counts, counts)
+        keys, counts = grams.combine()
+        marked = keys >> _NOT_LEARNED
+        yield counted_rows(1, keys ^ (marked << _NOT_LEARNED), np.where(marked == 1, 0, counts), counts)
+
+    def counted_rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+        kinds = np.full(len(columns[0]), kind, np.int8)
+        return pa.RecordBatch.from_arrays([pa.array(kinds), *map(pa.array, columns)], ["kind", "key", "n", "n_all"])
+
+    learned = F.lit(True) if learned is None else learned
+    counted = docs.select(text_bytes(text_col), learned.alias("learned")).mapInArrow(
+        run, "kind byte, key long, n long, n_all long"
+    )
+    sums = counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
+    return scratch.table(sums, "counts")
 
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     table = df.toArrow()
-    return table.column("key").to_numpy(), table.column("n").to_numpy()
+    return table.column(0).to_numpy(), table.column(1).to_numpy()
 
 
 def _at_most(df: DataFrame, most: int) -> DataFrame:
@@ -295,7 +313,7 @@ def _run(k: int) -> Column:
 
 def learn(counts: DataFrame, scratch: Scratch, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
     """Per order the stored continuations ``gram, n`` and contexts ``context, total, kinds, ruled_out``."""
-    grams = counts.where("kind = 1").select("key", "n")
+    grams = counts.where("kind = 1 and n > 0").select("key", "n")
     levels = []
     for k in range(order, -1, -1):
         if k:
@@ -337,6 +355,19 @@ def code_lengths(keys: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) ->
     return found.select("key", F.coalesce("log", last).alias("log"))
 
 
+def code_all(counts: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """``key, n, log`` of each counted run: how often it is in all rows, and its code length.
+
+    A learned run is coded in its own context; only the others look into shorter ones.
+    """
+    grams = counts.where("kind = 1")
+    learned = grams.where("n > 0").join(levels[-1][1], _context(len(levels) - 1) == F.col("context"))
+    learned = learned.select("key", "n_all", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("log"))
+    other = grams.where("n = 0").select("key", F.col("n_all").alias("times"))
+    coded = code_lengths(other.select("key"), levels).join(other, "key").select("key", "times", "log")
+    return learned.union(coded).withColumnRenamed("n_all", "n")
+
+
 def _tally(rows: np.ndarray, keys: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
     """The different keys of each of ``n`` rows, and how often they occur."""
     by = np.lexsort((keys, rows))
@@ -359,7 +390,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     spark = docs.sparkSession
     scratch = Scratch(spark, "ppm")
     docs = only(docs, [id_col, text_col])
-    counts = count_corpus(docs.where(~held_out(F.col(f"`{id_col}`"))), text_col, scratch, order)
+    counts = count_corpus(docs, text_col, scratch, order, ~held_out(F.col(f"`{id_col}`")))
     words = counts.where("kind = 0")
     sums = counts.where("kind <> 1").groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("c")).collect()
     of_kind = {r["kind"]: (r["n"], r["c"]) for r in sums}
@@ -370,10 +401,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     keys, n = _arrays(_at_most(words, MAX_WORDS).select("key", "n"))
     logs = np.log10((n + 0.5) / below)
     levels = learn(counts, scratch, order)
-    # a counted run is coded in its own context
-    runs = _at_most(counts.where("kind = 1"), MAX_NODES).join(levels[-1][1], _context(order) == F.col("context"))
-    runs = runs.select("key", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("n"))
-    run_keys, run_logs = _arrays(runs)
+    coded = scratch.table(code_all(counts, levels), "coded")
+    run_keys, run_logs = _arrays(_at_most(coded, MAX_NODES).select("key", "log"))
     shared = spark.sparkContext.broadcast((Table(run_keys), run_logs, Table(keys), logs))
     end = float(np.log10((n_texts + 0.5) / below))
 
@@ -427,8 +456,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     joined = scored.drop("rare", "far", "far_times").join(added, "row", "left")
     zipped = F.explode(F.arrays_zip("far", "far_times")).alias("f")
     apart = scored.select("row", zipped).select("row", F.col("f.far").alias("key"), F.col("f.far_times").alias("times"))
-    coded = scratch.table(code_lengths(apart.select("key").distinct(), levels), "coded")
-    summed = apart.join(coded, "key").groupBy("row").agg(F.sum(F.col("log") * F.col("times")).alias("apart"))
+    summed = apart.join(coded.select("key", "log"), "key").groupBy("row").agg(F.sum(F.col("log") * F.col("times")).alias("apart"))
     joined = joined.join(summed, "row", "left")
     return joined.select(
         "doc_id",
