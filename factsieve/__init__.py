@@ -5,7 +5,7 @@ token windows and verified text streams, all over tables of texts.
 """
 
 from factsieve.functions.grounding import DEFAULT_TOLERANCE
-from factsieve.operators.deltas import accumulate_text, verify_deltas, verify_deltas_by_rescan
+from factsieve.operators.deltas import accumulate_text, text_digests, verify_deltas, verify_deltas_by_rescan
 from factsieve.operators.grounding import (
     answers_grounded,
     grounded_against_facts,
@@ -52,6 +52,7 @@ __all__ = [
     "token_segments",
     "unmatched_against_facts",
     "unmatched_numerics",
+    "text_digests",
     "verify_deltas",
     "verify_deltas_by_rescan",
     "verify_stream",

@@ -16,6 +16,12 @@ from factsieve.functions.verdicts import (
 from factsieve.plans.skew import ROWS_PER_TASK, hot_groups, running_totals
 
 
+# Digests are sums of code points times powers of a base, modulo a prime; products stay below 2^63.
+DIGEST_BASE = 1_000_003
+DIGEST_PRIME = 2**31 - 1
+_LENGTH_BITS = 48
+
+
 def _list(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
@@ -33,7 +39,7 @@ def accumulate_text(
     """Add ``text``: all text of the session up to and with each row.
 
     The result repeats a session's text once per row by definition;
-    :func:`verify_deltas` gets its verdicts without it.
+    :func:`verify_deltas` gets its verdicts and :func:`text_digests` its lengths without it.
     """
     so_far = (
         Window.partitionBy(*_list(key))
@@ -43,6 +49,53 @@ def accumulate_text(
     return df.withColumn("text", F.array_join(F.collect_list(delta).over(so_far), ""))
 
 
+def _digest(text):
+    """Digest of one piece, as if it began the text."""
+    points = F.reverse(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+    return F.aggregate(
+        points,
+        F.lit(0).cast("bigint"),
+        lambda h, c: (h * DIGEST_BASE + F.ascii(c)) % DIGEST_PRIME,
+    )
+
+
+def _base_to(power):
+    """``DIGEST_BASE ** power`` modulo the prime, by the bits of ``power``."""
+    squares = [pow(DIGEST_BASE, 1 << i, DIGEST_PRIME) for i in range(_LENGTH_BITS)]
+    steps = F.array(*[F.struct(F.lit(1 << i).alias("bit"), F.lit(s).alias("f")) for i, s in enumerate(squares)])
+    return F.aggregate(
+        F.filter(steps, lambda s: power.bitwiseAND(s["bit"]) != 0),
+        F.lit(1).cast("bigint"),
+        lambda product, s: product * s["f"] % DIGEST_PRIME,
+    )
+
+
+def text_digests(
+    df: DataFrame,
+    key: str | Sequence[str] = "session_id",
+    seq: str = "seq",
+    delta: str = "text_delta",
+    rows_per_task: int | None = ROWS_PER_TASK,
+) -> DataFrame:
+    """``key, seq, chars, digest``: length and digest of the text so far, without the text.
+
+    The digest of a text is the sum of its code points times ``DIGEST_BASE ** place``, modulo
+    ``DIGEST_PRIME``, so it does not depend on how the text is cut. A delta adds its own
+    length and its own digest moved to its place; both are running totals, and a session
+    of any length is split over tasks. A null delta adds nothing. Equal digests do not prove
+    equal texts; :func:`accumulate_text` gives the texts themselves. ``seq`` is unique in
+    a session.
+    """
+    keys = _list(key)
+    hot = hot_groups(df, keys, rows_per_task)
+    text = F.coalesce(F.col(delta), F.lit(""))
+    rows = df.select(*keys, seq, F.char_length(text).cast("bigint").alias("_chars"), _digest(text).alias("_own"))
+    placed = running_totals(rows, keys, [seq], {"chars": F.col("_chars")}, rows_per_task, hot)
+    moved = _base_to(F.col("chars") - F.col("_chars")) * F.col("_own") % DIGEST_PRIME
+    summed = running_totals(placed, keys, [seq], {"digest": moved}, rows_per_task, hot)
+    return summed.select(*keys, seq, "chars", (F.col("digest") % DIGEST_PRIME).alias("digest"))
+
+
 def _verdict(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """From ``_matched`` (array), ``_seen`` (text length) and ``_ids`` to the verdict columns."""
     acted = df.withColumn("action", stream_action(F.size("_matched"), F.col("_seen"), F.col("_ids")))

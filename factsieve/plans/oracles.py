@@ -334,6 +334,10 @@ FROM (SELECT *, sum(CAST(NOT is_reset AS INTEGER)) OVER (PARTITION BY session_id
   ROWS UNBOUNDED PRECEDING) AS held FROM ({_SEGMENTS}))""",
     "accumulated_text": f"""
 SELECT session_id, seq, length(text) AS chars, md5(text) AS digest FROM ({_ACCUMULATED})""",
+    "text_digests_of_documents": f"""
+SELECT session_id, seq, length(text) AS chars, list_reduce(list_prepend(CAST(0 AS BIGINT),
+  list_transform(list_reverse(regexp_extract_all(text, '(?s).')), lambda c: CAST(unicode(c) AS BIGINT))),
+  lambda h, c: (h * 1000003 + c) % 2147483647) AS digest FROM ({_ACCUMULATED})""",
     "verify_deltas_of_documents": _STREAM_VERDICTS,
     "verify_stream_of_documents": _STREAM_VERDICTS,
     "last_n_stream_of_events": f"""

@@ -9,7 +9,7 @@ from factsieve.functions import numbers as num
 from factsieve.functions import personal_data as pii
 from factsieve.functions.grounding import answer_grounded, unmatched_numbers, verify_numeric
 from factsieve.functions.verdicts import action_code
-from factsieve.operators.deltas import accumulate_text, verify_deltas
+from factsieve.operators.deltas import accumulate_text, text_digests, verify_deltas
 from factsieve.operators.grounding import (
     answers_grounded,
     grounded_against_facts,
@@ -394,6 +394,11 @@ def accumulated_text(spark, folder):
     )
 
 
+@_query
+def text_digests_of_documents(spark, folder):
+    return text_digests(_deltas(spark, folder))
+
+
 def _flat_verdicts(df: DataFrame) -> DataFrame:
     return df.select(
         "session_id",

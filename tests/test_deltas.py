@@ -10,6 +10,7 @@ from factsieve import (
     last_n_stream,
     last_n_tokens,
     read_token_batches,
+    text_digests,
     token_segments,
     verify_deltas,
     verify_deltas_by_rescan,
@@ -119,6 +120,22 @@ def test_accumulate(spark):
     assert got["a", 3] == "mail user@example.com " and got["c", 1] == "" and got["b", 1].endswith("11")
 
 
+@pytest.mark.parametrize("rows_in_a_task", [1000, 7, None])
+def test_digests_are_those_of_the_whole_text(spark, rows_in_a_task):
+    rng = random.Random(5)
+    some = ["", None, "a", "\n", "é", "日本", "🙂x", "long " * 300]
+    rows = [(s, i, [], rng.choice(some)) for s, n in (("a", 60), ("b", 3), (None, 20), ("empty", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "session_id string, seq long, token_ids array<long>, text_delta string")
+    got = {(r.session_id, r.seq): (r.chars, r.digest) for r in text_digests(df, rows_per_task=rows_in_a_task).collect()}
+    text = {}
+    for s, i, _, delta in rows:
+        text[s] = text.get(s, "") + (delta or "")
+        digest = sum(ord(c) * pow(1_000_003, k, 2**31 - 1) for k, c in enumerate(text[s])) % (2**31 - 1)
+        assert got[s, i] == (len(text[s]), digest)
+    assert len(got) == len(rows)
+    assert text_digests(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("rows_per_task", [10**6, 8])
 def test_linear_equals_rescan(spark, rows_per_task):
     rows = sessions(1, 150) + [("big", i, [], d, "t") for i, d in enumerate(
