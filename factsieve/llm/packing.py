@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factsieve.llm.store import share_code, text_of
-from factsieve.llm.tokens import encoder, tokenizer_path
+from factsieve.llm.tokens import KEPT_PIECES, encoder, tokenizer_path
 
 WINDOW = 2048
 # Rests are cut into pieces of at most this many tokens, and divided so many at a time.
@@ -119,6 +119,7 @@ def pack(
     window: int = WINDOW,
     piece: int = PIECE,
     with_ids: bool = False,
+    kept: int = KEPT_PIECES,
 ) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence.
 
@@ -132,7 +133,7 @@ def pack(
     names = SCHEMA.replace(" long", "").split(", ") + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, kept=kept).encode, np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 32
         rests: list[tuple] = []
 

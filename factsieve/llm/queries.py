@@ -39,7 +39,8 @@ def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_differencing_pack(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(docs_of(spark, folder))
+    # alone on its executors, a worker may know more pieces than in the pipeline
+    return packing.pack(docs_of(spark, folder), kept=token_output.KEPT)
 
 
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
