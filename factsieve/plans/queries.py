@@ -428,12 +428,17 @@ def _stream_table(spark: SparkSession, folder: str, name: str, schema: str) -> D
     return read_token_batches(spark, f"{folder}/{name}[.]parquet", schema=schema)
 
 
+# Groups that the sessions of a stream share.
+_BUCKETS = 2048
+
+
 @_query
 def verify_stream_of_documents(spark, folder):
     docs = _stream_table(spark, folder, "documents", "doc_id bigint, text string").select(
         F.col("doc_id").alias("id"), "text"
     )
-    return _flat_verdicts(_run_stream(spark, verify_stream(inputs.as_deltas(docs)), "verdicts"))
+    verdicts = verify_stream(inputs.as_deltas(docs), buckets=_BUCKETS)
+    return _flat_verdicts(_run_stream(spark, verdicts, "verdicts"))
 
 
 @_query
@@ -447,5 +452,6 @@ def last_n_stream_of_events(spark, folder):
         (F.col("event_id") * 10).alias("position"),
         (F.col("event_type") == "error").alias("is_reset"),
     )
-    out = _run_stream(spark, last_n_stream(events, 100, capacity=4, is_reset="is_reset"), "tokens")
+    windows = last_n_stream(events, 100, capacity=4, is_reset="is_reset", buckets=_BUCKETS)
+    out = _run_stream(spark, windows, "tokens")
     return out.select("session_id", "seq", _token_list("last_n").alias("last_n"), "window_len")

@@ -1,14 +1,13 @@
 """Last-N token window of live sessions, with keyed state bounded by the capacity."""
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factsieve.operators.tokens import DEFAULT_CAPACITY, check_capacity, check_n
-from factsieve.streaming.state import keyed_state, rows_in_order
+from factsieve.streaming.state import Columns, keyed_state
 
 _STATE = "tokens array<bigint>, positions array<bigint>"
 # New tokens of a session that travel in one row, with what their windows reach back to.
@@ -26,12 +25,14 @@ def last_n_stream(
     is_reset: str | None = None,
     idle_timeout_ms: int | None = None,
     is_last: str | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Session key, ``seq``, ``last_n`` (oldest first) and ``window_len`` as of each token.
 
     A row with ``is_reset`` clears the session and gives no output row. One with ``is_last``
     is a token like others and ends the session: its state goes. The stateful step only puts
     held and new tokens together, in bulk; windows are cut from them by built-in functions.
+    ``buckets``: sessions share so many groups; see :func:`keyed_state`.
     """
     check_capacity(capacity)
     check_n(n)
@@ -49,21 +50,17 @@ def last_n_stream(
         flag(is_last).alias("_last"),
     )
     types = dict(rows.dtypes)
-    parts = ["_seq", "_to", "_len", "_tokens", "_positions"]
-    output = ", ".join(
-        [f"{c} {types[c]}" for c in keys]
-        + [f"_seq array<{types[seq]}>, _to array<int>, _len array<int>"]
-        + ["_tokens array<bigint>, _positions array<bigint>"]
-    )
+    output = [(c, types[c]) for c in keys]
+    output += [("_seq", f"array<{types[seq]}>"), ("_to", "array<int>"), ("_len", "array<int>")]
+    output += [("_tokens", "array<bigint>"), ("_positions", "array<bigint>")]
     size = min(n, capacity)
 
-    def step(key_values: tuple, batches: Iterator[pd.DataFrame], state: tuple | None):
-        ordered = rows_in_order(batches, seq)
-        reset, last = ordered["_reset"].to_numpy(bool), ordered["_last"].to_numpy(bool)
+    def step(key_values: tuple, ordered: Columns, state: tuple | None):
+        reset, last = ordered["_reset"].astype(bool), ordered["_last"].astype(bool)
         held = len(state[0]) if state else 0
         push = ~reset
         tokens, places = (
-            np.concatenate([np.asarray(s, np.int64), ordered[c].to_numpy()[push]])
+            np.concatenate([np.asarray(s, np.int64), ordered[c][push]])
             for s, c in zip(state or ([], []), ("_token", "_position"), strict=True)
         )
         # place of each row's newest token, and of the first one since the last clear or end
@@ -72,7 +69,7 @@ def last_n_stream(
         begins = np.where(clears, to + reset, 0)
         start = np.maximum.accumulate(begins) if len(begins) else begins
         lengths = np.minimum(to - start + 1, capacity)[push]
-        to, seqs = to[push], ordered[seq].to_numpy()[push]
+        to, seqs = to[push], ordered[seq][push]
         out = []
         for at in range(0, len(to), _TOGETHER):
             ends = to[at : at + _TOGETHER]
@@ -83,9 +80,9 @@ def last_n_stream(
         kept = slice(max(int(start[-1]), len(tokens) - capacity), None) if len(start) else slice(None)
         ended = len(last) and bool(last[-1])
         new = None if ended else (tokens[kept].tolist(), places[kept].tolist())
-        return new, pd.DataFrame(out, columns=[*keys, *parts])
+        return new, out
 
-    held = keyed_state(rows, keys, step, output, _STATE, idle_timeout_ms)
+    held = keyed_state(rows, keys, seq, step, output, _STATE, idle_timeout_ms, buckets=buckets)
 
     def window(z):
         k = F.least(z["_len"], F.lit(size))

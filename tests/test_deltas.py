@@ -320,3 +320,55 @@ def test_waiting_rows_are_judged_when_a_session_falls_silent(spark, tmp_path):
         query.stop()
     got = {r.seq: r.action for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: "PASS", 2: "BLOCK"}
+
+
+def test_sessions_share_groups(spark, tmp_path):
+    """As many groups as buckets, not as sessions; nulls and large numbers stay what they are."""
+    big = 2**60 + 1
+    schema = TOKEN_BATCHES.replace("session_id string", "tenant bigint, session_id string") + ", is_last boolean"
+    rows = [(t, s, q, i, d, "t", False) for s, q, i, d, *_ in sessions(9, 40) for t in (None, big)]
+    rows += [(t, None, q, [], d, "t", False) for t in (None, big) for q, d in ((big, "x@"), (big + 1, "y.com"), (None, " "))]
+    cut = [[r for r in rows if r[2] is not None and r[2] < 2], [r for r in rows if r[2] is None or r[2] >= 2]]
+    plain, shared = (
+        run_stream(spark, tmp_path / str(b), cut, schema, lambda s, b=b: verify_stream(s, ["tenant", "session_id"], buckets=b))
+        for b in (None, 3)
+    )
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    got = sorted(map(tuple, shared.collect()), key=key)
+    assert got == sorted(map(tuple, plain.collect()), key=key) and len(got) == len(rows)
+    states = [spark.read.format("statestore").load(str(tmp_path / str(b) / "cp")).count() for b in (None, 3)]
+    assert states == [len({r[:2] for r in rows}), 3]
+    with pytest.raises(ValueError):
+        verify_stream(spark.createDataFrame([], TOKEN_BATCHES), buckets=3, idle_timeout_ms=500)
+
+
+def test_ended_sessions_leave_their_group(spark, tmp_path):
+    schema = TOKEN_BATCHES + ", is_last boolean"
+    batches = [
+        [("a", 0, [], "x@", "t", False), ("b", 0, [], "x@y.com", "t", True), ("b", 1, [], "fine", "t", False)],
+        [("a", 1, [], "y.com", "t", True), ("b", 2, [], "", "t", True)],
+        [("a", 2, [], "clean", "t", None)],
+    ]
+    out = run_stream(spark, tmp_path, batches, schema, lambda s: verify_stream(s, is_last="is_last", buckets=1))
+    got = {(r.session_id, r.seq): r.action for r in out.collect()}
+    assert got == {
+        ("a", 0): "PASS", ("a", 1): "BLOCK", ("a", 2): "PASS",
+        ("b", 0): "BLOCK", ("b", 1): "PASS", ("b", 2): "PASS",
+    }
+
+
+def test_token_sessions_share_groups(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [
+        (f"s{s}", i, rng.randint(0, 2**32 - 1), i * 3, rng.random() < 0.1)
+        for s in range(6) for i in range(rng.randint(1, 30))
+    ]
+    batches = [[r for r in rows if lo <= r[1] < hi] for lo, hi in ((0, 4), (4, 9), (9, 99))]
+    out = run_stream(
+        spark, tmp_path, batches, TOKENS,
+        lambda s: last_n_stream(s, n=3, capacity=5, is_reset="is_reset", buckets=2),
+    )
+    got = {(r.session_id, r.seq): r.last_n for r in out.collect()}
+    segments = token_segments(spark.createDataFrame(rows, TOKENS))
+    batch = last_n_tokens(segments, 3, 5, key=["session_id", "segment"]).collect()
+    assert got == {(r.session_id, r.seq): r.last_n for r in batch}
