@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factsieve.sources.io import read_table
+from factsieve.sources.io import PARTITIONS, read_table
 
 # Characters per text delta.
 DELTA_CHARS = 256
@@ -36,7 +36,10 @@ def contacts(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(", mail user"), k.cast("string"), F.lit("@mail"), (k % 7).cast("string"),
         F.lit(".example.com"),
     )
-    return read_table(spark, folder, "customer").select(k.alias("id"), text.alias("text"))
+    # One row group may hold millions of customers, and a scan gives it to one task. So the keys are
+    # dealt out before texts are made of them, to a number of tasks that does not depend on the file.
+    tasks = int(spark.conf.get(PARTITIONS, "0")) or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return read_table(spark, folder, "customer", tasks).select(k.alias("id"), text.alias("text"))
 
 
 def claims(spark: SparkSession, folder: str) -> DataFrame:

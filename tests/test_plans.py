@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from factsieve import detect_pii, extract_numerics, unmatched_numerics
+from factsieve.plans import inputs
 from factsieve.plans.queries import QUERIES
 from factsieve.plans.skew import _with_blocks, hot_groups, running_totals, split_hot
 
@@ -93,3 +94,12 @@ def test_running_totals_in_blocks(spark):
         hot = hot_groups(df, ["k"], limit)
         got = running_totals(df, ["k"], ["a", "b"], {"t": F.col("x")}, limit, hot).collect()
         assert {(r.k, r.a, r.b): r.t for r in got} == want and len(got) == len(rows)
+
+
+def test_contacts_of_one_row_group_keep_all_tasks_busy(spark, tmp_path):
+    keys = spark.range(0, 3000, numPartitions=1).select(F.col("id").alias("c_custkey"))
+    keys.union(keys.limit(5)).union(spark.sql("SELECT CAST(NULL AS bigint)")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    contacts = inputs.contacts(spark, str(tmp_path))
+    tasks = [r["count"] for r in contacts.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 3006 and len(tasks) >= 4 and max(tasks) < 2 * 3006 / len(tasks)
+    assert [r["count"] for r in contacts.where("id < 5").groupBy("id").count().collect()] == [2] * 5
