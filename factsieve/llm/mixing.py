@@ -36,6 +36,8 @@ REACH = 1 << 16
 # Long documents that are given back: all if there are no more than so many, else the last so many.
 FEW = 64
 _CELLS = 4096
+# Ids whose rows get different numbers of copies: so many are picked by a broadcast set, more by the join alone.
+BROADCAST_IDS = 1_000_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -255,14 +257,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     counted = counted.where("copies > 0").select(
         F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "copies", "rows"
     )
+    counted = Scratch(docs.sparkSession, "mix").table(counted, "copies")
+    uneven = counted.where("copies % rows <> 0")
     same = (
         F.col(key).eqNullSafe(F.col("p_id"))
         & F.col(source).cast("string").eqNullSafe(F.col("p_source"))
         & (F.col("m_size") == F.col("p_size"))
     )
-    joined = rows.join(counted, same)
-    even = joined.where("copies % rows = 0").withColumn("times", F.expr("int(copies div rows)"))
-    odd = joined.where("copies % rows <> 0")
+    columns = [*inner.columns, "times"]
+    even = rows.join(counted.where("copies % rows = 0"), same).withColumn("times", F.expr("int(copies div rows)"))
+    times = even.select(*columns)
+    if not uneven.isEmpty():
+        times = times.unionByName(_uneven(rows, uneven, same, key).select(*columns))
+    times = times.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return times.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def _uneven(rows: DataFrame, counted: DataFrame, same: Column, key: str) -> DataFrame:
+    """Rows of an id whose copies cannot be dealt out evenly, with their ``times``; only their texts are shuffled if they are few."""
+    ids = counted.select(F.col("p_id").alias("u_id")).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(ids), F.col(key).eqNullSafe(F.col("u_id")), "left_semi")
+    odd = rows.join(counted, same)
     # The first of such rows get one copy more; they are numbered within the parts of the table as it was read.
     alike = ["p_id", "p_source", "p_size"]
     before = Window.partitionBy(*alike).orderBy("m_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -272,8 +288,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     at = [F.col(f"p_{c}").eqNullSafe(F.col(f"q_{c}")) for c in ("id", "source", "size")]
     odd = odd.withColumn("nth", within).join(parts, at[0] & at[1] & at[2] & (F.col("m_part") == F.col("q_part")))
     first = (F.col("before") + F.col("nth") <= F.expr("copies % rows")).cast("int")
-    odd = odd.withColumn("times", (F.expr("copies div rows") + first).cast("int"))
-    columns = [*inner.columns, "times"]
-    times = even.select(*columns).unionByName(odd.select(*columns)).where("times > 0")
-    times = times.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return times.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    return odd.withColumn("times", (F.expr("copies div rows") + first).cast("int")).where("times > 0")

@@ -10,6 +10,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from factsieve.llm import alignment, periodic_runs, queries, token_counts
@@ -341,3 +342,31 @@ def test_queries_of_counts_and_alignment(spark, sf_dir, plain):
         assert counts[i] == (i, len((t or "").encode()), n, n > 1024)
     got = sorted(map(tuple, queries.op12_fragment_alignment(spark, sf_dir).collect()))
     assert got == sorted(aligned_rows(docs, plain)[0])
+
+
+def test_an_even_mix_reads_and_shuffles_its_texts_once(spark, tmp_path):
+    from factsieve.llm import mixing
+
+    rows = [(i, "word " * (i % 40 + 1), "abc"[i % 3]) for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mixed = mixing.mix(docs)
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(f"{tmp_path}/docs") == 1, plan
+        got = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+        # ids that repeat go the longer way, with the same numbers per id and size
+        twice = docs.unionByName(docs.where("doc_id < 50")).unionByName(docs.where("doc_id < 20"))
+        want = {r.doc_id: r.n for r in mixing.mix_plan(twice).groupBy("doc_id").agg(F.sum("repeats").alias("n")).where("n > 0").collect()}
+        uneven = {r.doc_id: r["count"] for r in mixing.mix(twice).groupBy("doc_id").count().collect()}
+        held_ids, mixing.BROADCAST_IDS = mixing.BROADCAST_IDS, 0
+        try:
+            joined = {r.doc_id: r["count"] for r in mixing.mix(twice).groupBy("doc_id").count().collect()}
+        finally:
+            mixing.BROADCAST_IDS = held_ids
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert got == {r.doc_id: r.repeats for r in mixing.mix_plan(docs).where("repeats > 0").collect()}
+    assert uneven == want == joined and any(want[i] % 2 for i in want if 20 <= i < 50)
