@@ -370,3 +370,23 @@ def test_an_even_mix_reads_and_shuffles_its_texts_once(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert got == {r.doc_id: r.repeats for r in mixing.mix_plan(docs).where("repeats > 0").collect()}
     assert uneven == want == joined and any(want[i] % 2 for i in want if 20 <= i < 50)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import glob
+    import tempfile
+    import time
+
+    from factsieve.llm.store import CLEANUP, Scratch
+
+    def files():
+        return set(glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*.data"))
+
+    before, held = files(), spark.conf.get(CLEANUP)
+    stored = Scratch(spark, "test").table(spark.range(1000).repartition(4, "id"), "rows")
+    for _ in range(50):  # they are deleted in the background
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert stored.count() == 1000 and spark.conf.get(CLEANUP) == held
