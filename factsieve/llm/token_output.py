@@ -59,7 +59,8 @@ def _encoded(part: np.ndarray, percentile: int) -> list[bytes]:
     packed: list[bytes] = [b""] * len(part)
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        bits = ((high[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+        low_first = high[rows].astype("<u4").view(np.uint8).reshape(len(rows), n, 4)
+        bits = np.unpackbits(low_first, axis=2, count=w, bitorder="little")
         for i, data in zip(rows.tolist(), np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little"), strict=True):
             packed[i] = data.tobytes()
     return [

@@ -57,7 +57,7 @@ def cut(texts: list[str], open_first: bool) -> Cut:
     """All pieces of some texts. ``open_first``: a blank goes before each text too, so its first piece is like the others."""
     lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
     found = lists.values.dictionary_encode()
-    words, number = found.dictionary.to_pylist(), found.indices.to_numpy()
+    words, number = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
     borders = lists.offsets.to_numpy().astype(np.int64)
     first = pc.utf8_slice_codeunits(found.dictionary, 0, 1)
     strange = pc.or_(pc.equal(first, ""), pc.utf8_is_space(first)).to_numpy(zero_copy_only=False)

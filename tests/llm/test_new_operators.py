@@ -390,3 +390,18 @@ def test_stored_tables_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not files() - before
     assert stored.count() == 1000 and spark.conf.get(CLEANUP) == held
+
+
+def test_packing_ids_takes_a_byte_per_bit():
+    import tracemalloc
+
+    from factsieve.llm import token_output
+
+    ids = np.random.default_rng(5).integers(0, 1 << 15, 1 << 16).astype("<u4")
+    tracemalloc.start()
+    blocks = token_output.encode_blocks(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000
+    starts = np.concatenate([[0], np.cumsum([len(b) for b in blocks])[:-1]])
+    assert np.array_equal(token_output.decode_blocks(b"".join(blocks), starts, token_output.BLOCK), ids)
