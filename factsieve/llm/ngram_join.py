@@ -170,7 +170,7 @@ def _lists(tokens: DataFrame, scratch: Scratch) -> DataFrame:
         F.min(F.struct("place", "id"))["id"].alias("start"), F.min("id").alias("least"), F.max("id").alias("most")
     )
     late = edges.drop("hub").join(hubs.where("least <> most"), "token").select(*names[:4], F.col("start").alias("hub"))
-    return scratch.table(found.where("not border").select(*names).union(late), "met")
+    return scratch.slim(found.where("not border").select(*names).union(late), "met")
 
 
 class _Candidates:
@@ -184,7 +184,7 @@ class _Candidates:
 
     def _texts_of(self, pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
-        ids = self.scratch.table(ids, "ids")
+        ids = self.scratch.slim(ids, "ids")
         bounded = ids.count() <= BROADCAST_IDS
         found = self.texts.join(F.broadcast(ids) if bounded else ids, F.col("id") == F.col("i"), "left_semi")
         kept = self.scratch.table(found, "texts")
@@ -230,9 +230,9 @@ class _Candidates:
         some = with_both(pairs, ("n", "alike", "p1")).where(fit)
         some = some.where(most * (num + den) >= num * (F.col("a_n") + F.col("b_n"))).select("a", "b").distinct()
         # what few pairs are left is held against the other orders
-        some = self.scratch.table(some, "counted")
+        some = self.scratch.slim(some, "counted")
         kept = with_both(some, ("p2", "p3")).where("arrays_overlap(a_p2, b_p2) and arrays_overlap(a_p3, b_p3)")
-        kept = self.scratch.table(kept.select("a", "b").distinct(), "filtered")
+        kept = self.scratch.slim(kept.select("a", "b").distinct(), "filtered")
         self.scratch.drop(info, some)
         return kept
 
@@ -285,7 +285,7 @@ def jaccard_components(
     rows = scratch.table(_profiles(docs, id_col, text_col, n, num, den, weights), "profiles")
 
     real = rows.where("n > 0 and id is not null")
-    classes = scratch.table(
+    classes = scratch.slim(
         real.groupBy("f1", "f2").agg(
             F.min("id").alias("rep"), F.min(F.expr("if(prefix is null, null, id)")).alias("carrier")
         ),
@@ -298,7 +298,7 @@ def jaccard_components(
     lists = _lists(prefix.withColumn("place", F.col("place").cast("long")), scratch)
     slim = scratch.table(rows.drop("prefix"), "rows")
     sizes = rows.where("prefix is not null").groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    sizes = scratch.table(sizes, "sizes")
+    sizes = scratch.slim(sizes, "sizes")
     scratch.drop(rows)
 
     met = lists.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("times"))
@@ -310,10 +310,9 @@ def jaccard_components(
     behind = f"ceil(greatest(a_most, b_most) * {num} / {den}) - 1"
     fit = f"a_least * {num} <= b_most * {den} and b_least * {num} <= a_most * {den}"
     enough = f"(shared + {behind}) * {num + den} >= {num} * (a_least + b_least) and {fit}"
-    pairs = scratch.table(best.where(enough).select("a", "b"), "hubs")
+    pairs = scratch.slim(best.where(enough).select("a", "b"), "hubs")
     candidates = _Candidates(docs, id_col, text_col, n, num, den, weights, scratch)
-    links = candidates.links(pairs)
-    roots = components(links, scratch)
+    roots = components(candidates.links(pairs), scratch)
 
     # Two sets whose first common token is this one share at most what each has from it on, so
     # a partner has at most ``reach`` tokens.
@@ -323,14 +322,14 @@ def jaccard_components(
     def open_lists(roots: DataFrame) -> DataFrame:
         """Lists of several components, without members whom no other one can reach."""
         named = placed.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-        named = scratch.table(named.withColumn("root", F.coalesce("root", "id")), "named")
+        named = scratch.slim(named.withColumn("root", F.coalesce("root", "id")), "named")
         bounds = named.groupBy("token").agg(
             F.min("n").alias("least"), F.max("reach").alias("far"), F.min("root").alias("x"), F.max("root").alias("y")
         )
         alive = named.join(bounds.where("x <> y").drop("x", "y"), "token").where("least <= reach and n <= far")
-        alive = scratch.table(alive.drop("least", "far"), "alive")
+        alive = scratch.slim(alive.drop("least", "far"), "alive")
         several = alive.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-        still = scratch.table(alive.join(several.select("token"), "token", "left_semi"), "open")
+        still = scratch.slim(alive.join(several.select("token"), "token", "left_semi"), "open")
         scratch.drop(named, alive)
         return still
 
@@ -349,9 +348,10 @@ def jaccard_components(
     hubs = F.explode(F.array_distinct(F.array(*[F.col(f"h{k}") for k in range(MORE_HUBS)]))).alias("h")
     others = others.select("token", hubs).select("token", *[F.col(f"h.{c}").alias(f"{c}_2") for c in ("id", "root", "n", "reach")])
     again = left.join(others, "token").where(fits).select(F.col("id").alias("a"), F.col("id_2").alias("b"))
-    again = scratch.table(untried(again, pairs), "hubs")
-    links = links.union(candidates.links(again))
-    roots = components(links, scratch)
+    again = scratch.slim(untried(again, pairs), "hubs")
+    # the stars so far stand for their links
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(stars.union(candidates.links(again)), scratch)
     scratch.drop(left)
     pairs = pairs.union(again)
 
@@ -360,7 +360,7 @@ def jaccard_components(
     other = left.select("token", *[F.col(c).alias(f"{c}_2") for c in ("id", "root", "n", "reach")])
     across = left.join(other, "token").where(f"{fits} and root < root_2").select(F.col("id").alias("a"), F.col("id_2").alias("b"))
     more = candidates.links(untried(across, pairs))
-    joined = links.union(more).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    joined = more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     # An id with several texts is one document: its classes belong together.
     real = slim.where("n > 0 and id is not null")
     texts_of = real.groupBy("id").agg(F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y"))
@@ -376,7 +376,7 @@ def jaccard_components(
     named = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
         "f1", "f2", F.coalesce("root", "rep").alias("root")
     )
-    named = scratch.table(named, "named")
+    named = scratch.slim(named, "named")
     return (
         slim.select("id", "n", "f1", "f2")
         .join(named, ["f1", "f2"], "left")

@@ -405,3 +405,40 @@ def test_packing_ids_takes_a_byte_per_bit():
     assert peak < 4_000_000
     starts = np.concatenate([[0], np.cumsum([len(b) for b in blocks])[:-1]])
     assert np.array_equal(token_output.decode_blocks(b"".join(blocks), starts, token_output.BLOCK), ids)
+
+
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    """Rounds are for what is not yet a star, and tables of ids for few files, however many partitions there are."""
+    from factsieve.llm.graph import components
+    from factsieve.llm.store import Scratch
+
+    made, plain = [], Scratch.table
+
+    def table(self, df, name):
+        stored = plain(self, df, name)
+        made.append((name, sum(f.endswith(".parquet") for f in stored.inputFiles())))
+        return stored
+
+    monkeypatch.setattr(Scratch, "table", table)
+    settings = {"spark.sql.shuffle.partitions": "320", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    held = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for links, rounds in (
+            ([(10 * k + j, 10 * k) for k in range(60) for j in range(1, 6)], 0),
+            ([], 0),
+            ([(i, i + 1) for i in range(100, 130)] + [(2, 2), (None, 4)], None),
+        ):
+            made.clear()
+            got = components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test"))
+            found = {r.node: r.root for r in got.collect()}
+            if rounds is None:
+                assert found == {i: 100 for i in range(101, 131)}
+            else:
+                assert found == dict(links)
+                assert [name for name, _ in made] == ["edges"]
+            assert max(n for _, n in made) <= 40
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
