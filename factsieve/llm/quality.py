@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from factsieve.llm.store import share_code, text_bytes
 from factsieve.llm.words import buffer_of, mix, word_hashes
@@ -179,19 +180,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
-    inner = inner.withColumn("text", text_bytes(f"c{kept.index(text_col)}"))
+    n, at_text = len(kept), kept.index(text_col)
+    if not isinstance(inner.schema[at_text].dataType, StringType):
+        inner, at_text = inner.withColumn("text", text_bytes(f"c{at_text}")), n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
-                scores = shared.value.scores(term_counts(part.column(part.num_columns - 1)))
-                columns = part.columns[:-1]
+                scores = shared.value.scores(term_counts(part.column(at_text)))
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(scores, pa.float64())], [*part.schema.names[:-1], "score"]
+                    [*part.columns[:n], pa.array(scores, pa.float64())], [*part.schema.names[:n], "score"]
                 )
 
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema if f.name != "text")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema[:n])
     done = inner.mapInArrow(run, f"{ddl}, score double")
     return done.select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)],

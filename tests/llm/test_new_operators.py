@@ -442,3 +442,35 @@ def test_links_that_are_stars_take_no_round(spark, monkeypatch):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def test_stages_of_the_pipeline_bound_what_goes_to_python(spark, rows):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    from factsieve.llm import quality
+    from factsieve.llm.store import BATCH_BYTES
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    docs = spark.createDataFrame([(i, "some words " * 200, "s") for i in range(6000)], "doc_id long, text string, source string")
+    docs = docs.coalesce(1)
+    before = spark.conf.get(BATCH_BYTES, None)
+    try:
+        for name, stage in corpus_pipeline.STAGES[3:]:
+            spark.conf.unset(BATCH_BYTES)
+            stage(spark, docs, "")
+            most = max(r.n for r in docs.mapInArrow(sizes, "n long").collect())
+            assert most < 5_000_000, (name, most)  # 13 MB in all
+        spark.conf.set(BATCH_BYTES, "1000000")
+        corpus_pipeline.STAGES[-1][1](spark, docs, "")
+        assert spark.conf.get(BATCH_BYTES) == "1000000"
+    finally:
+        spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
+    # the text goes to the votes once
+    model = quality.fit_counts(np.zeros((0, quality.TERMS), np.float32), np.zeros(0))
+    plan = quality.score(docs, model)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cast(" not in plan.split("MapInArrow")[1], plan
+    assert quality.score(docs.limit(3), model).columns == ["doc_id", "text", "source", "score", "predicted"]
