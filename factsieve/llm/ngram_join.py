@@ -5,8 +5,10 @@ first ``n - ceil(t * n) + 1`` tokens of both, their prefixes, have a token in co
 job uses three orders. In each, tokens that many documents hold come last; they differ in
 how the others follow each other.
 
-1. One pass counts tokens in a fixed number of cells to learn which are common. Only
-   cells well above their task's mean are passed on. Any weights give a right result.
+1. One pass counts tokens in blocks of a task to learn which are common. Only tokens that
+   a block holds in several sets are passed on, and the most frequent of them, up to a fixed
+   number, are known from then on. Any weights give a right result, but the more tokens of
+   several documents come last, the fewer pairs meet.
 2. Equal sets form one class, found by a 128-bit sum over the set.
 3. Prefix tokens of the classes are range-partitioned and sorted by token and place in the
    prefix, and each range is streamed once: a token that only one class has goes no further,
@@ -40,9 +42,11 @@ from factsieve.llm.graph import components
 from factsieve.llm.store import Scratch, only, text_bytes
 from factsieve.llm.words import mix, row_sets, shingle_hashes, some_rows, word_hashes
 
-# Cells that count tokens; bounds what is collected and broadcast (one byte per cell).
-CELL_BITS = 20
-# Candidate texts of up to so many ids are picked by a broadcast set, more by a join.
+# Tokens counted together in a task.
+BLOCK = 1 << 20
+# Common tokens that are known; bounds what is collected and broadcast (nine bytes per token).
+COMMON = 1 << 20
+# Rows of up to so many ids are picked by a broadcast set, of more by a join.
 BROADCAST_IDS = 1_000_000
 # Hubs per list in the second round.
 MORE_HUBS = 4
@@ -52,44 +56,64 @@ def _sets(column: pa.Array, n: int) -> list[np.ndarray]:
     return row_sets(*shingle_hashes(*word_hashes(column), n))
 
 
-def _cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
-
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
-def in_order(tokens: np.ndarray, weights: np.ndarray, order: int, count: int) -> np.ndarray:
+def _levels(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The logarithm of each token's count; 0 for those that are not among the common ones."""
+    known, levels = common
+    if not len(known):
+        return np.zeros(len(tokens), np.uint8)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    return np.where(known[at] == tokens, levels[at], np.uint8(0))
+
+
+def in_order(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray], order: int, count: int) -> np.ndarray:
     """The first ``count`` tokens of a set under one of the global orders."""
     rank = tokens if order == 0 else mix(tokens + np.uint64(order))
-    by = np.lexsort((rank, weights[_cells(tokens)]))
+    by = np.lexsort((rank, _levels(tokens, common)))
     return tokens[by[:count]]
 
 
-def _common_cells(docs: DataFrame, text: str, n: int, spark) -> np.ndarray:
-    """A byte per cell: 0 where tokens are rare, else the logarithm of the cell's count."""
+def _common_tokens(docs: DataFrame, text: str, n: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens found in several sets, sorted, and the logarithms of their counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.int64)
+        # equal sets of a block count once
+        block: dict[tuple[int, int], np.ndarray] = {}
+        held = 0
+
+        def repeated() -> pa.RecordBatch:
+            tokens, times = np.unique(np.concatenate(list(block.values())), return_counts=True)
+            several = times > 1
+            columns = [pa.array(tokens[several].view(np.int64)), pa.array(times[several])]
+            return pa.RecordBatch.from_arrays(columns, ["token", "n"])
+
         for batch in some_rows(batches, 0):
-            sets = _sets(batch.column(0), n)
-            if sets:
-                total += np.bincount(_cells(np.concatenate(sets)), minlength=len(total))
-        cells = np.flatnonzero(total > 4 * total.mean() + 12)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
-
-    rows = (
-        docs.select(text_bytes(text))
-        .mapInArrow(count, "cell long, n long")
-        .groupBy("cell")
-        .agg(F.sum("n").alias("n"))
-        .collect()
-    )
-    weights = np.zeros(1 << CELL_BITS, np.uint8)
-    for r in rows:
-        weights[r["cell"]] = int(r["n"]).bit_length()
-    return weights
+            for s in _sets(batch.column(0), n):
+                if block.setdefault((len(s), int(s.sum(dtype=np.uint64))), s) is s:
+                    held += len(s)
+                if held >= BLOCK:
+                    yield repeated()
+                    block, held = {}, 0
+        if held:
+            yield repeated()
+
+    rows = docs.select(text_bytes(text)).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = scratch.slim(rows.select("token", F.length(F.bin("n")).alias("level")), "common")
+    # the most frequent ones that are not too many, by whole levels
+    most, least = 0, 65
+    for r in sorted(found.groupBy("level").count().collect(), reverse=True):
+        most += r["count"]
+        if most > COMMON:
+            break
+        least = r["level"]
+    known = found.where(F.col("level") >= least).toArrow()
+    scratch.drop(found)
+    tokens = known.column("token").to_numpy().view(np.uint64)
+    by = np.argsort(tokens)
+    return tokens[by], known.column("level").to_numpy()[by].astype(np.uint8)
 
 
 def _profiles(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: int, weights) -> DataFrame:
@@ -173,6 +197,11 @@ def _lists(tokens: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.slim(found.where("not border").select(*names).union(late), "met")
 
 
+def bounded(ids: DataFrame) -> DataFrame:
+    """A stored table of ids for a join; up to a million are broadcast, so that the other side stays where it is."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 class _Candidates:
     """The filters between a candidate pair and the exact comparison."""
 
@@ -182,11 +211,10 @@ class _Candidates:
         ).where("id is not null")
         self.n, self.num, self.den, self.weights, self.scratch = n, num, den, weights, scratch
 
-    def _texts_of(self, pairs: DataFrame) -> DataFrame:
+    def _texts_of(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
         ids = self.scratch.slim(ids, "ids")
-        bounded = ids.count() <= BROADCAST_IDS
-        found = self.texts.join(F.broadcast(ids) if bounded else ids, F.col("id") == F.col("i"), "left_semi")
+        found = texts.join(bounded(ids), F.col("id") == F.col("i"), "left_semi")
         kept = self.scratch.table(found, "texts")
         self.scratch.drop(ids)
         return kept
@@ -240,8 +268,11 @@ class _Candidates:
         """The pairs (a, b) that link, by exact comparison of whole texts."""
         n, num, den = self.n, self.num, self.den
         pairs = self.scratch.table(pairs, "pairs")
-        texts = self._texts_of(pairs)
-        pairs = self._filter(pairs, texts)
+        near = self._texts_of(pairs, self.texts)
+        pairs = self._filter(pairs, near)
+        # both sides shuffle the texts, so those of pairs that were dropped go first
+        texts = self._texts_of(pairs, near)
+        self.scratch.drop(near)
 
         def verify(batches):
             for batch in some_rows(batches, 2):
@@ -281,7 +312,7 @@ def jaccard_components(
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     docs = only(docs, [id_col, text_col])
-    weights = spark.sparkContext.broadcast(_common_cells(docs, text_col, n, spark))
+    weights = spark.sparkContext.broadcast(_common_tokens(docs, text_col, n, scratch))
     rows = scratch.table(_profiles(docs, id_col, text_col, n, num, den, weights), "profiles")
 
     real = rows.where("n > 0 and id is not null")
@@ -291,15 +322,18 @@ def jaccard_components(
         ),
         "classes",
     )
-    carried = real.where("prefix is not null").join(
-        classes.select(F.col("carrier").alias("id"), F.col("f1").alias("g1"), F.col("f2").alias("g2")), "id"
-    ).where("f1 = g1 and f2 = g2")
+    # One id carries the prefix of its class. Copies in other tasks have one as well, but are few, so
+    # that prefixes are read past them instead of being shuffled.
+    with_prefix = real.where("prefix is not null")
+    others = with_prefix.select("id", "f1", "f2").join(classes.select("f1", "f2", "carrier"), ["f1", "f2"])
+    others = scratch.slim(others.where("id <> carrier").select("id", "f1", "f2").distinct(), "others")
+    carried = with_prefix.join(bounded(others), ["id", "f1", "f2"], "left_anti")
     prefix = carried.select("id", "n", F.posexplode("prefix").alias("place", "token"))
     lists = _lists(prefix.withColumn("place", F.col("place").cast("long")), scratch)
     slim = scratch.table(rows.drop("prefix"), "rows")
     sizes = rows.where("prefix is not null").groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     sizes = scratch.slim(sizes, "sizes")
-    scratch.drop(rows)
+    scratch.drop(rows, others)
 
     met = lists.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("times"))
     best = met.groupBy("id").agg(F.max(F.struct("times", "hub")).alias("best"))
