@@ -24,7 +24,9 @@ how the others follow each other.
    likeliest partner of all: whoever cannot link with it for its place cannot with any other.
    Lists that still hold several components are given further hubs once, and those that
    hold several after that are joined with themselves: pairs across components (never
-   within one) that fit in size and in place on both sides.
+   within one) that fit in size and in place on both sides, and whose sketches of 256 bits,
+   each the parity of the tokens that fall on it, differ in no more bits than the sets of a
+   link can differ in tokens.
    After that no link between different components can be left.
 
 So a group of thousands of copies that resemble each other costs about a pair per member,
@@ -46,6 +48,8 @@ from factsieve.llm.words import mix, row_sets, shingle_hashes, some_rows, word_h
 BLOCK = 1 << 20
 # Common tokens that are known; bounds what is collected and broadcast (nine bytes per token).
 COMMON = 1 << 20
+# Parities of a set, eight bytes each.
+SKETCH = ["s0", "s1", "s2", "s3"]
 # Rows of up to so many ids are picked by a broadcast set, of more by a join.
 BROADCAST_IDS = 1_000_000
 # Hubs per list in the second round.
@@ -60,6 +64,12 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """256 parities: two sets differ in at least as many tokens as these differ in bits."""
+    odd = np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _levels(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The logarithm of each token's count; 0 for those that are not among the common ones."""
     known, levels = common
@@ -117,7 +127,7 @@ def _common_tokens(docs: DataFrame, text: str, n: int, scratch: Scratch) -> tupl
 
 
 def _profiles(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: int, weights) -> DataFrame:
-    """Per row: set size, fingerprint of the set, prefix under the first order."""
+    """Per row: set size, fingerprint of the set; prefix under the first order and sketch."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -125,24 +135,27 @@ def _profiles(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: in
         for batch in some_rows(batches, 1):
             sets = _sets(batch.column(1), n)
             size = np.array([len(s) for s in sets], np.int64)
-            f1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+            hashes = [mix(s) for s in sets]
+            f1 = np.array([h.sum(dtype=np.uint64) for h in hashes], np.uint64).view(np.int64)
             f2 = np.array([mix(s ^ np.uint64(0xA5A5)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            prefixes = []
+            prefixes, bits = [], np.zeros((len(sets), len(SKETCH)), np.int64)
             named = batch.column(0).is_valid().to_pylist()
-            for s, key, ok in zip(sets, zip(f1.tolist(), f2.tolist(), strict=True), named, strict=True):
+            keys = zip(f1.tolist(), f2.tolist(), strict=True)
+            for i, (s, key, ok) in enumerate(zip(sets, keys, named, strict=True)):
                 # of equal sets in one task one prefix is enough
                 if not len(s) or not ok or key in seen:
                     prefixes.append(None)
                     continue
                 seen.add(key)
                 prefixes.append(in_order(s, common, 0, prefix_length(len(s), num, den)).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size), pa.array(f1), pa.array(f2), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["id", "n", "f1", "f2", "prefix"],
-            )
+                bits[i] = sketch(hashes[i])
+            columns = [batch.column(0), pa.array(size), pa.array(f1), pa.array(f2), pa.array(prefixes, pa.list_(pa.int64()))]
+            columns += [pa.array(np.ascontiguousarray(b)) for b in bits.T]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "f1", "f2", "prefix", *SKETCH])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_bytes(text).alias("text"))
-    return rows.mapInArrow(profile, "id long, n long, f1 long, f2 long, prefix array<long>")
+    columns = ", ".join(["id long, n long, f1 long, f2 long, prefix array<long>", *[f"{s} long" for s in SKETCH]])
+    return rows.mapInArrow(profile, columns)
 
 
 def _lists(tokens: DataFrame, scratch: Scratch) -> DataFrame:
@@ -330,7 +343,10 @@ def jaccard_components(
     carried = with_prefix.join(bounded(others), ["id", "f1", "f2"], "left_anti")
     prefix = carried.select("id", "n", F.posexplode("prefix").alias("place", "token"))
     lists = _lists(prefix.withColumn("place", F.col("place").cast("long")), scratch)
-    slim = scratch.table(rows.drop("prefix"), "rows")
+    # an id with several texts has no sketch, and passes
+    sketches = carried.groupBy("id").agg(F.min(F.struct(*SKETCH)).alias("x"), F.max(F.struct(*SKETCH)).alias("y"))
+    sketches = scratch.slim(sketches.where("x = y").select("id", "x.*"), "sketches")
+    slim = scratch.table(rows.drop("prefix", *SKETCH), "rows")
     sizes = rows.where("prefix is not null").groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     sizes = scratch.slim(sizes, "sizes")
     scratch.drop(rows, others)
@@ -391,8 +407,12 @@ def jaccard_components(
 
     left = open_lists(roots)
     scratch.drop(lists)
-    other = left.select("token", *[F.col(c).alias(f"{c}_2") for c in ("id", "root", "n", "reach")])
-    across = left.join(other, "token").where(f"{fits} and root < root_2").select(F.col("id").alias("a"), F.col("id_2").alias("b"))
+    left = scratch.slim(left.join(sketches, "id", "left"), "sketched")
+    other = left.select("token", *[F.col(c).alias(f"{c}_2") for c in ("id", "root", "n", "reach", *SKETCH)])
+    apart = " + ".join(f"bit_count({s} ^ {s}_2)" for s in SKETCH)
+    alike = f"coalesce(({apart}) * {num + den} <= {den - num} * (n + n_2), true)"
+    across = left.join(other, "token").where(f"{fits} and root < root_2 and {alike}")
+    across = across.select(F.col("id").alias("a"), F.col("id_2").alias("b"))
     more = candidates.links(untried(across, pairs))
     joined = more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     # An id with several texts is one document: its classes belong together.

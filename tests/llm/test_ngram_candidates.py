@@ -71,3 +71,46 @@ def test_texts_stay_where_they_are_when_copies_are_dropped(spark, tmp_path):
     finally:
         spark.conf.set(joins, before)
     assert got == [(0, "x y"), (1, " ".join(words)), (3, "other text"), (4, "")]
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_tokens():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60, 2000):
+        for k in (0, 1, 3, n):
+            a = rng.integers(0, 2**64, n, np.uint64)
+            b = np.concatenate([a[k:], rng.integers(0, 2**64, k // 2, np.uint64)])
+            apart = sum(int(x).bit_count() for x in (ngram_join.sketch(a) ^ ngram_join.sketch(b)).view(np.uint64))
+            assert apart <= min(k, n) + k // 2
+            assert apart > 50 or n < 60 or k < n
+
+
+def test_a_group_just_below_the_threshold_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        # three words of sixty replaced: two such texts mostly share half to three quarters of their shingles
+        words = list(base)
+        for k in rng.sample(range(60), 3):
+            words[k] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    pairs, plain = [], Scratch.table
+
+    def table(self, df, name):
+        stored = plain(self, df, name)
+        if name == "pairs":
+            pairs.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(Scratch, "table", table)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    want = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((want[a], want[b]))
+                want = [x if w == y else w for w in want]
+    assert got == dict(enumerate(want))
+    assert pairs[-1] < 500
